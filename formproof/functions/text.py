@@ -85,7 +85,7 @@ def unit_draw(c: Column, digits: int = 8, offset: int = 0) -> Column:
 
 def normalise_value(c: Column, data_type: str) -> Column:
     """One text form per value: ISO dates, trimmed text, whole numbers bare."""
-    if data_type in ("date", "timestamp"):
+    if data_type in ("date", "timestamp", "timestamp_ntz"):
         return F.date_format(c, "yyyy-MM-dd")
     if data_type in ("double", "float"):
         whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e18))
@@ -97,7 +97,7 @@ def normalise_value(c: Column, data_type: str) -> Column:
 
 def normalise_frame(df):
     """B7 over every column of a frame; nested columns are left as they are."""
-    simple = {"date", "timestamp", "double", "float", "string", "int", "bigint", "smallint"}
+    simple = {"date", "timestamp", "timestamp_ntz", "double", "float", "string", "int", "bigint", "smallint"}
     return df.select(
         *[
             normalise_value(F.col(name), kind).alias(name) if kind in simple else F.col(name)
