@@ -1 +1,305 @@
+"""Queries of family E: de-identification."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions import spans as sp, text as tx
+from ..operators import deid
+from . import demo
+from .base import Tables, op
+from .sql import FORM, q
+
+# A text per customer that holds one entity of every kind.
+ENTITY_TEXT = """entity_text AS (
+ SELECT c_custkey AS k, concat('Dr ', upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2)),
+  ' asked. Call 07700 9', lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0'), ' or QQ',
+  lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0'), 'C, BN1 ', CAST(c_custkey % 10 AS VARCHAR),
+  'RH; firm ', lpad(CAST(c_custkey % 100000000 AS VARCHAR), 8, '0'), ', see www.example.com/c/',
+  CAST(c_custkey AS VARCHAR), ' born 12/03/19', lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0'),
+  ' mail c', CAST(c_custkey AS VARCHAR), '@mail.example.org paid £',
+  CAST(100 + c_custkey AS VARCHAR), ' per day or ', CAST(c_custkey AS VARCHAR), ' GBP') AS text
+ FROM customer)"""
+
+
+def entity_text(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+
+    def digits(modulus: int, width: int) -> Column:
+        return F.lpad((k % modulus).cast("string"), width, "0")
+
+    text = F.concat(
+        F.lit("Dr "), F.initcap("c_mktsegment"), F.lit(" asked. Call 07700 9"), digits(100000, 5),
+        F.lit(" or QQ"), digits(1000000, 6), F.lit("C, BN1 "), (k % 10).cast("string"),
+        F.lit("RH; firm "), digits(100000000, 8), F.lit(", see www.example.com/c/"),
+        k.cast("string"), F.lit(" born 12/03/19"), digits(100, 2), F.lit(" mail c"),
+        k.cast("string"), F.lit("@mail.example.org paid £"), (k + 100).cast("string"),
+        F.lit(" per day or "), k.cast("string"), F.lit(" GBP"),
+    )
+    return t.read("customer").select(k.alias("k"), text.alias("text"))
+
+
+def _surfaces(text: Column, spans: Column) -> Column:
+    return F.array_join(
+        F.transform(spans, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])),
+        "|",
+    )
+
+
+# the same patterns in the other engine's dialect: (pattern, group)
+_SQL_PATTERNS = {
+    "email": (r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b", 0),
+    "ni_number": (r"\b[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", 0),
+    "uk_postcode": (r"(?i)\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b", 0),
+    "date_of_birth": (
+        r"(?i)\b(?:d\.?o\.?b\.?|date of birth|born)\b[:\s]*"
+        r"(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{1,2}\s+\w+\s+\d{4})", 1),
+    "url": (
+        r"\b(?:https?://|www\.)[^\s<>\"']+"
+        r"|\b(?:[\w-]+\.)+(?:com|org|net|ac\.uk|co\.uk|io|gov\.uk)\b(?:/[^\s<>\"']*)?", 0),
+    "uk_phone": (r"(?:\+44\s?|\b0)(?:\d\s?){9,10}\b", 0),
+    "person_name": (
+        r"\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof(?:essor)?|Sir|Dame)\.?\s+"
+        r"[A-Z][a-z'\-]+(?:\s+[A-Z][a-z'\-]+){0,2}", 0),
+    "company_number": (r"\b(?:[A-Z]{2}\d{6}|\d{8})\b", 0),
+}
+
+
+def _sql_found(name: str) -> str:
+    if name == "money":
+        # either group of the money pattern, in order of appearance
+        whole = r"(?i)£\s?\d[\d,]*(?:\.\d{2})?|\b\d[\d,]*(?:\.\d{2})?\s?(?:GBP|pounds)\b"
+        return (
+            f"list_transform(regexp_extract_all(text, {q(whole)}), "
+            r"lambda m: regexp_extract(m, '\d[\d,]*(?:\.\d{2})?'))"
+        )
+    pattern, group = _SQL_PATTERNS[name]
+    return f"regexp_extract_all(text, {q(pattern)}, {group})"
+
+
+for _i, _name in enumerate(
+    ("email", "ni_number", "uk_postcode", "date_of_birth", "url", "uk_phone", "person_name",
+     "company_number", "money"), start=1
+):
+    @op(
+        f"E{_i}_{_name}",
+        f"""WITH {ENTITY_TEXT}, f AS (SELECT k, {_sql_found(_name)} AS hits FROM entity_text)
+        SELECT k, len(hits) AS n, array_to_string(hits, '|') AS found FROM f""",
+    )
+    def _(t: Tables, name=_name):
+        spans = sp.detector_spans(F.col("text"), [name])
+        df = entity_text(t).withColumn("spans", spans)
+        return df.select("k", F.size("spans").alias("n"),
+                         _surfaces(F.col("text"), F.col("spans")).alias("found"))
+
+
+@op(
+    "E1_email_in_documents",
+    r"""SELECT doc_id, array_to_string(regexp_extract_all(text,
+     '[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.[\p{L}\p{N}_-]*[\p{L}\p{N}_]'), '|')
+     AS found FROM documents""",
+)
+def _(t: Tables):
+    spans = sp.detector_spans(F.col("text"), ["email"])
+    df = t.read("documents").select("doc_id", "text", spans.alias("spans"))
+    return df.select("doc_id", _surfaces(F.col("text"), F.col("spans")).alias("found"))
+
+
+@op(
+    "E10_scan_enabled",
+    f"WITH {ENTITY_TEXT} "
+    + " UNION ALL ".join(
+        f"SELECT k, {q(n)} AS kind, len({_sql_found(n)}) AS n FROM entity_text"
+        for n in ("email", "url", "money", "company_number")
+    ),
+)
+def _(t: Tables):
+    names = ["email", "url", "money", "company_number", "no_such_detector"]
+    spans = sp.detector_spans(F.col("text"), names)
+    return (
+        entity_text(t).select("k", F.explode(F.transform(spans, lambda s: s["kind"])).alias("kind"))
+        .groupBy("k", "kind").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+@op(
+    "E11_record_gazetteer",
+    f"""WITH {FORM} SELECT record_id,
+     array_to_string(list_sort(list_distinct([i_name, i_balance])), '|') AS terms FROM form""",
+)
+def _(t: Tables):
+    terms = deid.known_values(t.form, demo.FORM, demo.DEID)
+    return t.form.select("record_id", F.array_join(F.sort_array(terms), "|").alias("terms"))
+
+
+# entities of a form text: name, amount (a person term if it equals the balance), mailbox
+_AMOUNT_IS_TERM = "length(i_balance) >= 3 AND amount = i_balance"
+_HAS_DEAL = "text NOT IN ('', 'n/a')"
+_RESOLVED = f"""resolved AS (
+ SELECT record_id, 'person_name' AS kind, i_name AS surface, instr(text, ' Agreed with ') AS pos FROM form WHERE {_HAS_DEAL}
+ UNION ALL SELECT record_id, CASE WHEN {_AMOUNT_IS_TERM} THEN 'person_name' ELSE 'money' END, amount,
+  instr(text, ' at £') FROM form WHERE {_HAS_DEAL}
+ UNION ALL SELECT record_id, 'email', concat('buyer', custkey, '@example.com'),
+  instr(text, '; write to ') FROM form WHERE {_HAS_DEAL})"""
+
+
+@op(
+    "E12_gazetteer_spans",
+    f"""WITH {FORM} SELECT record_id, CASE WHEN {_HAS_DEAL} THEN
+      CASE WHEN {_AMOUNT_IS_TERM} THEN concat(i_name, '|', amount) ELSE i_name END ELSE '' END AS found
+     FROM form""",
+)
+def _(t: Tables):
+    df = t.form.withColumn(
+        "terms", sp.gazetteer_terms(deid.known_values(t.form, demo.FORM, demo.DEID))
+    ).withColumn("guard", sp.any_term_pattern(F.col("terms")))
+    spans = F.array_sort(sp.gazetteer_spans(F.col("text"), F.col("terms"), F.col("guard")))
+    return df.select("record_id", _surfaces(F.col("text"), spans).alias("found"))
+
+
+@op(
+    "E13_resolve_overlaps",
+    f"""WITH {FORM}, {_RESOLVED} SELECT record_id,
+     string_agg(concat(kind, ':', surface), '|' ORDER BY pos) AS found FROM resolved GROUP BY record_id""",
+)
+def _(t: Tables):
+    df = deid.scan(t.form, demo.FORM, demo.DEID).select(
+        "record_id", F.inline("_scan")
+    ).where(F.size("spans") > 0)
+    shown = F.transform(
+        "spans",
+        lambda s: F.concat(
+            s["kind"], F.lit(":"),
+            F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]),
+        ),
+    )
+    return df.select("record_id", F.array_join(shown, "|").alias("found"))
+
+
+_CLEAN = f"""CASE WHEN {_HAS_DEAL} THEN replace(replace(replace(text,
+  i_name, CASE WHEN {_AMOUNT_IS_TERM} THEN '[PERSON_2]' ELSE '[PERSON_1]' END),
+  concat(' at £', amount), CASE WHEN {_AMOUNT_IS_TERM} THEN ' at £[PERSON_1]' ELSE ' at £[AMOUNT]' END),
+  concat('buyer', custkey, '@example.com'), '[EMAIL_1]') ELSE text END"""
+
+
+def _deidentified(t: Tables) -> DataFrame:
+    return deid.deidentify(t.form, demo.FORM, demo.DEID)
+
+
+@op("E14_scrubbed_text", f"WITH {FORM} SELECT record_id, {_CLEAN} AS text FROM form")
+def _(t: Tables):
+    return _deidentified(t).select("record_id", "text")
+
+
+@op(
+    "E14_scrub_documents",
+    r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.[\p{L}\p{N}_-]*[\p{L}\p{N}_]')) AS n_email,
+     0 AS n_left FROM documents""",
+)
+def _(t: Tables):
+    from ..config import DeidPolicy
+
+    df = deid.scrub_text(t.read("documents"), "text", DeidPolicy(detectors=("email",)))
+    left = F.size(sp.detector_spans(F.col("text_clean"), ["email"]))
+    return df.select("doc_id", F.size("entity_spans").alias("n_email"), left.alias("n_left"))
+
+
+@op(
+    "E15_surrogates",
+    f"""WITH {FORM} SELECT record_id, CASE WHEN {_AMOUNT_IS_TERM}
+      THEN '[PERSON_2] [PERSON_1] [EMAIL_1]' ELSE '[PERSON_1] [AMOUNT] [EMAIL_1]' END AS tokens
+     FROM form WHERE {_HAS_DEAL}""",
+)
+def _(t: Tables):
+    df = _deidentified(t).where(F.col("deid.total_entities") > 0)
+    tokens = F.regexp_extract_all("text", F.lit(r"\[[A-Z_]+[0-9]*\]"), F.lit(0))
+    return df.select("record_id", F.array_join(tokens, " ").alias("tokens"))
+
+
+@op("E16_replace", f"WITH {FORM} SELECT record_id, '[REDACTED:i_name]' AS i_name FROM form")
+def _(t: Tables):
+    return _deidentified(t).select("record_id", "i_name")
+
+
+@op(
+    "E17_pseudonymise",
+    f"""WITH {FORM} SELECT record_id,
+     concat('qi_', substr(sha256(concat('demo-salt|', i_nation)), 1, 10)) AS i_nation FROM form""",
+)
+def _(t: Tables):
+    return _deidentified(t).select("record_id", "i_nation")
+
+
+@op(
+    "E18_mask",
+    f"WITH {FORM} SELECT record_id, '[MASKED:i_balance]' AS i_balance, q1_status FROM form",
+)
+def _(t: Tables):
+    return _deidentified(t).select("record_id", "i_balance", "q1_status")
+
+
+@op(
+    "E19_record_report",
+    f"""WITH {FORM} SELECT record_id,
+     CASE WHEN {_HAS_DEAL} THEN 3 ELSE 0 END AS total, NOT ({_HAS_DEAL}) AS is_clean,
+     CASE WHEN {_HAS_DEAL} THEN 'text' ELSE '' END AS fields,
+     CASE WHEN NOT ({_HAS_DEAL}) THEN NULL WHEN {_AMOUNT_IS_TERM} THEN 2 ELSE 1 END AS n_person,
+     'replace' AS name_action FROM form""",
+)
+def _(t: Tables):
+    return _deidentified(t).select(
+        "record_id",
+        F.col("deid.total_entities").alias("total"),
+        F.col("deid.is_clean").alias("is_clean"),
+        F.array_join("deid.fields_with_entities", ",").alias("fields"),
+        F.try_element_at("deid.entity_counts", F.lit("person_name")).alias("n_person"),
+        F.try_element_at("deid.field_actions", F.lit("i_name")).alias("name_action"),
+    )
+
+
+@op(
+    "E20_batch_report",
+    f"""WITH {FORM} SELECT count(*) AS n_records,
+     CAST(3 * count(*) FILTER ({_HAS_DEAL}) AS BIGINT) AS total_entities,
+     count(*) FILTER ({_HAS_DEAL}) AS records_with_entities, 0 AS records_with_errors FROM form""",
+)
+def _(t: Tables):
+    return deid.batch_report(_deidentified(t))
+
+
+_RESIDUAL_SQL = " OR ".join(
+    f"regexp_matches(text, {q(p.removeprefix('(?U)'))})" for p in sp.RESIDUAL_PATTERNS
+)
+
+
+@op("E21_quarantine", f"SELECT doc_id FROM documents WHERE {_RESIDUAL_SQL}")
+def _(t: Tables):
+    _, held = deid.split_safe(t.read("documents"), ["text"])
+    return held.select("doc_id")
+
+
+@op("E22_residual_guard", f"SELECT doc_id, {_RESIDUAL_SQL} AS unsafe FROM documents")
+def _(t: Tables):
+    return t.read("documents").select("doc_id", deid.has_residual(F.col("text")).alias("unsafe"))
+
+
+@op(
+    "E23_content_digest",
+    f"""WITH {FORM} SELECT record_id, CASE WHEN text <> '' THEN substr(sha256(text), 1, 12) END AS sha256,
+     length(text) AS chars FROM form""",
+)
+def _(t: Tables):
+    return t.form.select("record_id", tx.digest(F.col("text")).alias("d")).select("record_id", "d.*")
+
+
+@op(
+    "E24_content_policy",
+    """SELECT doc_id, substr(sha256(text), 1, 12) AS hidden,
+     CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS shown FROM documents""",
+)
+def _(t: Tables):
+    text = F.col("text")
+    return t.read("documents").select(
+        "doc_id", tx.content_policy(text)["sha256"].alias("hidden"),
+        tx.content_policy(text, True, 80).alias("shown"),
+    )
