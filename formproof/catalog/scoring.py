@@ -1 +1,782 @@
+"""Queries of families G-K: lexical, learned, paired and weighted scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import pairscore, rules, splits, textmodel, verdicts, weighted
+from ..plans.assess import de_leak
+from ..plans.evaluate import SCORE_COLUMNS
+from . import demo
+from .base import Tables, op
+from .sql import (
+    FORM, FORM_HITS, FORM_INST, INST, SCORED, TURNS, lst, negated, q, squash, weigh,
+)
+
+SPEC = demo.FORM
+
+
+def _form_scored(t: Tables) -> DataFrame:
+    return rules.score_rules(t.form_inst, demo.FORM_RULES)
+
+
+# -------------------------------------------------------------- G: rule scores
+_CUES = ", ".join(
+    f"({q(p.id)}, {q(term)}, {i})" for p in SPEC.pairs for i, term in enumerate(p.cues)
+)
+
+
+@op(
+    "G1_cue_terms",
+    f"""WITH {FORM}, {FORM_INST}, n AS (SELECT pair_id, count(*) AS n FROM form_inst GROUP BY pair_id)
+     SELECT pair_id, term, ord, n FROM (VALUES {_CUES}) v(pair_id, term, ord) JOIN n USING (pair_id)""",
+)
+def _(t: Tables):
+    n = t.form_inst.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(SPEC.cues_dim(t.spark)), "pair_id")
+
+
+@op(
+    "G2_term_find",
+    f"""SELECT doc_id, array_to_string(list_filter({lst(demo.INSULTS)},
+     lambda t: contains(lower(text), t)), ',') AS found,
+     instr(lower(text), 'idiot') AS first_at FROM documents""",
+)
+def _(t: Tables):
+    words = F.array(*[F.lit(w) for w in demo.INSULTS])
+    text = F.lower("text")
+    return t.read("documents").select(
+        "doc_id",
+        F.array_join(F.filter(words, lambda w: F.contains(text, w)), ",").alias("found"),
+        F.instr(text, F.lit("idiot")).alias("first_at"),
+    )
+
+
+_NEG = negated("lt", "term", demo.INSULT_RULES.neg_markers)
+
+
+@op(
+    "G3_negation",
+    f"""WITH d AS (SELECT doc_id, lower(text) AS lt FROM documents),
+     x AS (SELECT doc_id, lt, unnest(list_concat({lst(demo.INSULTS)}, ['tion', 'and'])) AS term FROM d)
+     SELECT doc_id, term, {_NEG} AS negated FROM x WHERE contains(lt, term)""",
+)
+def _(t: Tables):
+    words = F.array(*[F.lit(w) for w in (*demo.INSULTS, "tion", "and")])
+    text = F.lower("text")
+    hits = F.transform(
+        F.filter(words, lambda w: F.contains(text, w)),
+        lambda w: F.struct(
+            w.alias("term"), rules.is_negated(text, w, demo.INSULT_RULES).alias("negated")
+        ),
+    )
+    return t.read("documents").select("doc_id", F.inline(hits))
+
+
+for _id, _source in (("G4", "pair_cue"), ("G5", "family_lexicon"), ("G6", "regex")):
+    @op(
+        f"{_id}_{_source}_hits",
+        f"""WITH {FORM_HITS}, u AS (SELECT record_id, pair_id, unnest(hits) AS h FROM fh)
+         SELECT record_id, pair_id, h.term AS term, h.negated AS negated, h.detail AS detail
+         FROM u WHERE h.source = {q(_source)}""",
+    )
+    def _(t: Tables, source=_source):
+        rows = rules.hits_table(rules.with_hits(t.form_inst, demo.FORM_RULES))
+        return rows.where(F.col("source") == source).drop("source")
+
+
+@op(
+    "G7_weighted_evidence",
+    f"WITH {FORM_HITS} SELECT record_id, pair_id, len(hits) AS n_hits, round(raw, 6) AS raw FROM fr",
+)
+def _(t: Tables):
+    return _form_scored(t).select(
+        "record_id", "pair_id", F.size("hits").alias("n_hits"), F.round("raw", 6).alias("raw")
+    )
+
+
+@op(
+    "G8_rule_score",
+    f"WITH {FORM_HITS} SELECT record_id, pair_id, round(score, 6) AS score FROM form_scored",
+)
+def _(t: Tables):
+    return _form_scored(t).select("record_id", "pair_id", F.round("score", 6).alias("score"))
+
+
+@op(
+    "G8_rule_score_documents",
+    f"WITH {SCORED} SELECT record_id, pair_id, round(score, 6) AS score, label FROM scored",
+)
+def _(t: Tables):
+    return t.scored.select("record_id", "pair_id", F.round("score", 6).alias("score"), "label")
+
+
+_REF = "CASE pair_id WHEN 'p_status' THEN '4.1' WHEN 'p_priority' THEN '4.2' ELSE '4.3' END"
+_EXPLAIN = f"""explained AS (SELECT *, {_REF} AS form_ref,
+  CASE WHEN len(live) = 0 THEN 'No lexical evidence of inconsistency.' ELSE
+   concat('Question ', {_REF}, ' was answered “', structured_value, '”, but the justification ',
+    CASE WHEN phrases <> '' THEN concat('uses ', phrases, coalesce(', and ' || structural, ''))
+     ELSE coalesce(structural, '') END,
+    '. For the ', replace(test_id, '_', ' '),
+    ' test these point in opposite directions. Worth a reviewer''s eye.') END AS explanation
+ FROM (SELECT *, array_to_string(list_transform(list_filter(live[1:3], lambda h: h.source <> 'regex'),
+   lambda h: concat('“', h.term, '”')), ', ') AS phrases,
+   list_filter(live, lambda h: h.source = 'regex' AND h.detail <> '')[1].detail AS structural
+  FROM (SELECT *, list_filter(hits, lambda h: NOT h.negated) AS live FROM form_scored)))"""
+
+
+@op(
+    "G9_rule_explanation",
+    f"WITH {FORM_HITS}, {_EXPLAIN} SELECT record_id, pair_id, explanation FROM explained",
+)
+def _(t: Tables):
+    why = rules.explain(rules.form_refs(SPEC))
+    return _form_scored(t).select("record_id", "pair_id", why.alias("explanation"))
+
+
+_TERMS = ", ".join(sorted({f"({q(t)})" for _, _, t in demo.FORM_RULES.terms()}))
+_KEPT = (
+    "list_filter(hits, lambda h: h.source = 'regex' OR NOT list_contains(gone, lower(h.term)))"
+)
+
+
+@op(
+    "G10_deleaked_score",
+    f"""WITH {FORM_HITS}, lk AS (SELECT coalesce(list(DISTINCT term), []) AS gone
+      FROM (VALUES {_TERMS}) v(term) WHERE EXISTS (
+       SELECT 1 FROM documents d WHERE contains(lower(d.text), term))),
+     c AS (SELECT record_id, pair_id, {_KEPT} AS hits FROM fh, lk),
+     r AS (SELECT *, CASE WHEN pair_id = 'p_status' THEN {weigh('hits', '0.45::DOUBLE')}
+       ELSE {weigh('hits')} END AS raw FROM c)
+     SELECT record_id, pair_id, len(hits) AS n_hits, round({squash('raw', 'hits')}, 6) AS score FROM r""",
+)
+def _(t: Tables):
+    clean = de_leak(demo.FORM_RULES, t.read("documents").select("text"), 1, "rules_vocab_stripped")
+    return rules.score_rules(t.form_inst, clean).select(
+        "record_id", "pair_id", F.size("hits").alias("n_hits"), F.round("score", 6).alias("score")
+    )
+
+
+@op(
+    "G11_flags",
+    f"""WITH {FORM_HITS}, {_EXPLAIN} SELECT record_id, pair_id, 'text' AS field_id, form_ref, test_id,
+     round(score, 6) AS score, explanation FROM explained WHERE score > 0""",
+)
+def _(t: Tables):
+    flags = rules.flags(_form_scored(t).where(F.col("score") > 0), SPEC)
+    return flags.withColumn("score", F.round("score", 6))
+
+
+# --------------------------------------------------------- H: text classifier
+@op(
+    "H1_answer_and_text",
+    f"WITH {INST} SELECT pair_id, concat('ANSWER ', structured_value, ' [SEP] ', free_text) AS combined FROM inst",
+)
+def _(t: Tables):
+    return t.inst.select("pair_id", textmodel.answer_and_text().alias("combined"))
+
+
+@op(
+    "H2_interaction_tokens",
+    f"""WITH {INST} SELECT pair_id, array_to_string(list_transform(
+      regexp_extract_all(lower(free_text), '[a-z][a-z''-]+'),
+      lambda t: concat(CASE WHEN is_outside_leaning THEN 'OUT' ELSE 'IN' END, '~', test_id, '~', t)), ' ')
+      AS tokens FROM inst""",
+)
+def _(t: Tables):
+    return t.inst.select(
+        "pair_id", F.array_join(textmodel.interaction_tokens(), " ").alias("tokens")
+    )
+
+
+@op(
+    "H3_word_document_frequency",
+    f"""WITH {INST}, w AS (SELECT pair_id, regexp_extract_all(
+       lower(concat('ANSWER ', structured_value, ' [SEP] ', free_text)), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}') AS words FROM inst),
+     g AS (SELECT pair_id, list_concat(words, list_transform(range(1, len(words)),
+       lambda i: concat(words[i], ' ', words[i + 1]))) AS grams FROM w),
+     x AS (SELECT DISTINCT pair_id, unnest(grams) AS term FROM g)
+     SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) >= 2""",
+)
+def _(t: Tables):
+    grams = textmodel.word_grams(textmodel.answer_and_text())
+    terms = t.inst.select(F.explode(F.array_distinct(grams)).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 2)
+
+
+@op(
+    "H4_char_document_frequency",
+    f"""WITH {INST}, w AS (SELECT pair_id, unnest(list_filter(
+       regexp_split_to_array(lower(free_text), '[ \\t\\n\\r\\v\\f]+'), lambda w: w <> '')) AS w FROM inst),
+     p AS (SELECT pair_id, concat(' ', w, ' ') AS w FROM w),
+     g AS (SELECT pair_id, unnest([3, 4, 5]) AS n, w FROM p),
+     x AS (SELECT DISTINCT pair_id, substr(w, i, n) AS term FROM (
+       SELECT pair_id, n, w, unnest(range(1, length(w) - n + 2)) AS i FROM g WHERE length(w) >= n))
+     SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) >= 3""",
+)
+def _(t: Tables):
+    grams = F.array_distinct(textmodel.char_grams(F.col("free_text")))
+    terms = t.inst.select(F.explode(grams).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 3)
+
+
+_MODEL = textmodel.TextModelConfig(
+    categories=("test_id", "structured_value"), max_iter=60,
+    max_word_features=5000, max_char_features=5000, max_interactions=20000,
+)
+
+
+def _model(t: Tables):
+    return textmodel.fit(t.inst, _MODEL)
+
+
+@op("H9_class_weights", f"""WITH {INST} SELECT round(count(*) / (2.0 * sum(1 - label)), 6) AS w_negative,
+     round(count(*) / (2.0 * sum(label)), 6) AS w_positive, count(*) AS n FROM inst""")
+def _(t: Tables):
+    n = F.count(F.lit(1))
+    return t.inst.agg(
+        F.round(n / (2.0 * F.count_if(F.col("label") != 1)), 6).alias("w_negative"),
+        F.round(n / (2.0 * F.count_if(F.col("label") == 1)), 6).alias("w_positive"),
+        n.alias("n"),
+    )
+
+
+@op("H11_fitted_scores")
+def _(t: Tables):
+    return _model(t).score(t.inst).select("record_id", "pair_id", "label", "score")
+
+
+@op("H12_top_features")
+def _(t: Tables):
+    return _model(t).top_features(t.inst).select("pair_id", F.inline("top_features"))
+
+
+@op("H13_model_explanation")
+def _(t: Tables):
+    why = textmodel.explain(F.lit("1"))
+    return _model(t).top_features(t.inst).select("pair_id", why.alias("explanation"))
+
+
+@op("L8_out_of_fold_text_model")
+def _(t: Tables):
+    folded = splits.with_folds(t.inst, "record", 3)
+    scored = splits.cross_val_scores(
+        folded, lambda train: textmodel.fit(train, _MODEL).score, n_folds=3
+    )
+    return scored.withColumns({"method": F.lit("tfidf_logreg"), "split": F.lit("record")}).select(
+        *SCORE_COLUMNS
+    )
+
+
+# ------------------------------------------------- I: premise/hypothesis pairs
+_SEED = 20260907
+_CHUNKS = r"""chunks AS (
+ SELECT conv_id, turn, premise, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (
+  SELECT conv_id, turn, premise, CASE WHEN t = '' THEN []::VARCHAR[] WHEN length(t) <= 900 THEN [t]
+   ELSE string_split(list_reduce(string_split(
+     regexp_replace(t, '([.!?])[ \t\n\r\v\f]+', '\1' || chr(1), 'g'), chr(1)),
+     lambda a, s: CASE WHEN length(string_split(a, chr(2))[-1]) + length(s) + 1 > 900
+      THEN a || chr(2) || s ELSE a || ' ' || s END), chr(2)) END AS parts
+  FROM (SELECT *, trim(hypothesis, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM turns)))"""
+
+
+def _has_any(text: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({text}, {q(p)})" for p in phrases) + ")"
+
+
+_DISTS = f"""jobs AS (
+  SELECT conv_id, turn, i, false AS reverse, premise AS p, part AS h FROM chunks
+  UNION ALL SELECT conv_id, turn, i, true, part, premise FROM chunks),
+ keyed AS (SELECT *, {_has_any('lower(h)', demo.CONFLICT_PHRASES)} AS conflict,
+   {_has_any('lower(h)', demo.NEUTRAL_PHRASES)} AS neutral_,
+   ('0x' || substr(sha256(concat('{_SEED}|', p, h)), 1, 8))::BIGINT / 4294967295.0::DOUBLE * 0.2::DOUBLE AS j
+  FROM jobs),
+ dists AS (SELECT conv_id, turn, i, reverse,
+   CASE WHEN conflict THEN 0.05 WHEN neutral_ THEN 0.15 ELSE 0.70 - j END AS e,
+   CASE WHEN conflict THEN 0.10 WHEN neutral_ THEN 0.75 ELSE 0.22 + j END AS n,
+   CASE WHEN conflict THEN 0.85 WHEN neutral_ THEN 0.10 ELSE 0.08 END AS c FROM keyed),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (
+   PARTITION BY conv_id, turn, reverse ORDER BY c DESC, i) AS rn FROM dists) WHERE rn = 1)"""
+_NLI = f"""nli AS (
+ SELECT t.conv_id, t.turn, (SELECT count(*) FROM chunks k WHERE k.conv_id = t.conv_id AND k.turn = t.turn) AS n_chunks,
+  f.e AS fe, f.n AS fn, f.c AS fc, r.n AS rn_, r.c AS rc,
+  coalesce(greatest(f.c / (f.c + f.e), r.c / (r.c + r.e)), 0) AS contradiction,
+  coalesce(greatest(f.n, r.n), 0) AS non_support
+ FROM turns t LEFT JOIN best f ON f.conv_id = t.conv_id AND f.turn = t.turn AND NOT f.reverse
+ LEFT JOIN best r ON r.conv_id = t.conv_id AND r.turn = t.turn AND r.reverse),
+ nli_scored AS (SELECT *, CASE WHEN n_chunks = 0 THEN 0 ELSE least(1, greatest(0, contradiction
+  + CASE WHEN non_support >= 0.55 THEN 0.25 * ((non_support - 0.55) / 0.45) * (1 - contradiction)
+    ELSE 0 END)) END AS score FROM nli)"""
+
+
+def _turn_scores(t: Tables) -> DataFrame:
+    return pairscore.score_with_stub(
+        t.turns, F.col("premise"), F.col("hypothesis"), demo.CONFLICT_PHRASES,
+        demo.NEUTRAL_PHRASES, _SEED,
+    )
+
+
+@op("I1_chunks", f"WITH {TURNS}, {_CHUNKS} SELECT conv_id, turn, CAST(i AS INT) AS i, part FROM chunks")
+def _(t: Tables):
+    parts = pairscore.chunks(F.col("hypothesis"), pairscore.PairScoring())
+    return t.turns.select("conv_id", "turn", F.posexplode(parts).alias("i", "part"))
+
+
+@op(
+    "I2_jobs",
+    f"""WITH {TURNS}, {_CHUNKS}, {_DISTS} SELECT conv_id, turn, reverse, md5(concat(p, '|', h)) AS job
+     FROM jobs""",
+)
+def _(t: Tables):
+    df = pairscore.prepare_jobs(t.turns, F.col("premise"), F.col("hypothesis"))
+    return df.select("conv_id", "turn", F.inline("jobs")).select(
+        "conv_id", "turn", "reverse",
+        F.md5(F.concat("premise", F.lit("|"), "hypothesis")).alias("job"),
+    )
+
+
+def _length_scorer():
+    """A stand-in for a loaded model: looks at both texts, batch by batch."""
+    def score(premises, hypotheses):
+        out = []
+        for p, h in zip(premises, hypotheses):
+            longer = 0.6 if len(h) > len(p) else 0.2
+            out.append((0.8 - longer, 0.2, longer))
+        return out
+
+    return score
+
+
+@op(
+    "I3_pluggable_scorer",
+    f"""WITH {TURNS}, {_CHUNKS}, {_DISTS}, d AS (SELECT conv_id, turn, reverse,
+       CASE WHEN length(h) > length(p) THEN 0.6 ELSE 0.2 END AS c FROM jobs),
+      b AS (SELECT conv_id, turn, reverse, max(c) AS c FROM d GROUP BY ALL),
+      s AS (SELECT conv_id, turn, max(c / (c + 0.8 - c)) AS x FROM b GROUP BY ALL)
+     SELECT t.conv_id, t.turn, round(coalesce(x, 0), 6) AS score FROM turns t LEFT JOIN s USING (conv_id, turn)""",
+)
+def _(t: Tables):
+    scored = pairscore.score_with_model(
+        t.turns, F.col("premise"), F.col("hypothesis"), _length_scorer
+    )
+    return scored.select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+@op(
+    "I4_stub_distribution",
+    f"""WITH {TURNS}, {_CHUNKS}, {_DISTS} SELECT conv_id, turn, reverse, CAST(i AS INT) AS i,
+     round(e, 6) AS e, round(n, 6) AS n, round(c, 6) AS c FROM dists""",
+)
+def _(t: Tables):
+    df = pairscore.prepare_jobs(t.turns, F.col("premise"), F.col("hypothesis"))
+    dists = F.transform(
+        "jobs",
+        lambda j, i: F.struct(
+            j["reverse"].alias("reverse"), F.floor(i / 2).cast("int").alias("i"),
+            pairscore.stub_distribution(
+                j, demo.CONFLICT_PHRASES, demo.NEUTRAL_PHRASES, _SEED
+            ).alias("d"),
+        ),
+    )
+    rows = df.select("conv_id", "turn", F.inline(dists))
+    return rows.select(
+        "conv_id", "turn", "reverse", "i", F.round("d.entailment", 6).alias("e"),
+        F.round("d.neutral", 6).alias("n"), F.round("d.contradiction", 6).alias("c"),
+    )
+
+
+@op(
+    "I5_strongest_chunk",
+    f"""WITH {TURNS}, {_CHUNKS}, {_DISTS}, {_NLI} SELECT conv_id, turn, round(fe, 6) AS fe, round(fn, 6) AS fn,
+     round(fc, 6) AS fc, round(rc, 6) AS rc FROM nli""",
+)
+def _(t: Tables):
+    r = lambda c, a: F.round(c, 6).alias(a)
+    return _turn_scores(t).select(
+        "conv_id", "turn", r("forward.entailment", "fe"), r("forward.neutral", "fn"),
+        r("forward.contradiction", "fc"), r("reverse.contradiction", "rc"),
+    )
+
+
+@op(
+    "I6_contradiction_only_mean",
+    f"""WITH {TURNS}, {_CHUNKS}, {_DISTS}, {_NLI} SELECT conv_id, turn,
+     round(coalesce((fc + rc) / 2, 0), 6) AS contradiction,
+     round(coalesce((fn + rn_) / 2, 0), 6) AS non_support FROM nli""",
+)
+def _(t: Tables):
+    cfg = pairscore.PairScoring(aggregate="mean", score_mode="contradiction_only")
+    df = pairscore.score_with_stub(
+        t.turns, F.col("premise"), F.col("hypothesis"), demo.CONFLICT_PHRASES,
+        demo.NEUTRAL_PHRASES, _SEED, cfg,
+    )
+    return df.select(
+        "conv_id", "turn", F.round("contradiction", 6).alias("contradiction"),
+        F.round("non_support", 6).alias("non_support"),
+    )
+
+
+@op(
+    "I7_combined_directions",
+    f"""WITH {TURNS}, {_CHUNKS}, {_DISTS}, {_NLI} SELECT conv_id, turn, round(contradiction, 6) AS contradiction,
+     round(non_support, 6) AS non_support FROM nli""",
+)
+def _(t: Tables):
+    return _turn_scores(t).select(
+        "conv_id", "turn", F.round("contradiction", 6).alias("contradiction"),
+        F.round("non_support", 6).alias("non_support"),
+    )
+
+
+@op(
+    "I8_blended_score",
+    f"""WITH {TURNS}, {_CHUNKS}, {_DISTS}, {_NLI} SELECT conv_id, turn, n_chunks, round(score, 6) AS score
+     FROM nli_scored""",
+)
+def _(t: Tables):
+    return _turn_scores(t).select("conv_id", "turn", "n_chunks", F.round("score", 6).alias("score"))
+
+
+@op(
+    "I9_empty_text_scores_zero",
+    f"WITH {FORM} SELECT record_id, text = '' AS is_empty FROM form",
+)
+def _(t: Tables):
+    df = pairscore.score_with_stub(
+        t.form, F.lit("premise"), F.col("text"), demo.CONFLICT_PHRASES, demo.NEUTRAL_PHRASES
+    )
+    return df.select("record_id", ((F.col("n_chunks") == 0) & (F.col("score") == 0)).alias("is_empty"))
+
+
+@op(
+    "I9b_top_label",
+    f"""WITH {TURNS}, {_CHUNKS}, {_DISTS}, {_NLI} SELECT conv_id, turn,
+     CASE WHEN fe >= fn AND fe >= fc THEN 'entailment' WHEN fn >= fc THEN 'neutral'
+      WHEN fc IS NOT NULL THEN 'contradiction' END AS label FROM nli""",
+)
+def _(t: Tables):
+    return _turn_scores(t).select(
+        "conv_id", "turn", pairscore.top_label(F.col("forward")).alias("label")
+    )
+
+
+@op(
+    "I10_pair_explanation",
+    f"""WITH {TURNS}, {_CHUNKS}, {_DISTS}, {_NLI} SELECT conv_id, turn,
+     CASE WHEN n_chunks = 0 THEN 'Question 4.1 has no justification to check.'
+      WHEN contradiction >= 0.5 THEN concat('Question 4.1 was answered “x”, but the justification reads as a conflicting statement rather than a supporting one (contradiction ',
+        printf('%.2f', contradiction::DOUBLE), ' against entailment ', printf('%.2f', fe::DOUBLE),
+        '). For the personal service test these point in opposite directions. Worth a reviewer''s eye.')
+      WHEN non_support >= 0.55 THEN concat('Question 4.1 was answered “x”, a definite option, but the justification neither supports nor conflicts with it (neutral ',
+        printf('%.2f', non_support::DOUBLE), '). It may not evidence the answer given, which matters for the personal service test. Worth a reviewer''s eye.')
+      ELSE 'The justification for question 4.1 is consistent with the answer “x”.' END AS explanation
+     FROM nli""",
+)
+def _(t: Tables):
+    df = _turn_scores(t).withColumns(
+        {"structured_value": F.lit("x"), "test_id": F.lit("personal_service")}
+    )
+    return df.select("conv_id", "turn", pairscore.explain(F.lit("4.1")).alias("explanation"))
+
+
+# ------------------------------------------------------ J: prompts and verdicts
+SHOTS = (
+    verdicts.Shot("Is it open?", "Yes", "The order is still open.",
+                  '{"verdict": "consistent", "confidence": 0.9, "reason": "It restates it."}'),
+    verdicts.Shot("Is it open?", "Yes", "It was settled last year.",
+                  '{"verdict": "contradicts", "confidence": 0.9, "reason": "It denies it."}'),
+)
+VERDICTS = verdicts.VerdictConfig(shots=SHOTS, n_shots=2)
+_J_CONFLICT, _J_NEUTRAL = ("1@example", "2@example"), ("3@example", "4@example")
+
+
+def _prompts(t: Tables) -> DataFrame:
+    pairs = SPEC.pairs_dim(t.spark).select("pair_id", "contradiction")
+    labels = SPEC.fields_dim(t.spark).select(F.col("field_id").alias("structured_field"), "label")
+    df = (
+        t.form_inst.drop("label").join(F.broadcast(pairs), "pair_id")
+        .join(F.broadcast(labels), "structured_field")
+    )
+    return df.withColumn(
+        "prompt", verdicts.prompt(F.col("label"), F.col("contradiction"), VERDICTS)
+    )
+
+
+_SHOT_SQL = " || chr(10) || chr(10) || ".join(
+    "concat('QUESTION: ', {0}, chr(10), 'SELECTED OPTION: ', {1}, chr(10), 'JUSTIFICATION: ', {2}, "
+    "chr(10), 'ANSWER: ', {3})".format(*(q(x) for x in (s.question, s.option, s.justification, s.answer)))
+    for s in SHOTS
+)
+_FORMAT = q(VERDICTS.response_format)
+_PROMPT = f"""prompts AS (SELECT *, {_SHOT_SQL} || chr(10) || chr(10)
+  || CASE WHEN pair_id = 'p_status' THEN 'For this particular question, a contradiction looks like: The order is said to be open while the text reports a settled deal.' || chr(10) || chr(10) ELSE '' END
+  || concat('Now assess this one.', chr(10), 'QUESTION: ', CASE pair_id WHEN 'p_status' THEN 'What is the status of the order?'
+     WHEN 'p_priority' THEN 'How urgent is it?' ELSE 'Which market is it for?' END, chr(10), 'SELECTED OPTION: ',
+     structured_value, chr(10), 'JUSTIFICATION: ', CASE WHEN free_text = '' THEN '(left blank)' ELSE free_text END,
+     chr(10), chr(10), {_FORMAT}) AS prompt FROM form_inst)"""
+_VERDICT = f"""verdict_ AS (SELECT *, CASE WHEN {_has_any('free_text', _J_CONFLICT)} THEN 'contradicts'
+  WHEN {_has_any('free_text', _J_NEUTRAL)} THEN 'unclear' ELSE 'consistent' END AS v FROM prompts),
+ reply AS (SELECT *, concat('{{"verdict": "', v, '", "confidence": ',
+   CASE v WHEN 'contradicts' THEN '0.88' WHEN 'unclear' THEN '0.5' ELSE '0.8' END, ', "reason": "',
+   CASE v WHEN 'contradicts' THEN 'The justification states the opposite of the selected option.'
+    WHEN 'unclear' THEN 'The justification is hedged and does not support the option chosen.'
+    ELSE 'The justification supports the selected option.' END, '"}}') AS response FROM verdict_)"""
+
+
+def _replies(t: Tables) -> DataFrame:
+    return _prompts(t).withColumn(
+        "response", verdicts.stub_response(F.col("prompt"), _J_CONFLICT, _J_NEUTRAL)
+    )
+
+
+@op("J1_prompt", f"WITH {FORM}, {FORM_INST}, {_PROMPT} SELECT record_id, pair_id, prompt FROM prompts")
+def _(t: Tables):
+    return _prompts(t).select("record_id", "pair_id", "prompt")
+
+
+@op(
+    "J7_stub_response",
+    f"WITH {FORM}, {FORM_INST}, {_PROMPT}, {_VERDICT} SELECT record_id, pair_id, response FROM reply",
+)
+def _(t: Tables):
+    return _replies(t).select("record_id", "pair_id", "response")
+
+
+def _noisy(t: Tables) -> DataFrame:
+    """Replies the way models send them: fenced, in prose, odd, broken."""
+    kind = F.length("structured_value") + F.substring("record_id", 5, 20).cast("long")
+    r = F.col("response")
+    noisy = (
+        F.when(kind % 7 == 0, F.concat(F.lit("```json\n"), r, F.lit("\n```")))
+        .when(kind % 7 == 1, F.concat(F.lit("Sure! Here: "), r, F.lit(" Hope {this} helps.")))
+        .when(kind % 7 == 2, F.lit("I cannot decide."))
+        .when(kind % 7 == 3, F.lit('{"verdict": "maybe", "confidence": 1}'))
+        .when(kind % 7 == 4, F.lit('{"verdict": " Contradicts ", "confidence": "high"}'))
+        .when(kind % 7 == 5, F.concat(F.lit("["), r, F.lit("]")))
+        .otherwise(r)
+    )
+    return _replies(t).withColumn("text", noisy)
+
+
+_NOISY = """noisy AS (SELECT *, (length(structured_value) + k) % 7 AS kind FROM reply),
+ parsed AS (SELECT *, kind IN (2, 3, 5) AS parse_failed,
+   CASE WHEN kind IN (2, 3, 5) THEN 'unclear' WHEN kind = 4 THEN 'contradicts' ELSE v END AS verdict,
+   CASE WHEN kind IN (2, 3, 5) THEN 0.0 WHEN kind = 4 THEN 0.5 WHEN v = 'contradicts' THEN 0.88
+    WHEN v = 'unclear' THEN 0.5 ELSE 0.8 END AS confidence FROM noisy),
+ verdicts_ AS (SELECT *, CASE WHEN parse_failed OR verdict = 'consistent' THEN 0
+   WHEN verdict = 'contradicts' THEN 0.5 + 0.5 * confidence ELSE 0.35 * (0.5 + 0.5 * confidence) END AS score
+  FROM parsed)"""
+_J = f"WITH {FORM}, {FORM_INST}, {_PROMPT}, {_VERDICT}, {_NOISY}"
+
+
+def _parsed(t: Tables) -> DataFrame:
+    return verdicts.parse(_noisy(t), F.col("text"), VERDICTS)
+
+
+@op(
+    "J2_parse_verdict",
+    f"{_J} SELECT record_id, pair_id, verdict, round(confidence, 6) AS confidence, parse_failed FROM verdicts_",
+)
+def _(t: Tables):
+    return _parsed(t).select(
+        "record_id", "pair_id", "verdict", F.round("confidence", 6).alias("confidence"),
+        "parse_failed",
+    )
+
+
+@op("J3_verdict_score", f"{_J} SELECT record_id, pair_id, round(score, 6) AS score FROM verdicts_")
+def _(t: Tables):
+    return _parsed(t).select("record_id", "pair_id", F.round("score", 6).alias("score"))
+
+
+@op(
+    "J4_retry_and_merge",
+    f"""{_J} SELECT record_id, pair_id, CASE WHEN parse_failed AND kind <> 3 THEN 2 ELSE 1 END AS attempt,
+     CASE WHEN parse_failed AND kind <> 3 THEN v ELSE verdict END AS verdict,
+     parse_failed AND kind = 3 AS parse_failed FROM verdicts_""",
+)
+def _(t: Tables):
+    keys = ["record_id", "pair_id"]
+    first = _parsed(t).withColumn("attempt", F.lit(1))
+    again = verdicts.retry_set(_noisy(t).drop("text"), first, keys)
+    # on the retry every reply is clean except those that stay stubborn
+    stubborn = (F.length("structured_value") + F.substring("record_id", 5, 20).cast("long")) % 7 == 3
+    again = again.withColumn("text", F.when(stubborn, "still no").otherwise(F.col("response")))
+    second = verdicts.parse(again, F.col("text"), VERDICTS).withColumn("attempt", F.lit(2))
+    cols = [*keys, "attempt", "verdict", "parse_failed"]
+    both = first.select(*cols).unionByName(second.select(*cols))
+    return verdicts.merge_attempts(both, keys)
+
+
+@op(
+    "J5_parse_failures",
+    f"{_J} SELECT pair_id, count(*) FILTER (parse_failed) AS failed, count(*) AS n FROM verdicts_ GROUP BY pair_id",
+)
+def _(t: Tables):
+    return _parsed(t).groupBy("pair_id").agg(
+        F.count_if("parse_failed").alias("failed"), F.count(F.lit(1)).alias("n")
+    )
+
+
+@op(
+    "J6_usage",
+    f"""{_J} SELECT count(*) AS n_scored, count(*) FILTER (parse_failed) AS parse_failures,
+     CAST(sum(length(prompt) // 4) AS BIGINT) AS input_tokens, CAST(30 * count(*) AS BIGINT) AS output_tokens,
+     round(0.25 * count(*), 2) AS total_latency_seconds FROM verdicts_""",
+)
+def _(t: Tables):
+    df = _parsed(t).withColumns(
+        {
+            "input_tokens": F.floor(F.length("prompt") / 4),
+            "output_tokens": F.lit(30), "latency_seconds": F.lit(0.25),
+        }
+    )
+    return verdicts.usage(df)
+
+
+@op(
+    "J8_verdict_explanation",
+    f"""{_J} SELECT record_id, pair_id, CASE WHEN parse_failed THEN
+      'Question 4.1 could not be assessed automatically — the model''s response could not be read. Please review this field manually.'
+      WHEN verdict = 'consistent' THEN concat('The justification for question 4.1 is consistent with the answer “', structured_value, '”.')
+      ELSE concat('Question 4.1 was answered “', structured_value, '”, and the justification ',
+       CASE verdict WHEN 'contradicts' THEN 'reads as inconsistent with' ELSE 'does not clearly support' END, ' it: ',
+       CASE WHEN kind = 4 THEN 'no reason given' WHEN v = 'contradicts' THEN 'The justification states the opposite of the selected option.'
+        ELSE 'The justification is hedged and does not support the option chosen.' END,
+       ' Worth a reviewer''s eye.') END AS explanation FROM verdicts_""",
+)
+def _(t: Tables):
+    return _parsed(t).select(
+        "record_id", "pair_id", verdicts.explain(F.lit("4.1")).alias("explanation")
+    )
+
+
+# ------------------------------------------------------- K: weighted labelling
+def _value_rows() -> str:
+    rows = [
+        f"({q(f)}, {q(v)}, {s}, {q(SPEC.by_id[f].test)}, {demo.WEIGHTS.test_weights[SPEC.by_id[f].test]})"
+        for f, table in demo.WEIGHTS.value_scores.items() for v, s in table.items()
+    ]
+    return ", ".join(rows)
+
+
+_K = f"""WITH {FORM}, ans AS (
+  SELECT record_id, 'q1_status' AS f, q1_status AS v FROM form
+  UNION ALL SELECT record_id, 'q2_priority', q2_priority FROM form
+  UNION ALL SELECT record_id, 'q3_segment', q3_segment FROM form),
+ vs AS (SELECT * FROM (VALUES {_value_rows()}) t(f, v, s, test, w)),
+ tests AS (SELECT record_id, test, w, avg(s)::DOUBLE AS raw, count(*) AS n FROM ans JOIN vs USING (f, v)
+  GROUP BY record_id, test, w),
+ contrib AS (SELECT record_id, test, raw, raw / 2 AS normalised, n,
+   w::DOUBLE / sum(w::DOUBLE) OVER (PARTITION BY record_id) AS weight FROM tests),
+ c AS (SELECT *, normalised * weight AS contribution FROM contrib),
+ agg AS (SELECT record_id, sum(contribution) AS score, sum(n) AS n_answered FROM c GROUP BY record_id),
+ lab AS (SELECT f.record_id, coalesce(a.score, 0) AS score, coalesce(a.n_answered, 0) AS n_answered,
+   CASE WHEN q1_status = 'P' AND q3_segment = 'HOUSEHOLD' THEN 'partial_household'
+    WHEN q2_priority = '1-URGENT' AND q3_segment = 'FURNITURE' THEN 'urgent_furniture' END AS gate,
+   CASE WHEN a.record_id IS NULL THEN 'undetermined' WHEN a.score > 0.04 THEN 'outside'
+    WHEN a.score < -0.04 THEN 'inside' ELSE 'undetermined' END AS by_score
+  FROM form f LEFT JOIN agg a USING (record_id))"""
+
+
+def _weighted(t: Tables) -> DataFrame:
+    return weighted.label_records(t.form, SPEC, demo.WEIGHTS)
+
+
+def _k_rows(t: Tables) -> DataFrame:
+    return _weighted(t).select("record_id", F.inline("test_scores"))
+
+
+@op(
+    "K1_value_scores",
+    f"{_K} SELECT record_id, CAST(n_answered AS INT) AS n_answered FROM lab",
+)
+def _(t: Tables):
+    return _weighted(t).select("record_id", "n_answered")
+
+
+@op(
+    "K2_test_means",
+    f"{_K} SELECT record_id, test, round(raw, 6) AS raw, round(normalised, 6) AS normalised FROM c",
+)
+def _(t: Tables):
+    return _k_rows(t).select(
+        "record_id", "test", F.round("raw", 6).alias("raw"),
+        F.round("normalised", 6).alias("normalised"),
+    )
+
+
+@op("K3_renormalised_weights", f"{_K} SELECT record_id, test, round(weight, 5) AS weight FROM c")
+def _(t: Tables):
+    return _k_rows(t).select("record_id", "test", F.round("weight", 5).alias("weight"))
+
+
+@op(
+    "K4_contributions",
+    f"{_K} SELECT record_id, test, round(contribution, 6) AS contribution, n AS n_answered FROM c",
+)
+def _(t: Tables):
+    return _k_rows(t).select(
+        "record_id", "test", F.round("contribution", 6).alias("contribution"), "n_answered"
+    )
+
+
+@op("K5_gates", f"{_K} SELECT record_id, gate, round(score, 6) AS score FROM lab")
+def _(t: Tables):
+    return _weighted(t).select("record_id", "gate", F.round("score", 6).alias("score"))
+
+
+@op(
+    "K6_status",
+    f"""{_K} SELECT record_id, CASE gate WHEN 'partial_household' THEN 'inside'
+     WHEN 'urgent_furniture' THEN 'outside' ELSE by_score END AS status FROM lab""",
+)
+def _(t: Tables):
+    return _weighted(t).select("record_id", "status")
+
+
+@op(
+    "K7_strongest_test",
+    f"""{_K} SELECT record_id, round(max(abs(contribution)), 6) AS top FROM c GROUP BY record_id""",
+)
+def _(t: Tables):
+    top = F.abs(F.get("test_scores", F.lit(0))["contribution"])
+    return _weighted(t).where(F.size("test_scores") > 0).select(
+        "record_id", F.round(top, 6).alias("top")
+    )
+
+
+@op(
+    "K8_reason_kind",
+    f"""{_K}, o AS (SELECT record_id, bool_or(normalised > 0.3) AS a, bool_or(normalised < -0.3) AS b FROM c GROUP BY record_id)
+     SELECT record_id, CASE WHEN gate = 'partial_household' THEN 'a partial order for a household'
+      WHEN gate IS NOT NULL THEN 'urgent furniture' WHEN n_answered = 0 THEN 'none'
+      WHEN by_score <> 'undetermined' THEN concat('points ', by_score)
+      WHEN a AND b THEN 'opposite' ELSE 'band' END AS kind FROM lab LEFT JOIN o USING (record_id)""",
+)
+def _(t: Tables):
+    r = F.col("reason")
+    kind = (
+        F.when(F.col("gate").isNotNull(), r)
+        .when(F.contains(r, F.lit("No scoreable")), "none")
+        .when(F.contains(r, F.lit(" points ")), F.regexp_extract(r, "points (inside|outside)", 0))
+        .when(F.contains(r, F.lit("opposite directions")), "opposite").otherwise("band")
+    )
+    return _weighted(t).select("record_id", kind.alias("kind"))
+
+
+@op(
+    "K9_breakdown",
+    f"""{_K} SELECT l.record_id, round(l.score, 4) AS score, round(c.raw, 4) AS raw,
+     round(c.contribution, 4) AS contribution FROM lab l LEFT JOIN c ON c.record_id = l.record_id AND c.test = 'market'""",
+)
+def _(t: Tables):
+    df = _weighted(t)
+    df = df.select("record_id", weighted.breakdown(df).alias("b"))
+    market = F.try_element_at("b.test_scores", F.lit("market"))
+    return df.select(
+        "record_id", F.col("b.score").alias("score"), market["raw"].alias("raw"),
+        market["contribution"].alias("contribution"),
+    )
+
 

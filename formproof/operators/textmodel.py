@@ -3,27 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import (
-    CountVectorizer,
-    CountVectorizerModel,
-    ElementwiseProduct,
-    IDF,
-    Normalizer,
-    OneHotEncoder,
-    StringIndexer,
-    VectorAssembler,
-)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF
 from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import WHITESPACE, is_blank, usable
+from ..functions.text import WHITESPACE, is_blank, let, usable
 
+ENTRIES = "array<struct<i:int,w:double>>"
 CATEGORIES = ("pair_id", "test_id", "structured_value")
 DENSE = ("is_outside", "usable_text", "length", "anomaly")
 
@@ -37,6 +27,7 @@ class TextModelConfig:
     word_min_df: float = 2.0
     char_min_df: float = 3.0
     categories: Sequence[str] = CATEGORIES
+    max_levels: int = 10_000
     max_iter: int = 200
     tol: float = 1e-6
 
@@ -50,13 +41,15 @@ def answer_and_text() -> Column:
 
 def word_grams(text: Column) -> Column:
     """H3: words of two or more characters, then their bigrams."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, pairs)
+    def both(words: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
+            F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
+            lambda a, b: F.concat(a, F.lit(" "), b),
+        )
+        return F.concat(words, pairs)
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), both)
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
@@ -91,45 +84,68 @@ def interaction_tokens() -> Column:
     )
 
 
-@F.pandas_udf(VectorUDT())
-def sublinear(counts: pd.Series) -> pd.Series:
-    """1 + ln(tf) on the stored entries of a count vector."""
-    out = []
-    for v in counts:
-        if isinstance(v, DenseVector):
-            nz = np.flatnonzero(v.values)
-            v = SparseVector(len(v), nz, v.values[nz])
-        out.append(SparseVector(v.size, v.indices, 1.0 + np.log(v.values)))
-    return pd.Series(out)
+def literal_array(values: Sequence, element: str) -> Column:
+    """A long constant array; constant folding leaves one literal of it."""
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{element}>")
+
+
+@F.udf(returnType=VectorUDT(), useArrow=True)
+def to_vector(size: int, indices: list, values: list):
+    """Index and value arrays as the vector type the optimiser takes."""
+    return SparseVector(size, indices, values)
 
 
 @dataclass
 class _Block:
+    """A fitted vocabulary with its smoothed idf weights."""
+
     name: str
     vocabulary: CountVectorizerModel
     scale: ElementwiseProduct
-    unit: Normalizer
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        work = self.vocabulary.transform(df)
-        work = work.withColumn(f"_{self.name}_s", sublinear(F.col(f"_{self.name}_c")))
-        work = self.unit.transform(self.scale.transform(work))
-        return work.drop(f"_{self.name}_c", f"_{self.name}_s", f"_{self.name}_w")
+    @property
+    def size(self) -> int:
+        return len(self.vocabulary.vocabulary)
+
+    def entries(self, df: DataFrame) -> DataFrame:
+        """Add ``_<name>_e``: (index, unit-length sublinear tf-idf) entries.
+
+        The stored values of counts and of idf-scaled counts line up, so
+        (1 + ln c) * idf is the scaled value over the count times its damping.
+        """
+        counted = self.scale.transform(self.vocabulary.transform(df))
+        c, s = F.unwrap_udt(f"_{self.name}_c"), F.unwrap_udt(f"_{self.name}_s")
+        weights = F.zip_with(
+            c["values"], s["values"], lambda n, w: w / n * (F.lit(1.0) + F.log(n))
+        )
+
+        def scaled(ws: Column, norm: Column) -> Column:
+            return F.zip_with(
+                c["indices"], ws, lambda i, w: F.struct(i.alias("i"), (w / norm).alias("w"))
+            )
+
+        def unit(ws: Column) -> Column:
+            # the norm is bound outside the element loop
+            squares = F.aggregate(ws, F.lit(0.0), lambda a, w: a + w * w)
+            return let(F.sqrt(squares), lambda norm: scaled(ws, norm))
+
+        return counted.withColumn(f"_{self.name}_e", let(weights, unit)).drop(
+            f"_{self.name}_c", f"_{self.name}_s", f"_{self.name}_t"
+        )
 
 
 def _fit_block(df: DataFrame, name: str, min_df: float, size: int) -> _Block:
-    """H3-H5: vocabulary, smoothed idf, unit length."""
+    """H3-H5: the most frequent terms above a document frequency, and their idf."""
     cv = CountVectorizer(
         inputCol=f"_{name}_t", outputCol=f"_{name}_c", minDF=min_df, vocabSize=size
     ).fit(df)
     idf = IDF(inputCol=f"_{name}_c", outputCol="_unused").fit(cv.transform(df))
-    df_counts = np.asarray(idf.docFreq, dtype=float)
-    weights = np.log((1.0 + idf.numDocs) / (1.0 + df_counts)) + 1.0
+    frequency = np.asarray(idf.docFreq, dtype=float)
+    weights = np.log((1.0 + idf.numDocs) / (1.0 + frequency)) + 1.0
     scale = ElementwiseProduct(
-        scalingVec=DenseVector(weights), inputCol=f"_{name}_s", outputCol=f"_{name}_w"
+        scalingVec=DenseVector(weights), inputCol=f"_{name}_c", outputCol=f"_{name}_s"
     )
-    unit = Normalizer(p=2.0, inputCol=f"_{name}_w", outputCol=f"_{name}_f")
-    return _Block(name, cv, scale, unit)
+    return _Block(name, cv, scale)
 
 
 def _tokens(df: DataFrame) -> DataFrame:
@@ -142,86 +158,111 @@ def _tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def _dense(df: DataFrame) -> DataFrame:
+def _dense() -> list[Column]:
     """H7: polarity, usability, length, anomaly; a constant for the intercept."""
-    return df.withColumns(
-        {
-            "_is_outside": F.col("is_outside_leaning").cast("double"),
-            "_usable": usable(F.col("free_text")).cast("double"),
-            "_length": F.least(F.length("free_text"), F.lit(400)) / 400.0,
-            "_anomaly": (~is_blank(F.col("anomaly"))).cast("double"),
-            "_one": F.lit(1.0),
-        }
+    return [
+        F.col("is_outside_leaning").cast("double"),
+        usable(F.col("free_text")).cast("double"),
+        F.least(F.length("free_text"), F.lit(400)) / 400.0,
+        (~is_blank(F.col("anomaly"))).cast("double"),
+        F.lit(1.0),
+    ]
+
+
+def _shift(entries: Column, offset: int) -> Column:
+    return F.transform(
+        entries, lambda e: F.struct((e["i"] + offset).alias("i"), e["w"].alias("w"))
     )
 
 
 @dataclass
 class TextModel:
-    """H8: everything needed to turn instances into scores."""
+    """H8: everything needed to turn instances into scores.
+
+    Features are plain (index, value) arrays; scoring and explaining are
+    arithmetic on them, without Python.
+    """
 
     blocks: list[_Block]
-    indexers: list
-    encoders: list
-    assembler: VectorAssembler
-    classifier: LogisticRegressionModel | None = None
+    categories: dict[str, list[str]]
+    coefficients: list[float] | None = None
     name: str = "tfidf_logreg"
-    names: list[str] = field(default_factory=list)
+
+    @property
+    def names(self) -> list[str]:
+        terms = [t for b in self.blocks for t in b.vocabulary.vocabulary]
+        onehot = [f"x{i}_{v}" for i, vs in enumerate(self.categories.values()) for v in vs]
+        return terms + onehot + [*DENSE, ""]
 
     def features(self, df: DataFrame) -> DataFrame:
-        work = _dense(_tokens(df))
+        """H6-H8: add ``features``: array of (index, value), ascending by index."""
+        work = _tokens(df)
+        parts, offset = [], 0
         for block in self.blocks:
-            work = block.apply(work)
-        for indexer, encoder in zip(self.indexers, self.encoders):
-            work = encoder.transform(indexer.transform(work))
-        work = self.assembler.transform(work)
-        keep = set(df.columns) | {"features"}
-        return work.select(*[c for c in work.columns if c in keep])
+            work = block.entries(work)
+            parts.append(_shift(F.col(f"_{block.name}_e"), offset))
+            offset += block.size
+        for name, values in self.categories.items():
+            place = F.array_position(literal_array(values, "string"), F.col(name))
+            hot = F.struct(
+                (place - 1 + offset).cast("int").alias("i"), F.lit(1.0).alias("w")
+            )
+            # an unknown value sets nothing
+            parts.append(
+                F.when(place > 0, F.array(hot)).otherwise(F.array().cast(ENTRIES))
+            )
+            offset += len(values)
+        dense = [
+            F.struct(F.lit(offset + k).alias("i"), v.alias("w")) for k, v in enumerate(_dense())
+        ]
+        parts.append(F.array(*dense))
+        columns = [F.col(c) for c in df.columns]
+        return work.select(
+            *columns, F.concat(*[p.cast(ENTRIES) for p in parts]).alias("features")
+        )
+
+    def _coefficients(self) -> list[float]:
+        if self.coefficients is None:
+            raise RuntimeError("the text model must be fitted before it can be used")
+        return self.coefficients
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Probability of the positive class; H10: unfitted models raise."""
-        if self.classifier is None:
-            raise RuntimeError("the text model must be fitted before it can score")
-        scored = self.classifier.transform(self.features(df))
-        return scored.withColumn(
-            "score", F.get(vector_to_array("probability"), F.lit(1))
-        ).drop("features", "rawPrediction", "probability", "prediction")
+        """Probability of the positive class."""
+        weights = literal_array(self._coefficients(), "double")
+        margin = F.aggregate(
+            "features", F.lit(0.0), lambda a, e: a + e["w"] * F.get(weights, e["i"])
+        )
+        return self.features(df).withColumn(
+            "score", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+        ).drop("features")
 
     def top_features(self, df: DataFrame, k: int = 4) -> DataFrame:
         """Add ``top_features``: the k strongest readable pushes to a flag.
 
-        The product with the coefficients happens on the sparse vector; names
-        starting with a blank are unreadable fragments and weigh nothing here.
+        Names starting with a blank are unreadable fragments and weigh nothing.
         """
-        if self.classifier is None:
-            raise RuntimeError("the text model must be fitted before it can explain")
-        coefficients = self.classifier.coefficients.toArray().copy()
-        hidden = [i for i, n in enumerate(self.names) if n.startswith(" ") or n == ""]
-        coefficients[hidden] = 0.0
-        push = ElementwiseProduct(
-            scalingVec=DenseVector(coefficients), inputCol="features", outputCol="_push"
-        )
-        work = push.transform(self.features(df))
-        vector = F.unwrap_udt("_push")
-        # a mostly filled vector is stored densely and then has no index list
-        index = F.coalesce(
-            vector["indices"], F.sequence(F.lit(0), F.size(vector["values"]) - 1)
-        )
-        rows = F.transform(
-            F.arrays_zip(index.alias("i"), vector["values"].alias("w")),
-            lambda r: F.struct((-r["w"]).alias("m"), r["i"].alias("i")),
+        names = self.names
+        shown = [
+            0.0 if n == "" or n.startswith(" ") else c
+            for n, c in zip(names, self._coefficients())
+        ]
+        weights, labels = literal_array(shown, "double"), literal_array(names, "string")
+        pushes = F.transform(
+            "features",
+            lambda e: F.struct(
+                (-e["w"] * F.get(weights, e["i"])).alias("m"), e["i"].alias("i")
+            ),
         )
-        best = F.slice(F.array_sort(F.filter(rows, lambda r: r["m"] < 0)), 1, k)
-        spark = df.sparkSession
-        named = spark.createDataFrame([(self.names,)], "names array<string>").scalar()
-        return work.withColumn(
+        best = F.slice(F.array_sort(F.filter(pushes, lambda r: r["m"] < 0)), 1, k)
+        return self.features(df).withColumn(
             "top_features",
             F.transform(
                 best,
                 lambda r: F.struct(
-                    F.get(named, r["i"]).alias("feature"), (-r["m"]).alias("weight")
+                    F.get(labels, r["i"]).alias("feature"), (-r["m"]).alias("weight")
                 ),
             ),
-        ).drop("features", "_push")
+        ).drop("features")
 
 
 def class_weights(train: DataFrame) -> tuple[float, float, int]:
@@ -242,43 +283,40 @@ def fit(train: DataFrame, cfg: TextModelConfig = TextModelConfig()) -> TextModel
     per-row mean the optimiser uses is undone in ``regParam``.
     """
     negative, positive, n = class_weights(train)
-    tokens = _dense(_tokens(train))
+    tokens = _tokens(train)
     blocks = [
         _fit_block(tokens, "word", cfg.word_min_df, cfg.max_word_features),
         _fit_block(tokens, "char", cfg.char_min_df, cfg.max_char_features),
         _fit_block(tokens, "cross", cfg.word_min_df, cfg.max_interactions),
     ]
-    indexers, encoders = [], []
-    work = tokens
-    for c in cfg.categories:
-        ix = StringIndexer(inputCol=c, outputCol=f"_{c}_i", handleInvalid="keep").fit(work)
-        work = ix.transform(work)
-        enc = OneHotEncoder(inputCol=f"_{c}_i", outputCol=f"_{c}_o", dropLast=True).fit(work)
-        indexers.append(ix)
-        encoders.append(enc)
-    assembler = VectorAssembler(
-        inputCols=[f"_{b.name}_f" for b in blocks] + [f"_{c}_o" for c in cfg.categories]
-        + ["_is_outside", "_usable", "_length", "_anomaly", "_one"],
-        outputCol="features",
-    )
-    model = TextModel(blocks, indexers, encoders, assembler)
-    model.names = (
-        [t for b in blocks for t in b.vocabulary.vocabulary]
-        + [f"x{i}_{v}" for i, ix in enumerate(indexers) for v in ix.labels]
-        + [*DENSE, ""]
-    )
-    rows = model.features(train).withColumn(
-        "_weight", F.when(F.col("label") == 1, positive).otherwise(negative)
+    model = TextModel(blocks, {c: _levels(train, c, cfg.max_levels) for c in cfg.categories})
+    size = len(model.names)
+    rows = model.features(train).select(
+        F.col("label").cast("double").alias("label"),
+        F.when(F.col("label") == 1, positive).otherwise(negative).alias("weight"),
+        to_vector(
+            F.lit(size), F.transform("features", lambda e: e["i"]),
+            F.transform("features", lambda e: e["w"]),
+        ).alias("features"),
     )
     classifier = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="_weight",
+        featuresCol="features", labelCol="label", weightCol="weight",
         regParam=1.0 / (cfg.c * n), elasticNetParam=0.0, standardization=False,
         fitIntercept=False, maxIter=cfg.max_iter, tol=cfg.tol,
     )
-    model.classifier = classifier.fit(rows)
+    model.coefficients = [float(c) for c in classifier.fit(rows).coefficients.toArray()]
     return model
 
 
+def _levels(train: DataFrame, name: str, limit: int) -> list[str]:
+    """H6: the values of a categorical column, whose number must stay small."""
+    found = train.select(name).where(F.col(name).isNotNull()).distinct().limit(limit + 1)
+    levels = sorted(r[0] for r in found.collect())
+    if len(levels) > limit:
+        raise ValueError(f"{name} has more than {limit} values; it is not categorical")
+    return levels
+
+
 def explain(form_ref: Column) -> Column:
     """Which learned features drove the flag; needs ``top_features``."""
     readable = F.array_join(

@@ -42,10 +42,14 @@ def replace_first(text: Column, needle: str, by: str) -> Column:
 def soften(text: Column, softeners: Mapping[str, str]) -> Column:
     out = F.concat(F.lit(" "), text, F.lit(" "))
     for needle, by in softeners.items():
-        out = let(out, lambda t, n=needle, b=by: replace_first(t, n, b))
+        out = _soften_one(out, needle, by)
     return strip(out)
 
 
+def _soften_one(text: Column, needle: str, by: str) -> Column:
+    return let(text, lambda t: replace_first(t, needle, by))
+
+
 def _pick(options: Sequence[str], h: Column, offset: int) -> Column:
     """One of the options, by four hex digits of a digest."""
     index = F.conv(F.substring(h, 1 + offset, 4), 16, 10).cast("int") % F.lit(len(options))
