@@ -1 +1,600 @@
+"""Queries of families L-P: splits, metrics, leakage, calibration, invariance."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import calibration, leakage, metrics, rules, splits, variants
+from ..plans.evaluate import score_table
+from . import demo
+from .base import Tables, op
+from .sql import FORM, FORM_INST, INST, SCORED, q
+
+SEED = 20260907
+ATTRIBUTES = ("contradiction_type", "subtlety", "archetype", "register")
+
+
+def _r(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# ---------------------------------------------------------- L: splits and folds
+_KEY = {"record": "record_id", "unit": "coalesce(nullif(unit_key, ''), '__empty__' || pair_id)"}
+
+
+def _ranked(kind: str) -> str:
+    return f"""g AS (SELECT {_KEY[kind]} AS group_key, max(label) > 0 AS has_positive FROM inst GROUP BY 1),
+     ranked AS (SELECT group_key, has_positive,
+      row_number() OVER (PARTITION BY has_positive ORDER BY md5('{SEED}|' || group_key)) AS rank,
+      count(*) OVER (PARTITION BY has_positive) AS n FROM g)"""
+
+
+_SIDE = "CASE WHEN rank <= round_even(n * 0.3, 0) THEN 'test' ELSE 'train' END"
+
+
+@op(
+    "L1_group_key",
+    f"""WITH {FORM}, {FORM_INST} SELECT record_id, pair_id, CASE WHEN pair_id = 'p_status' AND free_text <> ''
+      THEN md5(free_text) ELSE '__empty__' || pair_id END AS group_key FROM form_inst""",
+)
+def _(t: Tables):
+    has_unit = (F.col("pair_id") == "p_status") & (F.col("free_text") != "")
+    df = t.form_inst.withColumn("unit_key", F.when(has_unit, F.md5("free_text")).otherwise(""))
+    return df.select("record_id", "pair_id", splits.group_key("unit").alias("group_key"))
+
+
+@op(
+    "L2_group_holdout",
+    f"WITH {INST}, {_ranked('unit')} SELECT group_key, has_positive, {_SIDE} AS split FROM ranked",
+)
+def _(t: Tables):
+    return splits.group_holdout(t.inst, "unit")
+
+
+for _kind, _id in (("record", "L3"), ("unit", "L4")):
+    @op(
+        f"{_id}_split_by_{_kind}",
+        f"""WITH {INST}, {_ranked(_kind)} SELECT i.pair_id, {_SIDE} AS split FROM inst i
+         JOIN ranked r ON r.group_key = {_KEY[_kind]}""",
+    )
+    def _(t: Tables, kind=_kind):
+        return splits.make_split(t.inst, kind).select("pair_id", "split")
+
+
+@op(
+    "L6_split_summary",
+    f"""WITH {INST}, {_ranked('record')}, s AS (SELECT i.*, {_SIDE} AS split FROM inst i
+      JOIN ranked r ON r.group_key = i.record_id),
+     u AS (SELECT unit_key FROM s WHERE split = 'train' INTERSECT SELECT unit_key FROM s WHERE split = 'test')
+     SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test,
+      coalesce(CAST(sum(label) FILTER (split = 'train') AS BIGINT), 0) AS train_positives,
+      coalesce(CAST(sum(label) FILTER (split = 'test') AS BIGINT), 0) AS test_positives,
+      count(DISTINCT record_id) FILTER (split = 'train') AS train_records,
+      count(DISTINCT record_id) FILTER (split = 'test') AS test_records,
+      round(coalesce(sum(label) FILTER (split = 'test'), 0) / greatest(count(*) FILTER (split = 'test'), 1), 5)
+       AS test_positive_rate, (SELECT count(*) FROM u) AS shared_units FROM s""",
+)
+def _(t: Tables):
+    return splits.split_summary(splits.make_split(t.inst, "record"))
+
+
+@op(
+    "L7_grouped_folds",
+    f"""WITH {INST}, {_ranked('record')} SELECT i.pair_id, CAST((rank - 1) % 5 AS INT) AS fold FROM inst i
+     JOIN ranked r ON r.group_key = i.record_id""",
+)
+def _(t: Tables):
+    return splits.with_folds(t.inst, "record").select("pair_id", "fold")
+
+
+@op(
+    "L8_fold_positives",
+    f"""WITH {INST}, {_ranked('unit')} SELECT CAST((rank - 1) % 5 AS INT) AS fold, count(*) AS n,
+     CAST(sum(label) AS BIGINT) AS positives FROM inst i JOIN ranked r ON r.group_key = {_KEY['unit']} GROUP BY 1""",
+)
+def _(t: Tables):
+    return splits.fold_positives(splits.with_folds(t.inst, "unit"))
+
+
+@op(
+    "L9_run_metadata",
+    f"""WITH {SCORED} SELECT round(avg(score), 5) AS mean_score,
+     count(*) FILTER (score > 0) AS nonzero_scores FROM scored""",
+)
+def _(t: Tables):
+    return splits.run_metadata(t.scored)
+
+
+# --------------------------------------------------------------- M: metrics
+_COUNTS = """SELECT threshold, count(*) FILTER (score >= threshold) AS n_flags,
+  count(*) FILTER (score >= threshold AND label = 1) AS tp, sum(label) AS pos,
+  count(DISTINCT record_id) AS records FROM scored, th GROUP BY threshold"""
+_POINT = """SELECT threshold, round(CASE WHEN n_flags = 0 THEN 0 ELSE tp / n_flags END, 6) AS precision,
+  round(CASE WHEN pos = 0 THEN 0 ELSE tp / pos END, 6) AS recall,
+  round(CASE WHEN n_flags + pos = 0 THEN 0 ELSE 2 * tp / (n_flags + pos) END, 6) AS f1,
+  n_flags, round(n_flags / greatest(records, 1), 6) AS flags_per_record, tp AS true_positives,
+  CAST(pos - tp AS BIGINT) AS missed FROM counts"""
+
+
+def _rounded_points(df: DataFrame) -> DataFrame:
+    for c in ("precision", "recall", "f1", "flags_per_record"):
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+@op(
+    "M1_operating_point",
+    f"WITH {SCORED}, th AS (SELECT 0.37::DOUBLE AS threshold), counts AS ({_COUNTS}) {_POINT}",
+)
+def _(t: Tables):
+    return _rounded_points(metrics.operating_point(t.scored, 0.37))
+
+
+_GRID = ", ".join(f"({x}::DOUBLE)" for x in metrics.THRESHOLDS)
+
+
+@op(
+    "M2_threshold_sweep",
+    f"WITH {SCORED}, th AS (SELECT * FROM (VALUES {_GRID}) v(threshold)), counts AS ({_COUNTS}) {_POINT}",
+)
+def _(t: Tables):
+    return _rounded_points(metrics.sweep(t.scored))
+
+
+def _m3(target: float) -> str:
+    return f"""WITH {SCORED}, cand AS (SELECT DISTINCT score FROM scored WHERE score > 0),
+     pt AS (SELECT c.score, count(*) FILTER (s.score >= c.score AND label = 1) / sum(label) AS recall
+       FROM cand c, scored s GROUP BY c.score),
+     th AS (SELECT coalesce(max(score) FILTER (recall >= {target}), arg_max(score, (recall, score)), 1.0) AS threshold FROM pt),
+     counts AS ({_COUNTS}) SELECT round(threshold, 6) AS threshold, * EXCLUDE (threshold) FROM ({_POINT})"""
+
+
+@op("M3_threshold_for_recall", _m3(0.5))
+def _(t: Tables):
+    df = _rounded_points(metrics.threshold_for_recall(t.scored, 0.5))
+    return df.withColumn("threshold", F.round("threshold", 6))
+
+
+@op("M3_unreachable_target", _m3(0.99))
+def _(t: Tables):
+    df = _rounded_points(metrics.threshold_for_recall(t.scored, 0.99))
+    return df.withColumn("threshold", F.round("threshold", 6))
+
+
+_STEPS = """steps AS (SELECT score, count(*) AS n, sum(label) AS pos FROM scored GROUP BY score),
+ cum AS (SELECT *, sum(n) OVER w AS cum_n, sum(pos) OVER w AS cum_pos, sum(n) OVER () AS total_n,
+  sum(pos) OVER () AS total_pos FROM steps WINDOW w AS (ORDER BY score DESC))"""
+
+
+@op(
+    "M4_average_precision",
+    f"WITH {SCORED}, {_STEPS} SELECT round(sum(pos / total_pos * cum_pos / cum_n), 6) AS pr_auc FROM cum",
+)
+def _(t: Tables):
+    return metrics.ranking_metrics(metrics.score_steps(t.scored)).select(_r("pr_auc", "pr_auc"))
+
+
+@op(
+    "M5_roc_auc",
+    f"""WITH {SCORED}, {_STEPS} SELECT round(sum(pos * ((total_n - total_pos) - (cum_n - cum_pos)
+      + 0.5 * (n - pos))) / max(total_pos * (total_n - total_pos)), 6) AS roc_auc FROM cum""",
+)
+def _(t: Tables):
+    return metrics.ranking_metrics(metrics.score_steps(t.scored)).select(_r("roc_auc", "roc_auc"))
+
+
+@op(
+    "M6_precision_recall_curve",
+    f"""WITH {SCORED}, {_STEPS} SELECT round(score, 6) AS threshold, round(cum_pos / cum_n, 6) AS precision,
+     round(cum_pos / total_pos, 6) AS recall FROM cum""",
+)
+def _(t: Tables):
+    curve = metrics.pr_curve(metrics.score_steps(t.scored))
+    return curve.select(*[_r(c, c) for c in ("threshold", "precision", "recall")])
+
+
+@op("M7_brier", f"WITH {SCORED} SELECT round(avg(pow(score - label, 2)), 6) AS brier FROM scored")
+def _(t: Tables):
+    return metrics.brier(t.scored).select(_r("brier", "brier"))
+
+
+_MACRO = """SELECT round(((2.0 * tp / (2 * tp + fp + fn)) + (2.0 * tn / (2 * tn + fp + fn))) / 2, 6) AS macro_f1 FROM (
+  SELECT count(*) FILTER (score >= 0.35 AND label = 1) AS tp, count(*) FILTER (score >= 0.35 AND label = 0) AS fp,
+   count(*) FILTER (score < 0.35 AND label = 1) AS fn, count(*) FILTER (score < 0.35 AND label = 0) AS tn FROM scored)"""
+
+
+@op("M8_macro_f1", f"WITH {SCORED} {_MACRO}")
+def _(t: Tables):
+    return metrics.macro_f1(t.scored, F.lit(0.35)).select(_r("macro_f1", "macro_f1"))
+
+
+_LEVELS = " UNION ALL ".join(
+    f"SELECT {q(a)} AS attribute, CAST({a} AS VARCHAR) AS level, record_id, score, label FROM scored WHERE label = 1"
+    for a in ATTRIBUTES
+)
+
+
+@op(
+    "M9_group_recall",
+    f"""WITH {SCORED}, lv AS ({_LEVELS}) SELECT attribute, level, count(*) AS n,
+     count(*) FILTER (score >= 0.35) AS caught, round(count(*) FILTER (score >= 0.35) / count(*), 4) AS recall
+     FROM lv WHERE level IS NOT NULL GROUP BY attribute, level""",
+)
+def _(t: Tables):
+    return metrics.group_recall(t.scored, 0.35)
+
+
+def _two_methods(t: Tables) -> DataFrame:
+    """Two rule methods: all terms, and without the two most frequent ones."""
+    few = demo.INSULT_RULES.without({"trash", "idiot"}, "rules_fewer")
+    return score_table(
+        t.inst,
+        {
+            "rules": (None, lambda df: rules.score_rules(df, demo.INSULT_RULES)),
+            "rules_fewer": (None, lambda df: rules.score_rules(df, few)),
+        },
+        kinds=("record",),
+    )
+
+
+@op(
+    "M10_evaluation",
+    f"""WITH {SCORED}, {_STEPS},
+     a AS (SELECT sum(pos / total_pos * cum_pos / cum_n) AS pr_auc, sum(pos * ((total_n - total_pos) - (cum_n - cum_pos)
+      + 0.5 * (n - pos))) / max(total_pos * (total_n - total_pos)) AS roc_auc FROM cum),
+     b AS (SELECT count(*) AS n_instances, CAST(sum(label) AS BIGINT) AS n_positive, count(DISTINCT record_id) AS n_records,
+       avg(pow(score - label, 2)) AS brier FROM scored),
+     pt AS (SELECT score, cum_pos / total_pos AS recall FROM cum WHERE score > 0),
+     th AS (SELECT coalesce(max(score) FILTER (recall >= 0.8), arg_max(score, (recall, score)), 1.0) AS threshold FROM pt),
+     c AS ({_COUNTS}),
+     u AS (SELECT recall AS r FROM (SELECT tp / pos AS recall FROM c))
+     SELECT 'rules' AS method, n_instances, n_positive, n_records, round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc,
+      round(brier, 6) AS brier, round(threshold, 6) AS threshold,
+      (CASE WHEN r < 0.8 THEN 1 ELSE 0 END + CASE WHEN n_positive < 30 THEN 1 ELSE 0 END) AS n_notes FROM a, b, th, u""",
+)
+def _(t: Tables):
+    df = metrics.evaluate(_two_methods(t), ["method", "split"])
+    return df.where("method = 'rules'").select(
+        "method", "n_instances", "n_positive", "n_records", _r("pr_auc", "pr_auc"),
+        _r("roc_auc", "roc_auc"), _r("brier", "brier"), _r("threshold", "threshold"),
+        F.size("notes").alias("n_notes"),
+    )
+
+
+@op(
+    "M11_method_matrix",
+    f"""WITH {SCORED}, x AS (SELECT contradiction_type AS level, count(*) FILTER (score >= 0.35) / count(*) AS r
+      FROM scored WHERE label = 1 GROUP BY 1)
+     SELECT 'rules' AS method, round(max(r) FILTER (level = 'type0'), 4) AS type0,
+      round(max(r) FILTER (level = 'type1'), 4) AS type1, round(max(r) FILTER (level = 'type2'), 4) AS type2 FROM x""",
+)
+def _(t: Tables):
+    recalls = metrics.group_recall(_two_methods(t), 0.35, ["method"], ["contradiction_type"])
+    return metrics.recall_matrix(recalls, ["type0", "type1", "type2"]).where("method = 'rules'")
+
+
+# --------------------------------------------------------------- N: leakage
+_WORDS = ("trash", "idiot", "clown", "no such phrase", "worthless", "il la", "on the")
+
+
+def _cues(t: Tables) -> DataFrame:
+    rows = [(lang, w, i) for lang in demo.LANGS for i, w in enumerate(_WORDS)]
+    return t.spark.createDataFrame(rows, "pair_id string, term string, ord int")
+
+
+def _units(t: Tables) -> DataFrame:
+    return t.read("documents").select(
+        F.col("lang").alias("pair_id"), F.col("doc_id").alias("unit_id"), "text"
+    )
+
+
+_HITS = "list_filter([" + ", ".join(q(w) for w in _WORDS) + "], lambda w: contains(lower(text), w))"
+_LEAKS = f"leaks AS (SELECT lang AS pair_id, doc_id AS unit_id, text, {_HITS} AS hits FROM documents)"
+
+
+@op(
+    "N1_cue_containment",
+    f"WITH {_LEAKS} SELECT pair_id, unit_id, array_to_string(hits, '|') AS hits FROM leaks",
+)
+def _(t: Tables):
+    leaks = leakage.cue_leakage(_units(t), _cues(t))
+    return leaks.select("pair_id", "unit_id", F.array_join("hits", "|").alias("hits"))
+
+
+@op(
+    "N1_passages_in_documents",
+    "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
+)
+def _(t: Tables):
+    return leakage.passage_matches(t.read("benchmark"), t.read("documents"))
+
+
+@op(
+    "N2_leakage_rates",
+    f"""WITH {_LEAKS}, u AS (SELECT count(*) AS n_units, count(*) FILTER (len(hits) > 0) AS n_units_with_cue FROM leaks),
+     x AS (SELECT pair_id, unnest(hits) AS term FROM leaks),
+     l AS (SELECT count(DISTINCT term) AS n_leaked_cues, count(DISTINCT pair_id) AS pairs_affected FROM x)
+     SELECT *, {len(_WORDS)} AS n_cues, round(n_units_with_cue / n_units, 4) AS unit_leakage_rate,
+      round(n_leaked_cues / {len(_WORDS)}, 4) AS cue_leakage_rate FROM u, l""",
+)
+def _(t: Tables):
+    return leakage.leakage_rates(leakage.cue_leakage(_units(t), _cues(t)), _cues(t))
+
+
+@op(
+    "N3_worst_examples",
+    f"""WITH {_LEAKS}, w AS (SELECT pair_id, text, list_reduce(list_concat([''], hits),
+       lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS cue FROM leaks WHERE len(hits) > 0)
+     SELECT pair_id, cue, text FROM w ORDER BY length(cue) DESC, pair_id DESC, cue DESC, text DESC LIMIT 5""",
+)
+def _(t: Tables):
+    return leakage.worst_examples(leakage.cue_leakage(_units(t), _cues(t)))
+
+
+@op(
+    "N4_deleaked_cues",
+    f"""WITH c AS (SELECT * FROM (VALUES {', '.join(f'({q(w)})' for w in _WORDS)}) v(term)),
+     p AS (SELECT * FROM (VALUES {', '.join(f'({q(w)})' for w in demo.LANGS)}) v(pair_id))
+     SELECT pair_id, term FROM c, p WHERE NOT (len(string_split(term, ' ')) >= 2
+      AND EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), term)))""",
+)
+def _(t: Tables):
+    corpus = leakage.corpus_text(t.read("documents"))
+    return leakage.deleaked_cues(_cues(t), corpus, 2).select("pair_id", "term")
+
+
+# ----------------------------------------------------- O: calibration, bootstrap
+_EDGE = " ".join(
+    f"WHEN score >= {i} * 0.1::DOUBLE THEN {i}" for i in range(9, 0, -1)
+)
+_BINS = f"""bins AS (SELECT CASE {_EDGE} ELSE 0 END AS bin, count(*) AS n, avg(score) AS predicted,
+  avg(label) AS observed, sum(label) AS positives FROM scored GROUP BY 1)"""
+
+
+@op(
+    "O1_reliability_bins",
+    f"""WITH {SCORED}, {_BINS} SELECT bin, n, round(predicted, 6) AS predicted, round(observed, 6) AS observed,
+     n >= 20 AS kept FROM bins""",
+)
+def _(t: Tables):
+    return calibration.reliability_bins(t.scored).select(
+        "bin", "n", _r("predicted", "predicted"), _r("observed", "observed"), "kept"
+    )
+
+
+@op(
+    "O2_calibration_error",
+    f"""WITH {SCORED}, {_BINS} SELECT
+     round(coalesce(sum(n * abs(predicted - observed)) FILTER (n >= 20) / sum(n) FILTER (n >= 20), 0), 6) AS ece,
+     round(coalesce(max(abs(predicted - observed)) FILTER (n >= 20), 0), 6) AS mce FROM bins""",
+)
+def _(t: Tables):
+    return calibration.calibration(calibration.reliability_bins(t.scored)).select(
+        _r("ece", "ece"), _r("mce", "mce")
+    )
+
+
+@op(
+    "O3_brier_decomposition",
+    f"""WITH {SCORED}, {_BINS}, b AS (SELECT avg(label) AS base, avg(pow(score - label, 2)) AS brier FROM scored)
+     SELECT round(max(brier), 6) AS brier, round(sum(n * pow(predicted - observed, 2)) / sum(n), 6) AS reliability,
+      round(sum(n * pow(observed - base, 2)) / sum(n), 6) AS resolution,
+      round(max(base * (1 - base)), 6) AS uncertainty, CAST(sum(n) AS BIGINT) AS n_scored FROM bins, b""",
+)
+def _(t: Tables):
+    df = calibration.calibration(calibration.reliability_bins(t.scored))
+    return df.select(
+        *[_r(c, c) for c in ("brier", "reliability", "resolution", "uncertainty")], "n_scored"
+    )
+
+
+def _poisson_sql(u: str) -> str:
+    p, cumulative, parts = 2.718281828459045 ** -1, 0.0, []
+    for k in range(9):
+        cumulative += p
+        parts.append(f"WHEN {u} < {cumulative!r}::DOUBLE THEN {k}")
+        p /= k + 1
+    return f"CASE {' '.join(parts)} ELSE 9 END"
+
+
+def _boot_sql(n_boot: int, keys: str) -> str:
+    draw = (
+        "('0x' || substr(md5(concat('20260907|', record_id, '|', r // 4)), 1 + 8 * (r % 4), 8))::BIGINT"
+        " / 4294967295.0::DOUBLE"
+    )
+    by = f"{keys}, " if keys else ""
+    return f"""rep AS (SELECT {by} r, sum(m * tp) / sum(m * pos) AS recall FROM (
+       SELECT {by} r, tp, pos, {_poisson_sql(draw)} AS m FROM per_record, range({n_boot}) t(r) WHERE pos > 0)
+      WHERE m > 0 GROUP BY {by} r)"""
+
+
+@op(
+    "O4_bootstrap_recall",
+    f"""WITH {SCORED}, per_record AS (SELECT record_id, count(*) FILTER (label = 1 AND score >= 0.35) AS tp,
+      sum(label) AS pos FROM scored GROUP BY record_id), {_boot_sql(400, '')}
+     SELECT (SELECT CAST(sum(pos) AS BIGINT) FROM per_record) AS n, (SELECT CAST(sum(tp) AS BIGINT) FROM per_record) AS caught,
+      round(quantile_cont(recall::DOUBLE, 0.025), 6) AS low, round(quantile_cont(recall::DOUBLE, 0.975), 6) AS high FROM rep""",
+)
+def _(t: Tables):
+    df = calibration.bootstrap_recall(t.scored, 0.35, n_boot=400)
+    return df.select("n", "caught", _r("low", "low"), _r("high", "high"))
+
+
+_O5 = f"""WITH {SCORED}, lv AS ({_LEVELS}), per_record AS (SELECT attribute, level, record_id,
+   count(*) FILTER (score >= 0.35) AS tp, count(*) AS pos FROM lv WHERE level IS NOT NULL GROUP BY ALL),
+  {_boot_sql(200, 'attribute, level')},
+  ci AS (SELECT attribute, level, quantile_cont(recall::DOUBLE, 0.025) AS low, quantile_cont(recall::DOUBLE, 0.975) AS high
+   FROM rep GROUP BY ALL),
+  tot AS (SELECT attribute, level, CAST(sum(pos) AS BIGINT) AS n, CAST(sum(tp) AS BIGINT) AS caught FROM per_record GROUP BY ALL),
+  o5 AS (SELECT *, caught / n AS recall FROM tot JOIN ci USING (attribute, level))"""
+
+
+def _intervals(t: Tables) -> DataFrame:
+    return calibration.recall_with_intervals(t.scored, 0.35, n_boot=200)
+
+
+@op(
+    "O5_group_intervals",
+    f"""{_O5} SELECT attribute, level, n, caught, round(recall, 6) AS recall, round(low, 6) AS low,
+     round(high, 6) AS high, round(high - low, 6) AS interval_width FROM o5""",
+)
+def _(t: Tables):
+    return _intervals(t).select(
+        "attribute", "level", "n", "caught", _r("recall", "recall"), _r("low", "low"),
+        _r("high", "high"), _r("interval_width", "interval_width"),
+    )
+
+
+@op(
+    "O6_group_gap",
+    f"""{_O5}, w AS (SELECT attribute, arg_min(o5, (recall, level)) AS w, arg_max(o5, (recall, level)) AS b FROM o5 GROUP BY attribute)
+     SELECT attribute, w.level AS worst_level, b.level AS best_level, round(b.recall - w.recall, 6) AS gap,
+      w.high >= b.low AS overlap FROM w""",
+)
+def _(t: Tables):
+    return calibration.group_gap(_intervals(t)).select(
+        "attribute", "worst_level", "best_level", _r("gap", "gap"), "overlap"
+    )
+
+
+# -------------------------------------------------------- P: variant invariance
+VARIANTS = ("a", "b", "c")
+T = 0.35
+
+# Variant scores with known movement: b damps every score, c drops some flags.
+_VS = f"""{SCORED}, vs AS (
+  SELECT record_id, pair_id, label, archetype, 'a' AS variant, score FROM scored
+  UNION ALL SELECT record_id, pair_id, label, archetype, 'b', score * 0.9::DOUBLE FROM scored
+  UNION ALL SELECT record_id, pair_id, label, archetype, 'c',
+   CASE WHEN substr(md5(pair_id), 1, 1) < '8' THEN score ELSE 0.4::DOUBLE END FROM scored),
+ wide AS (SELECT record_id, pair_id, any_value(label) AS label, any_value(archetype) AS archetype,
+  max(score) FILTER (variant = 'a') AS a, max(score) FILTER (variant = 'b') AS b,
+  max(score) FILTER (variant = 'c') AS c FROM vs GROUP BY record_id, pair_id),
+ fl AS (SELECT *, a >= {T} AS fa, b >= {T} AS fb, c >= {T} AS fc FROM wide)"""
+
+
+def _variant_scores(t: Tables) -> DataFrame:
+    base = t.scored.select("record_id", "pair_id", "label", "archetype", "score")
+    low = F.substring(F.md5("pair_id"), 1, 1) < "8"
+    versions = F.array(
+        F.struct(F.lit("a").alias("variant"), F.col("score").alias("s")),
+        F.struct(F.lit("b").alias("variant"), (F.col("score") * 0.9).alias("s")),
+        F.struct(F.lit("c").alias("variant"), F.when(low, F.col("score")).otherwise(0.4).alias("s")),
+    )
+    return base.withColumn("_v", F.explode(versions)).select(
+        "record_id", "pair_id", "label", "archetype", F.col("_v.variant").alias("variant"),
+        F.col("_v.s").alias("score"),
+    )
+
+
+def _wide(t: Tables) -> DataFrame:
+    return variants.side_by_side(_variant_scores(t), VARIANTS)
+
+
+@op("P1_text_variants")
+def _(t: Tables):
+    return variants.make_variants(t.inst, demo.REGISTERS).select(
+        "record_id", "pair_id", "variant", "free_text"
+    )
+
+
+@op("P2_variant_scores")
+def _(t: Tables):
+    texts = variants.make_variants(t.inst, demo.REGISTERS)
+    return rules.score_rules(texts, demo.INSULT_RULES).select(
+        "record_id", "pair_id", "variant", "score"
+    )
+
+
+@op(
+    "P3_flag_sets",
+    f"""WITH {_VS} SELECT record_id, count(*) FILTER (fa) AS n_flags_a, count(*) FILTER (fb) AS n_flags_b,
+     count(*) FILTER (fc) AS n_flags_c FROM fl GROUP BY record_id""",
+)
+def _(t: Tables):
+    return variants.record_agreement(_wide(t), VARIANTS, T).select(
+        "record_id", "n_flags_a", "n_flags_b", "n_flags_c"
+    )
+
+
+def _j(x: str, y: str, side: str = "true") -> str:
+    return (
+        f"CASE WHEN count(*) FILTER (({x} OR {y}) AND {side}) = 0 THEN 1.0::DOUBLE ELSE "
+        f"count(*) FILTER ({x} AND {y} AND {side}) / count(*) FILTER (({x} OR {y}) AND {side}) END"
+    )
+
+
+_AGREE = f"""{_VS}, ag AS (SELECT record_id, {_j('fa', 'fb')} AS j_0_1, {_j('fa', 'fc')} AS j_0_2,
+  {_j('fb', 'fc')} AS j_1_2 FROM fl GROUP BY record_id)"""
+
+
+@op(
+    "P4_record_jaccard",
+    f"WITH {_AGREE} SELECT record_id, round(j_0_1, 6) AS j_0_1, round(j_0_2, 6) AS j_0_2, round(j_1_2, 6) AS j_1_2 FROM ag",
+)
+def _(t: Tables):
+    return variants.record_agreement(_wide(t), VARIANTS, T).select(
+        "record_id", *[_r(c, c) for c in ("j_0_1", "j_0_2", "j_1_2")]
+    )
+
+
+@op(
+    "P5_agreement_summary",
+    f"""WITH {_AGREE} SELECT round(avg(j_0_1), 6) AS jaccard_a_vs_b, round(avg(j_0_2), 6) AS jaccard_a_vs_c,
+     round(avg(j_1_2), 6) AS jaccard_b_vs_c, count(*) FILTER (j_0_1 = 1 AND j_0_2 = 1 AND j_1_2 = 1) AS records_fully_agreeing,
+     count(*) FILTER (NOT (j_0_1 = 1 AND j_0_2 = 1 AND j_1_2 = 1)) AS records_disagreeing,
+     round((avg(j_0_1) + avg(j_0_2) + avg(j_1_2)) / 3, 6) AS mean_jaccard,
+     round(count(*) FILTER (j_0_1 = 1 AND j_0_2 = 1 AND j_1_2 = 1) / count(*), 6) AS agreement_rate FROM ag""",
+)
+def _(t: Tables):
+    df = variants.agreement_summary(variants.record_agreement(_wide(t), VARIANTS, T), VARIANTS)
+    rounded = [c for c in df.columns if not c.startswith("records_")]
+    return df.select(*[_r(c, c) for c in rounded], "records_fully_agreeing", "records_disagreeing")
+
+
+@op(
+    "P6_drift",
+    f"""WITH {_VS} SELECT archetype, round(avg(greatest(a, b, c) - least(a, b, c)), 6) AS mean_drift,
+     round(max(greatest(a, b, c) - least(a, b, c)), 6) AS max_drift FROM wide GROUP BY archetype""",
+)
+def _(t: Tables):
+    df = variants.drift_summary(variants.with_drift(_wide(t), VARIANTS), "archetype")
+    return df.select("archetype", _r("mean_drift", "mean_drift"), _r("max_drift", "max_drift"))
+
+
+@op(
+    "P7_flag_set_agreement",
+    f"""WITH {_VS} SELECT round((({_j('fa', 'fb', 'label = 1')}) + ({_j('fa', 'fc', 'label = 1')})
+      + ({_j('fb', 'fc', 'label = 1')})) / 3, 6) AS tp_jaccard,
+     round((({_j('fa', 'fb', 'label = 0')}) + ({_j('fa', 'fc', 'label = 0')}) + ({_j('fb', 'fc', 'label = 0')})) / 3, 6)
+      AS fp_jaccard FROM fl""",
+)
+def _(t: Tables):
+    df = variants.flag_set_agreement(_wide(t), VARIANTS, T)
+    return df.select(_r("tp_jaccard", "tp_jaccard"), _r("fp_jaccard", "fp_jaccard"))
+
+
+@op(
+    "P8_per_variant",
+    f"""WITH {_VS} SELECT variant, round(count(*) FILTER (score >= {T} AND label = 1) / sum(label), 6) AS recall,
+     round(count(*) FILTER (score >= {T}) / count(DISTINCT record_id), 6) AS flags_per_record FROM vs GROUP BY variant""",
+)
+def _(t: Tables):
+    df = variants.per_variant(_variant_scores(t), T)
+    return df.select("variant", _r("recall", "recall"), _r("flags_per_record", "flags_per_record"))
+
+
+@op(
+    "P9_worst_flips",
+    f"""WITH {_VS}, f AS (SELECT record_id, pair_id, label, greatest(a, b, c) AS max_score,
+      array_to_string(list_filter([CASE WHEN fa THEN 'a' END, CASE WHEN fb THEN 'b' END, CASE WHEN fc THEN 'c' END],
+       lambda x: x IS NOT NULL), ',') AS flagged_in, (fa::INT + fb::INT + fc::INT) AS n FROM fl)
+     SELECT record_id, pair_id, label, round(max_score, 6) AS max_score, flagged_in FROM f WHERE n BETWEEN 1 AND 2
+     ORDER BY f.max_score DESC, record_id, pair_id LIMIT 10""",
+)
+def _(t: Tables):
+    df = variants.worst_flips(_wide(t), VARIANTS, T)
+    return df.select(
+        "record_id", "pair_id", "label", _r("max_score", "max_score"),
+        F.array_join("flagged_in", ",").alias("flagged_in"),
+    )

@@ -86,7 +86,10 @@ def interaction_tokens() -> Column:
 
 def literal_array(values: Sequence, element: str) -> Column:
     """A long constant array; constant folding leaves one literal of it."""
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{element}>")
+    texts = [v if isinstance(v, str) else repr(v) for v in values]
+    if not texts:
+        return F.array().cast(f"array<{element}>")
+    return F.split(F.lit("\x01".join(texts)), "\x01", -1).cast(f"array<{element}>")
 
 
 @F.udf(returnType=VectorUDT(), useArrow=True)
