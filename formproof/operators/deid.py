@@ -92,23 +92,24 @@ def scan(df: DataFrame, spec: FormSpec, policy: DeidPolicy) -> DataFrame:
         gazetteer_terms(known_values(df, spec, policy))
         if names_on else F.array().cast("array<string>")
     )
-    work = df.withColumns({"_boxes": boxes, "_terms": terms})
-    work = work.withColumn("_guard", any_term_pattern(F.col("_terms")))
-
-    def spans_of(box: Column) -> Column:
-        found = detector_spans(box["text"], policy.detectors)
-        if names_on:
-            found = F.concat(
-                found, gazetteer_spans(box["text"], F.col("_terms"), F.col("_guard"))
+
+    def scan_all(known: Column, guard: Column) -> Column:
+        def spans_of(box: Column) -> Column:
+            found = detector_spans(box["text"], policy.detectors)
+            if names_on:
+                found = F.concat(found, gazetteer_spans(box["text"], known, guard))
+            return F.struct(
+                box["field"].alias("field"), box["text"].alias("text"),
+                resolve_overlaps(found).alias("spans"),
             )
-        return F.struct(
-            box["field"].alias("field"), box["text"].alias("text"),
-            resolve_overlaps(found).alias("spans"),
-        )
 
-    return work.withColumn("_scan", F.transform("_boxes", spans_of)).drop(
-        "_boxes", "_terms", "_guard"
+        return F.transform(boxes, spans_of)
+
+    # terms and their alternation are bound once per record, not once per text
+    scanned = let(
+        terms, lambda known: let(any_term_pattern(known), lambda g: scan_all(known, g))
     )
+    return df.withColumn("_scan", scanned)
 
 
 def number_surrogates(scanned: DataFrame) -> DataFrame:
@@ -126,18 +127,18 @@ def number_surrogates(scanned: DataFrame) -> DataFrame:
 
 def rewrite(scanned: DataFrame) -> DataFrame:
     """Add ``_clean``: field -> text with every span replaced."""
-    def token(text: Column, s: Column) -> Column:
-        same_kind = F.filter(F.col("_index"), lambda x: x["kind"] == s["kind"])
+    def token(index: Column, text: Column, s: Column) -> Column:
+        same_kind = F.filter(index, lambda x: x["kind"] == s["kind"])
         return surrogate(s["kind"], F.array_position(same_kind, _occurrence(text, s)))
 
-    def clean(f: Column) -> Column:
+    def clean(index: Column, f: Column) -> Column:
         def step(acc: Column, s: Column) -> Column:
             return F.struct(
                 s["end"].alias("at"),
                 F.concat(
                     acc["out"],
                     F.substring(f["text"], acc["at"] + 1, s["start"] - acc["at"]),
-                    token(f["text"], s),
+                    token(index, f["text"], s),
                 ).alias("out"),
             )
 
@@ -154,7 +155,10 @@ def rewrite(scanned: DataFrame) -> DataFrame:
             F.when(F.size(f["spans"]) == 0, f["text"]).otherwise(rest).alias("value"),
         )
 
-    return scanned.withColumn("_clean", F.map_from_entries(F.transform("_scan", clean)))
+    cleaned = let(
+        F.col("_index"), lambda index: F.transform("_scan", lambda f: clean(index, f))
+    )
+    return scanned.withColumn("_clean", F.map_from_entries(cleaned))
 
 
 def pseudonym(value: Column, salt: str) -> Column:

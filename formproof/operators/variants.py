@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import let, strip, unit_draw
+from ..functions.text import WHITESPACE, let, strip, unit_draw
 
 
 def capitalise(text: Column) -> Column:
@@ -21,10 +21,13 @@ def capitalise(text: Column) -> Column:
 
 def terminate(text: Column) -> Column:
     """End with punctuation."""
-    bare = F.regexp_replace(text, r"(?U)\s+$", "")
-    return F.when(
-        (bare != "") & ~F.substring(bare, -1, 1).isin(".", "!", "?"), F.concat(bare, F.lit("."))
-    ).otherwise(bare)
+    return let(
+        F.rtrim(text, F.lit(WHITESPACE)),
+        lambda bare: F.when(
+            (bare != "") & ~F.substring(bare, -1, 1).isin(".", "!", "?"),
+            F.concat(bare, F.lit(".")),
+        ).otherwise(bare),
+    )
 
 
 def replace_first(text: Column, needle: str, by: str) -> Column:
@@ -69,26 +72,32 @@ def render(core: Column, cfg: Mapping[str, Any], key: Column) -> Column:
     lower_rate = float(cfg.get("lowercase_start_rate", 0.0))
     second_rate = float(cfg.get("add_second_sentence_rate", 0.0))
 
-    def build(h: Column) -> Column:
-        opener = strip(_pick(openers, h, 0))
-        text = body
-        if elaborations:
-            text = F.when(
-                unit_draw(h, 4, 4) < 0.5, F.concat(text, F.lit(", "), _pick(elaborations, h, 8))
-            ).otherwise(text)
-        framed = F.when(
-            opener != "", terminate(capitalise(F.concat(opener, F.lit(" "), text)))
-        ).otherwise(terminate(capitalise(text)))
+    def phrase(h: Column) -> Column:
+        if not elaborations:
+            return body
+        return let(
+            body,
+            lambda b: F.when(
+                unit_draw(h, 4, 4) < 0.5, F.concat(b, F.lit(", "), _pick(elaborations, h, 8))
+            ).otherwise(b),
+        )
+
+    def close(h: Column, framed: Column) -> Column:
         closer = strip(_pick(closers, h, 12))
-        full = F.when(
+        return F.when(
             (unit_draw(h, 4, 16) < second_rate) & (closer != ""),
-            terminate(F.concat(framed, F.lit(" "), capitalise(closer))),
+            let(F.concat(framed, F.lit(" "), capitalise(closer)), terminate),
         ).otherwise(framed)
+
+    def frame(h: Column, text: Column) -> Column:
+        opener = strip(_pick(openers, h, 0))
+        opened = F.when(opener != "", F.concat(opener, F.lit(" "), text)).otherwise(text)
+        framed = let(let(opened, capitalise), terminate)
         return F.when(
             (opener == "") & (unit_draw(h, 4, 20) < lower_rate), terminate(text)
-        ).otherwise(full)
+        ).otherwise(let(framed, lambda f: close(h, f)))
 
-    return let(F.md5(key), build)
+    return let(F.md5(key), lambda h: let(phrase(h), lambda text: frame(h, text)))
 
 
 def make_variants(
