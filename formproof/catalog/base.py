@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.plan import spread
 from ..operators import rules
 from ..session import configure
 from . import demo
@@ -41,7 +42,8 @@ class Tables:
     @cached_property
     def form(self) -> DataFrame:
         """One wide record per order; its text is a whole passage plus a deal note."""
-        orders, customer, nation = (self.read(t) for t in ("orders", "customer", "nation"))
+        customer, nation = self.read("customer"), self.read("nation")
+        orders = spread(self.read("orders"), "o_orderkey")
         passages = self.read("benchmark")
         n = passages.agg(F.count(F.lit(1))).scalar()
         k = F.col("o_orderkey")
@@ -104,7 +106,7 @@ class Tables:
     @cached_property
     def inst(self) -> DataFrame:
         """Labelled instances: one per labelled document, whole text."""
-        labels, documents = self.read("labels"), self.read("documents")
+        labels, documents = self.read("labels"), spread(self.read("documents"), "doc_id")
         toxic = F.col("toxic") == 1
         return labels.join(documents, "doc_id").select(
             F.concat(F.lit("rec-"), "source").alias("record_id"),

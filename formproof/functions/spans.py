@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -30,6 +31,8 @@ class Detector:
     pattern: str
     priority: int
     groups: tuple[tuple[int, str], ...] = ()
+    digits: bool = False  # no match without a digit
+    marks: tuple[str, ...] = ()  # no match without one of these literals
 
 
 # Entity patterns and ranks.  (?U) gives \w, \d, \s and \b their
@@ -37,35 +40,40 @@ class Detector:
 DETECTORS: dict[str, Detector] = {
     d.name: d
     for d in (
-        Detector("email", r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b", 100),
-        Detector("ni_number", r"(?U)\b[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", 95),
-        Detector("uk_postcode", r"(?iU)\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b", 90),
+        Detector("email", r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b", 100, marks=("@",)),
+        Detector("ni_number", r"(?U)\b[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", 95,
+                 digits=True),
+        Detector("uk_postcode", r"(?iU)\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b", 90, digits=True),
         Detector(
             "date_of_birth",
             r"(?iU)\b(?:d\.?o\.?b\.?|date of birth|born)\b[:\s]*"
             r"(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{1,2}\s+\w+\s+\d{4})",
             88,
             ((1, "end"),),
+            digits=True,
         ),
         Detector(
             "url",
             r"(?U)\b(?:https?://|www\.)[^\s<>\"']+"
             r"|\b(?:[\w-]+\.)+(?:com|org|net|ac\.uk|co\.uk|io|gov\.uk)\b(?:/[^\s<>\"']*)?",
             80,
+            marks=(".", "://"),
         ),
-        Detector("uk_phone", r"(?U)(?:\+44\s?|\b0)(?:\d\s?){9,10}\b", 75),
+        Detector("uk_phone", r"(?U)(?:\+44\s?|\b0)(?:\d\s?){9,10}\b", 75, digits=True),
         Detector(
             "person_name",
             r"(?U)\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof(?:essor)?|Sir|Dame)\.?\s+"
             r"[A-Z][a-z'\-]+(?:\s+[A-Z][a-z'\-]+){0,2}",
             70,
+            marks=("Mr", "Ms", "Miss", "Mx", "Dr", "Prof", "Sir", "Dame"),
         ),
-        Detector("company_number", r"(?U)\b(?:[A-Z]{2}\d{6}|\d{8})\b", 60),
+        Detector("company_number", r"(?U)\b(?:[A-Z]{2}\d{6}|\d{8})\b", 60, digits=True),
         Detector(
             "money",
             r"(?iU)£\s?(\d[\d,]*(?:\.\d{2})?)|\b(\d[\d,]*(?:\.\d{2})?)\s?(?:GBP|pounds)\b",
             50,
             ((1, "end"), (2, "start")),
+            digits=True,
         ),
     )
 }
@@ -153,9 +161,20 @@ def detector_spans(text: Column, names: Sequence[str]) -> Column:
     known = [DETECTORS[n] for n in names if n in DETECTORS]
     if not known:
         return no_spans()
-    return F.concat(
-        *[pattern_spans(text, d.pattern, d.name, d.priority, d.groups) for d in known]
-    )
+
+    def run(has_digit: Column) -> Column:
+        parts = []
+        for d in known:
+            spans = pattern_spans(text, d.pattern, d.name, d.priority, d.groups)
+            possible = has_digit if d.digits else F.lit(True)
+            if d.marks:
+                possible = reduce(
+                    lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in d.marks]
+                )
+            parts.append(F.when(possible, spans).otherwise(no_spans()))
+        return F.concat(*parts)
+
+    return let(F.regexp_like(text, F.lit(r"\p{Nd}")), run)
 
 
 def quote(term: Column) -> Column:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DeidPolicy, FormSpec
+from ..functions.plan import once
 from ..functions.spans import (
     AMOUNT_TOKEN,
     RESIDUAL_PATTERNS,
@@ -109,7 +110,7 @@ def scan(df: DataFrame, spec: FormSpec, policy: DeidPolicy) -> DataFrame:
     scanned = let(
         terms, lambda known: let(any_term_pattern(known), lambda g: scan_all(known, g))
     )
-    return df.withColumn("_scan", scanned)
+    return once(df, {"_scan": scanned})
 
 
 def number_surrogates(scanned: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def rewrite(scanned: DataFrame) -> DataFrame:
     cleaned = let(
         F.col("_index"), lambda index: F.transform("_scan", lambda f: clean(index, f))
     )
-    return scanned.withColumn("_clean", F.map_from_entries(cleaned))
+    return once(scanned, {"_clean": F.map_from_entries(cleaned)})
 
 
 def pseudonym(value: Column, salt: str) -> Column:

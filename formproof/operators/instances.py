@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import FormSpec
+from ..functions.plan import rows_of
 from ..functions.text import is_blank, usable
 
 CONTRADICTIONS = "array<struct<pair_id:string,contradiction_type:string,subtlety:int>>"
@@ -49,13 +50,13 @@ def build_unlabelled(df: DataFrame, spec: FormSpec, keep: tuple[str, ...] = ())
         base = F.col(name) if name in have else F.lit(None).cast("string")
         return F.coalesce(base, F.lit("unknown")).alias(name)
 
-    return df.select(
+    kept = [
         F.coalesce(record_id.cast("string"), F.lit("unknown")).alias("record_id"),
         carried("archetype"),
         carried("register"),
         *[F.col(k) for k in keep],
-        F.inline(_candidates(df, spec)),
-    ).withColumns(
+    ]
+    return rows_of(df, _candidates(df, spec), kept, "pair_id").withColumns(
         {
             "label": F.lit(0),
             "contradiction_type": F.lit(None).cast("string"),
@@ -90,11 +91,11 @@ def build_labelled(
         )
         .join(states.select("record_id", "units"), "record_id")
     )
-    rows = wide.select(
+    kept = [
         "record_id", "archetype", "register", "outcome_label",
         "contradictions", "anomalies", "units",
-        F.inline(_candidates(wide, spec)),
-    )
+    ]
+    rows = rows_of(wide, _candidates(wide, spec), kept, "pair_id")
 
     def last_match(array: str, predicate) -> Column:
         # a later entry for the same key overrides an earlier one

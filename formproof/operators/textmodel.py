@@ -11,6 +11,7 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Elementwis
 from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.plan import once
 from ..functions.text import WHITESPACE, is_blank, let, usable
 
 ENTRIES = "array<struct<i:int,w:double>>"
@@ -219,10 +220,8 @@ class TextModel:
             F.struct(F.lit(offset + k).alias("i"), v.alias("w")) for k, v in enumerate(_dense())
         ]
         parts.append(F.array(*dense))
-        columns = [F.col(c) for c in df.columns]
-        return work.select(
-            *columns, F.concat(*[p.cast(ENTRIES) for p in parts]).alias("features")
-        )
+        entries = F.concat(*[p.cast(ENTRIES) for p in parts])
+        return once(work, {"features": entries}).select(*df.columns, "features")
 
     def _coefficients(self) -> list[float]:
         if self.coefficients is None:
