@@ -126,9 +126,9 @@ def _(t: Tables):
     return review.review_priority(t.form, items, CFG)
 
 
-def _assess(df: DataFrame) -> Assessment:
+def _assess(df: DataFrame, work_dir: str | None) -> Assessment:
     method = build_method(METHOD, SPEC, ruleset=demo.FORM_RULES)
-    return assess(df, SPEC, method, CFG, demo.DEID, demo.VALIDATION)
+    return assess(df, SPEC, method, CFG, demo.DEID, demo.VALIDATION, work_dir)
 
 
 # the composed plan scores the scrubbed texts
@@ -143,7 +143,7 @@ _CLEAN_FORM_HITS = FORM_HITS.replace(
     f"WITH {_CLEAN_FORM_HITS}, {CROSS}, {_priority_sql()} SELECT record_id, n_items, priority FROM priority",
 )
 def _(t: Tables):
-    return _assess(t.form).priority
+    return _assess(t.form, scratch_dir(t.spark, "q8")).priority
 
 
 @op(
@@ -153,7 +153,7 @@ def _(t: Tables):
       {_FLAG_MAT} AS materiality FROM b WHERE band_label IS NOT NULL""",
 )
 def _(t: Tables):
-    return _assess(t.form).flags.select(
+    return _assess(t.form, None).flags.select(
         "record_id", "pair_id", "form_ref", F.round("score", 6).alias("score"), "band_label",
         "explanation", F.col("materiality.label").alias("materiality"),
     )
