@@ -163,13 +163,12 @@ def _tokens(df: DataFrame) -> DataFrame:
 
 
 def _dense() -> list[Column]:
-    """H7: polarity, usability, length, anomaly; a constant for the intercept."""
+    """H7: polarity, usability, length, anomaly."""
     return [
         F.col("is_outside_leaning").cast("double"),
         usable(F.col("free_text")).cast("double"),
         F.least(F.length("free_text"), F.lit(400)) / 400.0,
         (~is_blank(F.col("anomaly"))).cast("double"),
-        F.lit(1.0),
     ]
 
 
@@ -190,13 +189,14 @@ class TextModel:
     blocks: list[_Block]
     categories: dict[str, list[str]]
     coefficients: list[float] | None = None
+    intercept: float = 0.0
     name: str = "tfidf_logreg"
 
     @property
     def names(self) -> list[str]:
         terms = [t for b in self.blocks for t in b.vocabulary.vocabulary]
         onehot = [f"x{i}_{v}" for i, vs in enumerate(self.categories.values()) for v in vs]
-        return terms + onehot + [*DENSE, ""]
+        return terms + onehot + list(DENSE)
 
     def features(self, df: DataFrame) -> DataFrame:
         """H6-H8: add ``features``: array of (index, value), ascending by index."""
@@ -232,7 +232,7 @@ class TextModel:
         """Probability of the positive class."""
         weights = literal_array(self._coefficients(), "double")
         margin = F.aggregate(
-            "features", F.lit(0.0), lambda a, e: a + e["w"] * F.get(weights, e["i"])
+            "features", F.lit(self.intercept), lambda a, e: a + e["w"] * F.get(weights, e["i"])
         )
         return self.features(df).withColumn(
             "score", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
@@ -245,7 +245,7 @@ class TextModel:
         """
         names = self.names
         shown = [
-            0.0 if n == "" or n.startswith(" ") else c
+            0.0 if n.startswith(" ") else c
             for n, c in zip(names, self._coefficients())
         ]
         weights, labels = literal_array(shown, "double"), literal_array(names, "string")
@@ -280,9 +280,9 @@ def class_weights(train: DataFrame) -> tuple[float, float, int]:
 def fit(train: DataFrame, cfg: TextModelConfig = TextModelConfig()) -> TextModel:
     """H8, H9: fit vocabularies, then a class-balanced L2 logistic regression.
 
-    The objective is 0.5*|w|^2 + C * sum(weight * loss) with the intercept
-    penalised like any weight, so the intercept is a constant feature and the
-    per-row mean the optimiser uses is undone in ``regParam``.
+    The objective is 0.5*|w|^2 + C * sum(weight * loss); the optimiser averages
+    the loss over the weights, whose sum is n, and ``regParam`` undoes that.
+    The intercept is not penalised.
     """
     negative, positive, n = class_weights(train)
     tokens = _tokens(train)
@@ -304,9 +304,11 @@ def fit(train: DataFrame, cfg: TextModelConfig = TextModelConfig()) -> TextModel
     classifier = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight",
         regParam=1.0 / (cfg.c * n), elasticNetParam=0.0, standardization=False,
-        fitIntercept=False, maxIter=cfg.max_iter, tol=cfg.tol,
+        fitIntercept=True, maxIter=cfg.max_iter, tol=cfg.tol,
     )
-    model.coefficients = [float(c) for c in classifier.fit(rows).coefficients.toArray()]
+    fitted = classifier.fit(rows)
+    model.coefficients = [float(c) for c in fitted.coefficients.toArray()]
+    model.intercept = float(fitted.intercept)
     return model
 
 
