@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.plan import spread
+from ..functions.ranking import next_in_group
 from ..operators import rules
 from ..session import configure
 from . import demo
@@ -155,11 +156,6 @@ class Tables:
 
     @cached_property
     def turns(self) -> DataFrame:
-        from pyspark.sql import Window as W
-
-        w = W.partitionBy("conv_id").orderBy("turn")
-        c = self.read("conversations")
-        return c.select(
-            "conv_id", "turn", "role", F.col("text").alias("premise"),
-            F.lead("text").over(w).alias("hypothesis"),
-        ).where(F.col("hypothesis").isNotNull())
+        c = self.read("conversations").withColumnRenamed("text", "premise")
+        rows = next_in_group(c, ["conv_id"], "turn", "premise", "hypothesis")
+        return rows.where(F.col("hypothesis").isNotNull())

@@ -218,7 +218,7 @@ def _(t: Tables):
 
 @op("E16_replace", f"WITH {FORM} SELECT record_id, '[REDACTED:i_name]' AS i_name FROM form")
 def _(t: Tables):
-    return _deidentified(t).select("record_id", "i_name")
+    return deid.apply_field_policy(t.form, demo.FORM, demo.DEID).select("record_id", "i_name")
 
 
 @op(
@@ -227,7 +227,7 @@ def _(t: Tables):
      concat('qi_', substr(sha256(concat('demo-salt|', i_nation)), 1, 10)) AS i_nation FROM form""",
 )
 def _(t: Tables):
-    return _deidentified(t).select("record_id", "i_nation")
+    return deid.apply_field_policy(t.form, demo.FORM, demo.DEID).select("record_id", "i_nation")
 
 
 @op(
@@ -235,7 +235,7 @@ def _(t: Tables):
     f"WITH {FORM} SELECT record_id, '[MASKED:i_balance]' AS i_balance, q1_status FROM form",
 )
 def _(t: Tables):
-    return _deidentified(t).select("record_id", "i_balance", "q1_status")
+    return deid.apply_field_policy(t.form, demo.FORM, demo.DEID).select("record_id", "i_balance", "q1_status")
 
 
 @op(

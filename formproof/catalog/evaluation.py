@@ -61,6 +61,21 @@ for _kind, _id in (("record", "L3"), ("unit", "L4")):
         return splits.make_split(t.inst, kind).select("pair_id", "split")
 
 
+@op(
+    "L5_split_by_name",
+    f"""WITH {INST}, {_ranked('record')} SELECT i.pair_id, 'record' AS kind, {_SIDE} AS split FROM inst i
+     JOIN ranked r ON r.group_key = i.record_id
+     UNION ALL SELECT pair_id, 'unit', split FROM (WITH {_ranked('unit')} SELECT i.pair_id, {_SIDE} AS split
+      FROM inst i JOIN ranked r ON r.group_key = {_KEY['unit']})""",
+)
+def _(t: Tables):
+    parts = [
+        splits.make_split(t.inst, kind).select("pair_id", F.lit(kind).alias("kind"), "split")
+        for kind in splits.KINDS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @op(
     "L6_split_summary",
     f"""WITH {INST}, {_ranked('record')}, s AS (SELECT i.*, {_SIDE} AS split FROM inst i

@@ -220,6 +220,37 @@ def _(t: Tables):
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 3)
 
 
+@op(
+    "H5_interaction_document_frequency",
+    f"""WITH {INST}, x AS (SELECT DISTINCT pair_id, unnest(list_transform(
+       regexp_extract_all(lower(free_text), '[a-z][a-z''-]+'),
+       lambda t: concat(CASE WHEN is_outside_leaning THEN 'OUT' ELSE 'IN' END, '~', test_id, '~', t))) AS term FROM inst)
+     SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) >= 2""",
+)
+def _(t: Tables):
+    terms = t.inst.select(F.explode(F.array_distinct(textmodel.interaction_tokens())).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 2)
+
+
+@op(
+    "H6_one_hot_and_dense",
+    f"""WITH {INST} SELECT pair_id, CASE test_id WHEN 'de' THEN 0 WHEN 'fr' THEN 1 END AS hot,
+     is_outside_leaning::INT::DOUBLE AS is_outside, (length(trim(free_text)) >= 15)::INT::DOUBLE AS usable,
+     round(least(length(free_text), 400) / 400.0, 6) AS len, 0.0::DOUBLE AS anomaly FROM inst""",
+)
+def _(t: Tables):
+    # no text blocks, one category with some values unknown: the rest of H6-H8
+    model = textmodel.TextModel([], {"test_id": ["de", "fr"]})
+    df = model.features(t.inst).select("pair_id", F.map_from_entries("features").alias("f"))
+    value = lambda i: F.try_element_at("f", F.lit(i))
+    return df.select(
+        "pair_id",
+        F.when(value(0).isNotNull(), 0).when(value(1).isNotNull(), 1).alias("hot"),
+        value(2).alias("is_outside"), value(3).alias("usable"),
+        F.round(value(4), 6).alias("len"), value(5).alias("anomaly"),
+    )
+
+
 _MODEL = textmodel.TextModelConfig(
     categories=("test_id", "structured_value"), max_iter=60,
     max_word_features=5000, max_char_features=5000, max_interactions=20000,

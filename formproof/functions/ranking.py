@@ -50,6 +50,30 @@ def hashed_rank(
     return ranked.drop("_bucket", "_before")
 
 
+def next_in_group(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, per_bucket: int = 256
+) -> DataFrame:
+    """Add the value of the next row (by an integer ``order``) of the same group.
+
+    A group of any size is cut into buckets of the order column; only the first
+    row of each bucket takes part in a window over the whole group.
+    """
+    keys = list(keys)
+    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(per_bucket)))
+    inside = W.partitionBy(*keys, "_bucket").orderBy(order)
+    along = W.partitionBy(*keys).orderBy("_bucket")
+    heads = bucketed.groupBy(*keys, "_bucket").agg(F.min_by(value, order).alias("_head"))
+    follow = heads.select(*keys, "_bucket", F.lead("_head").over(along).alias("_follow"))
+    near = bucketed.withColumns(
+        {"_near": F.lead(value).over(inside), "_end": F.lead(order).over(inside).isNull()}
+    )
+    return (
+        near.join(follow, [*keys, "_bucket"], "left")
+        .withColumn(out, F.when(F.col("_end"), F.col("_follow")).otherwise(F.col("_near")))
+        .drop("_bucket", "_near", "_end", "_follow")
+    )
+
+
 def score_bucket(score: Column, per_unit: int = 256) -> Column:
     """A monotone bucket number for scores in [0, 1], fine near both ends.
 

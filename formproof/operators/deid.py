@@ -181,6 +181,17 @@ def field_treatment(name: str, value: Column, action: str, salt: str) -> Column:
     return F.when(is_blank(value), value).otherwise(new)
 
 
+def apply_field_policy(df: DataFrame, spec: FormSpec, policy: DeidPolicy) -> DataFrame:
+    """E16-E18 alone: treat the declared identifier fields, leave texts as they are."""
+    have = set(df.columns)
+    treated = {}
+    for f in spec.fields:
+        action = policy.field_policy.get(f.pii_class, "keep")
+        if f.id in have and action != "keep":
+            treated[f.id] = field_treatment(f.id, F.col(f.id), action, policy.salt)
+    return df.withColumns(treated)
+
+
 def deidentify(
     df: DataFrame, spec: FormSpec, policy: DeidPolicy = DeidPolicy(), *, report: bool = True
 ) -> DataFrame:
