@@ -40,6 +40,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.read("documents"), "doc_id")
+
     @cached_property
     def form(self) -> DataFrame:
         """One wide record per order; its text is a whole passage plus a deal note."""
@@ -107,7 +111,7 @@ class Tables:
     @cached_property
     def inst(self) -> DataFrame:
         """Labelled instances: one per labelled document, whole text."""
-        labels, documents = self.read("labels"), spread(self.read("documents"), "doc_id")
+        labels, documents = self.read("labels"), self.documents
         toxic = F.col("toxic") == 1
         return labels.join(documents, "doc_id").select(
             F.concat(F.lit("rec-"), "source").alias("record_id"),

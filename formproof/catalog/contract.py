@@ -194,7 +194,7 @@ def _(t: Tables):
     f"SELECT doc_id, length(trim(text, {WS})) >= 400 AS usable FROM documents",
 )
 def _(t: Tables):
-    return t.read("documents").select("doc_id", tx.usable(F.col("text"), 400).alias("usable"))
+    return t.documents.select("doc_id", tx.usable(F.col("text"), 400).alias("usable"))
 
 
 @op(
@@ -237,7 +237,7 @@ def _(t: Tables):
     r"SELECT doc_id, trim(regexp_replace(text, '[\t\n\v\f\r ]+', ' ', 'g')) AS text FROM documents",
 )
 def _(t: Tables):
-    return t.read("documents").select("doc_id", tx.collapse(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", tx.collapse(F.col("text")).alias("text"))
 
 
 @op(
@@ -245,7 +245,7 @@ def _(t: Tables):
     "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '…' ELSE text END AS cut FROM documents",
 )
 def _(t: Tables):
-    return t.read("documents").select("doc_id", tx.truncate(F.col("text"), 500).alias("cut"))
+    return t.documents.select("doc_id", tx.truncate(F.col("text"), 500).alias("cut"))
 
 
 # ------------------------------------------------------------- C: validation

@@ -101,7 +101,7 @@ for _i, _name in enumerate(
 )
 def _(t: Tables):
     spans = sp.detector_spans(F.col("text"), ["email"])
-    df = t.read("documents").select("doc_id", "text", spans.alias("spans"))
+    df = t.documents.select("doc_id", "text", spans.alias("spans"))
     return df.select("doc_id", _surfaces(F.col("text"), F.col("spans")).alias("found"))
 
 
@@ -199,7 +199,7 @@ def _(t: Tables):
 def _(t: Tables):
     from ..config import DeidPolicy
 
-    df = deid.scrub_text(t.read("documents"), "text", DeidPolicy(detectors=("email",)))
+    df = deid.scrub_text(t.documents, "text", DeidPolicy(detectors=("email",)))
     left = F.size(sp.detector_spans(F.col("text_clean"), ["email"]))
     return df.select("doc_id", F.size("entity_spans").alias("n_email"), left.alias("n_left"))
 
@@ -274,13 +274,13 @@ _RESIDUAL_SQL = " OR ".join(
 
 @op("E21_quarantine", f"SELECT doc_id FROM documents WHERE {_RESIDUAL_SQL}")
 def _(t: Tables):
-    _, held = deid.split_safe(t.read("documents"), ["text"])
+    _, held = deid.split_safe(t.documents, ["text"])
     return held.select("doc_id")
 
 
 @op("E22_residual_guard", f"SELECT doc_id, {_RESIDUAL_SQL} AS unsafe FROM documents")
 def _(t: Tables):
-    return t.read("documents").select("doc_id", deid.has_residual(F.col("text")).alias("unsafe"))
+    return t.documents.select("doc_id", deid.has_residual(F.col("text")).alias("unsafe"))
 
 
 @op(
@@ -299,7 +299,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     text = F.col("text")
-    return t.read("documents").select(
+    return t.documents.select(
         "doc_id", tx.content_policy(text)["sha256"].alias("hidden"),
         tx.content_policy(text, True, 80).alias("shown"),
     )

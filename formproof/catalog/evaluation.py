@@ -8,7 +8,7 @@ from ..operators import calibration, leakage, metrics, rules, splits, variants
 from ..plans.evaluate import score_table
 from . import demo
 from .base import Tables, op
-from .sql import FORM, FORM_INST, INST, SCORED, q
+from .sql import FORM, FORM_INST, INST, SCORED, INSULT_HITS, q, squash, weigh
 
 SEED = 20260907
 ATTRIBUTES = ("contradiction_type", "subtlety", "archetype", "register")
@@ -298,7 +298,7 @@ def _cues(t: Tables) -> DataFrame:
 
 
 def _units(t: Tables) -> DataFrame:
-    return t.read("documents").select(
+    return t.documents.select(
         F.col("lang").alias("pair_id"), F.col("doc_id").alias("unit_id"), "text"
     )
 
@@ -321,7 +321,7 @@ def _(t: Tables):
     "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
 )
 def _(t: Tables):
-    return leakage.passage_matches(t.read("benchmark"), t.read("documents"))
+    return leakage.passage_matches(t.read("benchmark"), t.documents)
 
 
 @op(
@@ -354,7 +354,7 @@ def _(t: Tables):
       AND EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), term)))""",
 )
 def _(t: Tables):
-    corpus = leakage.corpus_text(t.read("documents"))
+    corpus = leakage.corpus_text(t.documents)
     return leakage.deleaked_cues(_cues(t), corpus, 2).select("pair_id", "term")
 
 
@@ -506,18 +506,77 @@ def _wide(t: Tables) -> DataFrame:
     return variants.side_by_side(_variant_scores(t), VARIANTS)
 
 
-@op("P1_text_variants")
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _cap(x: str) -> str:
+    head = rf"regexp_extract({x}, '^[^\p{{L}}]*')"
+    return f"concat({head}, upper(substr({x}, length({head}) + 1, 1)), substr({x}, length({head}) + 2))"
+
+
+def _term(x: str) -> str:
+    bare = f"rtrim({x}, {_BLANKS})"
+    return f"CASE WHEN {bare} = '' OR right({bare}, 1) IN ('.', '!', '?') THEN {bare} ELSE {bare} || '.' END"
+
+
+def _hex(offset: int) -> str:
+    return f"('0x' || substr(h, {offset + 1}, 4))::BIGINT"
+
+
+def _choice(options, offset: int) -> str:
+    listed = "[" + ", ".join(q(o.strip()) for o in options) + "]"
+    return f"{listed}[{_hex(offset)} % {len(options)} + 1]"
+
+
+def _render_sql(name: str, cfg: dict) -> str:
+    """One register as a chain of plain selects."""
+    core = "free_text"
+    if cfg.get("softeners"):
+        core = "' ' || free_text || ' '"
+        for needle, by in cfg["softeners"].items():
+            core = f"regexp_replace({core}, {q(needle)}, {q(by)})"
+        core = f"trim({core}, {_BLANKS})"
+    elaborated = "body"
+    if cfg.get("elaborations"):
+        elaborated = (
+            f"CASE WHEN {_hex(4)} / 65535.0 < 0.5 THEN body || ', ' || {_choice(cfg['elaborations'], 8)} ELSE body END"
+        )
+    rate = cfg.get("add_second_sentence_rate", 0.0)
+    return f"""SELECT record_id, pair_id, test_id, {q(name)} AS variant, CASE WHEN {_hex(16)} / 65535.0 < {rate} AND closer <> ''
+      THEN {_term("full_")} ELSE framed END AS free_text FROM (
+      SELECT *, framed || ' ' || {_cap("closer")} AS full_ FROM (
+       SELECT *, {_term("capped")} AS framed FROM (
+        SELECT *, {_cap("opened")} AS capped FROM (
+         SELECT *, CASE WHEN opener <> '' THEN opener || ' ' || phrase ELSE phrase END AS opened FROM (
+          SELECT *, {elaborated} AS phrase, {_choice(cfg.get("openers") or [""], 0)} AS opener,
+           {_choice(cfg.get("closers") or [""], 12)} AS closer FROM (
+           SELECT record_id, pair_id, test_id, {core} AS body, md5(concat_ws('|', {q(name)}, record_id, pair_id)) AS h
+           FROM inst))))))"""
+
+
+_RENDERED = "rendered AS (" + " UNION ALL ".join(
+    _render_sql(n, c) for n, c in demo.REGISTERS.items()
+) + ")"
+
+
+@op("P1_text_variants", f"WITH {INST}, {_RENDERED} SELECT record_id, pair_id, variant, free_text FROM rendered")
 def _(t: Tables):
     return variants.make_variants(t.inst, demo.REGISTERS).select(
         "record_id", "pair_id", "variant", "free_text"
     )
 
 
-@op("P2_variant_scores")
+@op(
+    "P2_variant_scores",
+    f"""WITH {INST}, {_RENDERED}, hit_ AS (SELECT *, {INSULT_HITS} AS hits FROM (
+      SELECT *, lower(free_text) AS lt FROM rendered)),
+     raw_ AS (SELECT *, {weigh('hits')} AS raw FROM hit_)
+     SELECT record_id, pair_id, variant, round({squash('raw', 'hits')}, 6) AS score FROM raw_""",
+)
 def _(t: Tables):
     texts = variants.make_variants(t.inst, demo.REGISTERS)
     return rules.score_rules(texts, demo.INSULT_RULES).select(
-        "record_id", "pair_id", "variant", "score"
+        "record_id", "pair_id", "variant", _r("score", "score")
     )
 
 

@@ -166,7 +166,7 @@ def _(t: Tables):
      UNION ALL SELECT 'rules_phrase_deleaked', count(*) FILTER (score > 0) FROM form_scored""",
 )
 def _(t: Tables):
-    corpus = t.read("documents").select("text")
+    corpus = t.documents.select("text")
     parts = []
     for name in ("rules_as_authored", "rules_phrase_deleaked"):
         m = build_method(name, SPEC, ruleset=demo.FORM_RULES, corpus=corpus)

@@ -45,7 +45,7 @@ def _(t: Tables):
 def _(t: Tables):
     words = F.array(*[F.lit(w) for w in demo.INSULTS])
     text = F.lower("text")
-    return t.read("documents").select(
+    return t.documents.select(
         "doc_id",
         F.array_join(F.filter(words, lambda w: F.contains(text, w)), ",").alias("found"),
         F.instr(text, F.lit("idiot")).alias("first_at"),
@@ -70,7 +70,7 @@ def _(t: Tables):
             w.alias("term"), rules.is_negated(text, w, demo.INSULT_RULES).alias("negated")
         ),
     )
-    return t.read("documents").select("doc_id", F.inline(hits))
+    return t.documents.select("doc_id", F.inline(hits))
 
 
 for _id, _source in (("G4", "pair_cue"), ("G5", "family_lexicon"), ("G6", "regex")):
@@ -151,7 +151,7 @@ _KEPT = (
      SELECT record_id, pair_id, len(hits) AS n_hits, round({squash('raw', 'hits')}, 6) AS score FROM r""",
 )
 def _(t: Tables):
-    clean = de_leak(demo.FORM_RULES, t.read("documents").select("text"), 1, "rules_vocab_stripped")
+    clean = de_leak(demo.FORM_RULES, t.documents.select("text"), 1, "rules_vocab_stripped")
     return rules.score_rules(t.form_inst, clean).select(
         "record_id", "pair_id", F.size("hits").alias("n_hits"), F.round("score", 6).alias("score")
     )

@@ -158,7 +158,7 @@ def squash(raw: str, hits: str) -> str:
     )
 
 
-_insult_hits = (
+INSULT_HITS = (
     f"list_transform(list_filter({lst(demo.INSULTS)}, lambda t: contains(lt, t)), "
     "lambda t: {'source': 'family_lexicon', 'term': t, "
     f"'negated': {negated('lt', 't', demo.INSULT_RULES.neg_markers)}, "
@@ -166,7 +166,7 @@ _insult_hits = (
 )
 
 SCORED = f"""{INST},
- hit_ AS (SELECT *, {_insult_hits} AS hits FROM (SELECT *, lower(free_text) AS lt FROM inst)),
+ hit_ AS (SELECT *, {INSULT_HITS} AS hits FROM (SELECT *, lower(free_text) AS lt FROM inst)),
  raw_ AS (SELECT *, {weigh('hits')} AS raw FROM hit_),
  scored AS (SELECT *, {squash('raw', 'hits')} AS score FROM raw_)"""
 
