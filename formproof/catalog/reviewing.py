@@ -161,8 +161,7 @@ def _(t: Tables):
 
 @op(
     "Q9_method_registry",
-    f"""WITH {FORM_HITS}, lk AS (SELECT ['the', 'tion', 'and', 'there', 'hat'] AS gone)
-     SELECT 'rules_as_authored' AS method, count(*) FILTER (score > 0) AS n_scored FROM form_scored
+    f"""WITH {FORM_HITS} SELECT 'rules_as_authored' AS method, count(*) FILTER (score > 0) AS n_scored FROM form_scored
      UNION ALL SELECT 'rules_phrase_deleaked', count(*) FILTER (score > 0) FROM form_scored""",
 )
 def _(t: Tables):

@@ -261,6 +261,20 @@ def _model(t: Tables):
     return textmodel.fit(t.inst, _MODEL)
 
 
+@op(
+    "H10_fold_classes",
+    f"""WITH {INST}, g AS (SELECT record_id, max(label) > 0 AS p FROM inst GROUP BY 1),
+     f AS (SELECT record_id, (row_number() OVER (PARTITION BY p ORDER BY md5('20260907|' || record_id)) - 1) % 5 AS fold FROM g)
+     SELECT CAST(fold AS INT) AS fold, count(DISTINCT label) AS n_classes, count(*) AS n FROM inst JOIN f USING (record_id)
+     GROUP BY fold""",
+)
+def _(t: Tables):
+    # a fold with one class only is what fitting refuses
+    return splits.with_folds(t.inst, "record").groupBy("fold").agg(
+        F.countDistinct("label").alias("n_classes"), F.count(F.lit(1)).alias("n")
+    )
+
+
 @op("H9_class_weights", f"""WITH {INST} SELECT round(count(*) / (2.0 * sum(1 - label)), 6) AS w_negative,
      round(count(*) / (2.0 * sum(label)), 6) AS w_positive, count(*) AS n FROM inst""")
 def _(t: Tables):
@@ -325,7 +339,7 @@ _DISTS = f"""jobs AS (
  dists AS (SELECT conv_id, turn, i, reverse,
    CASE WHEN conflict THEN 0.05 WHEN neutral_ THEN 0.15 ELSE 0.70 - j END AS e,
    CASE WHEN conflict THEN 0.10 WHEN neutral_ THEN 0.75 ELSE 0.22 + j END AS n,
-   CASE WHEN conflict THEN 0.85 WHEN neutral_ THEN 0.10 ELSE 0.08 END AS c FROM keyed),
+   CASE WHEN conflict THEN 0.85::DOUBLE WHEN neutral_ THEN 0.10::DOUBLE ELSE 0.08::DOUBLE END AS c FROM keyed),
  best AS (SELECT * FROM (SELECT *, row_number() OVER (
    PARTITION BY conv_id, turn, reverse ORDER BY c DESC, i) AS rn FROM dists) WHERE rn = 1)"""
 _NLI = f"""nli AS (
@@ -606,7 +620,7 @@ def _parsed(t: Tables) -> DataFrame:
 
 @op(
     "J2_parse_verdict",
-    f"{_J} SELECT record_id, pair_id, verdict, round(confidence, 6) AS confidence, parse_failed FROM verdicts_",
+    f"{_J} SELECT record_id, pair_id, verdict, round(confidence::DOUBLE, 6) AS confidence, parse_failed FROM verdicts_",
 )
 def _(t: Tables):
     return _parsed(t).select(
@@ -615,7 +629,7 @@ def _(t: Tables):
     )
 
 
-@op("J3_verdict_score", f"{_J} SELECT record_id, pair_id, round(score, 6) AS score FROM verdicts_")
+@op("J3_verdict_score", f"{_J} SELECT record_id, pair_id, round(score::DOUBLE, 6) AS score FROM verdicts_")
 def _(t: Tables):
     return _parsed(t).select("record_id", "pair_id", F.round("score", 6).alias("score"))
 
@@ -653,7 +667,7 @@ def _(t: Tables):
     "J6_usage",
     f"""{_J} SELECT count(*) AS n_scored, count(*) FILTER (parse_failed) AS parse_failures,
      CAST(sum(length(prompt) // 4) AS BIGINT) AS input_tokens, CAST(30 * count(*) AS BIGINT) AS output_tokens,
-     round(0.25 * count(*), 2) AS total_latency_seconds FROM verdicts_""",
+     round((0.25 * count(*))::DOUBLE, 2) AS total_latency_seconds FROM verdicts_""",
 )
 def _(t: Tables):
     df = _parsed(t).withColumns(

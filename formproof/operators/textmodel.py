@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF
 from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
@@ -285,12 +286,19 @@ def fit(train: DataFrame, cfg: TextModelConfig = TextModelConfig()) -> TextModel
     The intercept is not penalised.
     """
     negative, positive, n = class_weights(train)
-    tokens = _tokens(train)
-    blocks = [
-        _fit_block(tokens, "word", cfg.word_min_df, cfg.max_word_features),
-        _fit_block(tokens, "char", cfg.char_min_df, cfg.max_char_features),
-        _fit_block(tokens, "cross", cfg.word_min_df, cfg.max_interactions),
-    ]
+    # every vocabulary takes several passes over the same tokens; the copy may
+    # spill to disk and is rebuilt from the training data if it is lost
+    tokens = _tokens(train).select("_word_t", "_char_t", "_cross_t").persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    try:
+        blocks = [
+            _fit_block(tokens, "word", cfg.word_min_df, cfg.max_word_features),
+            _fit_block(tokens, "char", cfg.char_min_df, cfg.max_char_features),
+            _fit_block(tokens, "cross", cfg.word_min_df, cfg.max_interactions),
+        ]
+    finally:
+        tokens.unpersist()
     model = TextModel(blocks, {c: _levels(train, c, cfg.max_levels) for c in cfg.categories})
     size = len(model.names)
     rows = model.features(train).select(
