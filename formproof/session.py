@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -23,15 +22,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder that driver and executors share.
 
-    The folder named in ``spark.checkpoint.dir`` is used when the session has
-    one; only a session without it (tests) falls back to a local folder.
+    It lies in the folder named by ``spark.checkpoint.dir``, or in the session's
+    warehouse where that is unset; a session with neither is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    conf = spark.sparkContext.getConf()
+    for key in ("spark.checkpoint.dir", "spark.sql.warehouse.dir"):
+        if root := spark.conf.get(key, None) or conf.get(key, None):
+            return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
