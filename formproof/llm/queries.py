@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formproof.llm import bpe, lines, shards
+from formproof.llm import bpe, lines, pii, shards
 from formproof.llm.common import table, text_of
 
 LLM_QUERIES, LLM_ORACLES = {}, {}
@@ -44,6 +44,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query()
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.number_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.written_out(F.col("base")), 256).alias("base_sha256"),
+        pii.written_out(F.col("spans")).alias("spans"))
+
+
 @query()
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shuffled_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
