@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formproof.llm import bpe, lines, pii, shards
+from formproof.llm import bpe, editprint, lines, pii, shards
 from formproof.llm.common import table, text_of
 
 LLM_QUERIES, LLM_ORACLES = {}, {}
@@ -61,6 +61,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query()
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edited_prints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
