@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formproof.llm import bpe, editprint, lines, pii, shards
+from formproof.llm import bpe, editprint, lines, mix, pii, shards
 from formproof.llm.common import table, text_of
 
 LLM_QUERIES, LLM_ORACLES = {}, {}
@@ -66,6 +66,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edited_prints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query()
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
