@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -150,60 +149,89 @@ class _Tree:
                 np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(low, cut),
                 np.maximum.reduceat(high, cut), np.maximum.reduceat(e, cut)))
 
-    def partners(self, bits: np.ndarray, n: int, excess: int, percent: int) -> np.ndarray:
-        """Rows that may be similar to a set: the tree's nodes are entered from the top while their bound allows."""
+    def partners(self, bits: np.ndarray, n: int, excess: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that may be similar to a set, and their common bits: nodes are entered from the top while their bound allows."""
         nodes = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             b, low, high, e = (x[nodes] for x in self.levels[depth])
-            fits = (100 * low <= 100 * n * 100 // percent) & (100 * high >= percent * n)
-            overlap = np.bitwise_count(b & bits).sum(1) + np.minimum(e, excess)
-            # overlap / (n + m - overlap) >= percent / 100 for the smallest size m in the node
+            common = np.bitwise_count(b & bits).sum(1, dtype=np.int64)
+            overlap = common + np.minimum(e, excess)
+            # overlap / (n + m - overlap) >= percent / 100 for the smallest size m in the node that sizes allow
+            fits = (percent * low <= 100 * n) & (100 * high >= percent * n)
             fits &= overlap * (100 + percent) >= percent * (n + np.maximum(low, -(-percent * n // 100)))
-            nodes = nodes[fits]
+            nodes, common = nodes[fits], common[fits]
             if depth:
                 nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
                 nodes = nodes[nodes < len(self.levels[depth - 1][1])]
-        return nodes
-
-
-def _forest(group: pd.DataFrame, percent: int, first_round: bool) -> list[tuple[int, int]]:
-    """Candidate pairs that would connect all rows of a page that may be connected."""
-    group = group.sort_values(["n", "rep"], kind="stable")
-    rep, comp, page = (group[c].to_numpy() for c in ("rep", "comp", "home"))
-    here, free = page == group["page"].to_numpy(), group["roams"].to_numpy()
-    failed = [set(x) if x is not None else () for x in group["failed"]]
-    bits = np.frombuffer(b"".join(group["bits"]), dtype=np.uint64).reshape(len(group), -1)
-    n = group["n"].to_numpy(dtype=np.int64)
+        return nodes, common
+
+
+class _Page:
+    """Rows of posts as arrays; part() is a group of them."""
+
+    def __init__(self, table: pa.Table):
+        self.t, self.page, self.home, self.roams, self.rep, self.n, self.comp = (
+            table[c].to_numpy() for c in ("t", "page", "home", "roams", "rep", "n", "comp"))
+        self.bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(len(self.t), -1)
+        self.failed = [set(x) if x else () for x in table["failed"].to_pylist()]
+
+    def pairs_of_two(self, at: np.ndarray, percent: int, first_round: bool) -> list[tuple[int, int, int]]:
+        """Candidates of the groups of two rows that begin at `at`."""
+        i, j = at, at + 1
+        common = np.bitwise_count(self.bits[i] & self.bits[j]).sum(1, dtype=np.int64)
+        spare = self.n - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        fits = (self.comp[i] != self.comp[j]) & (100 * low >= percent * high)
+        fits &= (common + np.minimum(spare[i], spare[j])) * (100 + percent) >= percent * (low + high)
+        out = []
+        for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
+            a, b = (x, y) if self.rep[x] < self.rep[y] else (y, x)
+            if self.rep[a] not in self.failed[b]:
+                out.append((int(self.t[a]), int(self.rep[a]), int(self.rep[b])))
+        return out
+
+    def forest(self, begin: int, end: int, percent: int, first_round: bool) -> list[tuple[int, int, int]]:
+        part = slice(begin, end)
+        order = np.lexsort((self.rep[part], self.n[part])) + begin
+        t = int(self.t[begin])
+        pairs = _forest(self.rep[order], self.comp[order], self.home[order] == self.page[order], self.roams[order],
+                        [self.failed[i] for i in order], self.bits[order], self.n[order], percent, first_round)
+        return [(t, a, b) for a, b in pairs]
+
+
+def _forest(rep, comp, here, free, failed, bits, n, percent: int, first_round: bool) -> list[tuple[int, int]]:
+    """Candidate pairs that would connect all rows of a page (in order of size) that may be connected."""
     tree = _Tree(bits, n)
     excess = tree.levels[0][3]
-    root = {c: c for c in comp}
-
-    def find(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
+    label = np.unique(comp, return_inverse=True)[1]
     out = []
-    for i in np.lexsort((rep,)):
+    for i in np.argsort(rep, kind="stable"):
         if not first_round and not free[i]:
             continue  # rows of the main component meet the others when those take their turn
-        near = tree.partners(bits[i], int(n[i]), int(excess[i]), percent)
-        tried = 0
-        for j in near[np.argsort(rep[near], kind="stable")]:
-            if j == i or not (here[i] or here[j]):
-                continue
-            a, b = (j, i) if rep[j] < rep[i] else (i, j)
-            mine, other = find(comp[i]), find(comp[j])
-            if mine == other or rep[a] in failed[b]:
-                continue
-            out.append((int(rep[a]), int(rep[b])))
-            overlap = int(np.bitwise_count(bits[i] & bits[j]).sum())
-            if overlap * 103 >= (percent + 3) * (int(n[i]) + int(n[j]) - overlap):
-                root[max(mine, other)] = min(mine, other)
-            tried += 1
-            if tried == 4:
-                break  # the group runs again with what these have shown
+        if (label == label[0]).all():
+            break
+        near, common = tree.partners(bits[i], int(n[i]), int(excess[i]), percent)
+        open_ = (label[near] != label[i]) & (here[i] | here[near])
+        near, common = near[open_], common[open_]
+        order = np.argsort(rep[near], kind="stable")
+        near, common = near[order], common[order]
+        if failed[i]:
+            left = np.array([rep[j] not in failed[i] for j in near], dtype=bool)
+            near, common = near[left], common[left]
+        near_certain = common * 103 >= (percent + 3) * (n[i] + n[near] - common)
+        doubtful = 0
+        for sure in (True, False):
+            which = near[near_certain == sure]
+            for j in which[np.sort(np.unique(label[which], return_index=True)[1])]:
+                if label[j] == label[i] or (rep[i] in failed[j]):
+                    continue
+                out.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
+                if sure:
+                    label[label == label[j]] = label[i]
+                else:
+                    doubtful += 1
+                    if doubtful == (4 if first_round else 64):
+                        break  # the group runs again with what these have shown
     return out
 
 
@@ -219,12 +247,38 @@ def _candidates(posts: DataFrame, percent: int, first_round: bool) -> DataFrame:
         .withColumn("roams", roams)
         .withColumn("page", F.explode(F.when(F.col("roams"), F.sequence(F.lit(0), F.col("pages") - 1)).otherwise(F.array("home"))))
         .select("t", "page", "home", "roams", "rep", "n", "bits", "comp", "failed"))
+    tasks = 2 * int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are few and dear: not merged by size
+    paged = rows.repartition(tasks, "t", "page").sortWithinPartitions("t", "page")
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        pairs = _forest(group, percent, first_round)
-        return pd.DataFrame({"t": [key[0]] * len(pairs), "a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}).astype("int64")
-
-    return rows.groupBy("t", "page").applyInPandas(run, "t long, a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _and_none(batches):
+            held = [x for x in (rest, batch) if x is not None]
+            if not held:
+                return
+            table = pa.Table.from_batches(held).combine_chunks()
+            t, page = table["t"].to_numpy(), table["page"].to_numpy()
+            cuts = np.flatnonzero((t[1:] != t[:-1]) | (page[1:] != page[:-1])) + 1
+            whole = len(t) if batch is None else (int(cuts[-1]) if len(cuts) else 0)
+            rest = None if batch is None else table.slice(whole).combine_chunks().to_batches()[0]
+            if not whole:
+                continue
+            rows = _Page(table.slice(0, whole))
+            edges = np.concatenate([[0], cuts[cuts < whole], [whole]])
+            sizes = np.diff(edges)
+            out = rows.pairs_of_two(edges[:-1][sizes == 2], percent, first_round)
+            for begin, size in zip(edges[:-1].tolist(), sizes.tolist(), strict=True):
+                if size > 2:
+                    out += rows.forest(begin, begin + size, percent, first_round)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["t", "a", "b"])
+
+    return paged.mapInArrow(run, "t long, a long, b long")
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
