@@ -222,7 +222,9 @@ def _forest(rep, comp, here, free, failed, bits, n, percent: int, first_round: b
         doubtful = 0
         for sure in (True, False):
             which = near[near_certain == sure]
-            for j in which[np.sort(np.unique(label[which], return_index=True)[1])]:
+            if sure or first_round:  # one of each component; later all that are in doubt, as most of them fail
+                which = which[np.sort(np.unique(label[which], return_index=True)[1])]
+            for j in which:
                 if label[j] == label[i] or (rep[i] in failed[j]):
                     continue
                 out.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
@@ -230,7 +232,7 @@ def _forest(rep, comp, here, free, failed, bits, n, percent: int, first_round: b
                     label[label == label[j]] = label[i]
                 else:
                     doubtful += 1
-                    if doubtful == (4 if first_round else 64):
+                    if doubtful == (4 if first_round else 256):
                         break  # the group runs again with what these have shown
     return out
 
