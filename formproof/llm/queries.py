@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formproof.llm import bpe, editprint, lines, mix, pii, setjoin, shards
+from formproof.llm import bpe, editprint, html, lines, mix, pii, setjoin, shards
 from formproof.llm.common import table, text_of
 
 LLM_QUERIES, LLM_ORACLES = {}, {}
@@ -84,3 +84,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
+@query()
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
