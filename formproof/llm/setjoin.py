@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formproof.llm.common import mixed, text_of, written
+from formproof.llm.common import mixed, released, text_of, written
 from formproof.llm.links import components
 
 BITS = 2048
@@ -237,20 +237,25 @@ def _forest(rep, comp, here, free, failed, bits, n, percent: int, first_round: b
     return out
 
 
-def _candidates(posts: DataFrame, percent: int, first_round: bool) -> DataFrame:
-    """(t, a, b) from the groups of posts (t, rep, n, bits, comp, failed)."""
-    each = posts.groupBy("t", "comp").agg(F.count("*").alias("c"))
+def _candidates(posts: DataFrame, facts: DataFrame, percent: int, first_round: bool) -> DataFrame:
+    """(t, a, b) from the groups of posts (t, rep); facts has rep, n, bits, comp, failed of each set.
+
+    Bitmaps join the rows last, so that they are moved once.
+    """
+    rows = posts.join(facts.select("rep", "comp"), "rep")
+    each = rows.groupBy("t", "comp").agg(F.count("*").alias("c"))
     stats = each.groupBy("t").agg(F.sum("c").alias("m"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("kinds"))
     pages = F.ceil(F.col("m") / PAGE).cast("int")
     roams = (F.pmod(F.xxhash64("rep"), F.col("m")) < LEADERS) if first_round else (F.col("comp") != F.col("main"))
     rows = (
-        posts.join(stats.where("kinds > 1"), "t")
+        rows.drop("m").join(stats.where("kinds > 1"), "t")
         .withColumn("pages", pages).withColumn("home", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("pages")).cast("int"))
         .withColumn("roams", roams)
         .withColumn("page", F.explode(F.when(F.col("roams"), F.sequence(F.lit(0), F.col("pages") - 1)).otherwise(F.array("home"))))
-        .select("t", "page", "home", "roams", "rep", "n", "bits", "comp", "failed"))
+        .select("t", "page", "home", "roams", "rep", "comp").join(facts.drop("comp"), "rep"))
     tasks = 2 * int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are few and dear: not merged by size
-    paged = rows.repartition(tasks, "t", "page").sortWithinPartitions("t", "page")
+    columns = ["t", "page", "home", "roams", "rep", "n", "bits", "comp", "failed"]
+    paged = rows.select(columns).repartition(tasks, "t", "page").sortWithinPartitions("t", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -305,14 +310,16 @@ def similar_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     frequent = spark.sparkContext.broadcast(_frequent(docs, words))
-    sets = written(_sets(docs, words, percent, frequent), "sets")
-    classes = written(sets.where("n > 0").groupBy("h1", "h2").agg(
+    whole = written(_sets(docs, words, percent, frequent), "sets")
+    classes = written(whole.where("n > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"),
         F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("bits", "doc_id").alias("bits")), "set_classes")
+    sets = written(whole.select("doc_id", "n", "h1", "h2"), "set_ids")
+    released(whole, spark=spark)
     labels = _linked(docs, classes.where("rep is not null"), words, percent)
     named = classes.select("h1", "h2", "rep").join(
         labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("_c"))
-    rows = sets.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    rows = sets.join(named, ["h1", "h2"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"))
 
 
@@ -321,35 +328,36 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Da
     spark = docs.sparkSession
     entries = classes.select("rep", F.explode("prefix").alias("t"))
     met = entries.groupBy("t").agg(F.count("*").alias("m")).where("m > 1")
-    posts = written(
-        entries.join(met, "t").join(classes.select("rep", "n", "bits"), "rep").select("t", "m", "rep", "n", "bits"), "set_posts")
+    posts = written(entries.join(met, "t").select("t", "m", "rep"), "set_posts")
     links = failed = label = sets = None
-    first_round = True
     while True:
-        rows = posts
-        if label is not None:
-            rows = rows.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        else:
-            rows = rows.withColumn("comp", F.col("rep"))
-        if failed is not None:
-            rows = rows.join(failed.groupBy(F.col("b").alias("rep")).agg(F.collect_set("a").alias("failed")), "rep", "left")
+        first_round = label is None
+        facts = classes.select("rep", "n", "bits").join(posts.select("rep").distinct(), "rep", "left_semi")
+        if first_round:
+            facts = facts.withColumns({"comp": F.col("rep"), "failed": F.lit(None).cast("array<long>")})
         else:
-            rows = rows.withColumn("failed", F.lit(None).cast("array<long>"))
-        found = written(_candidates(rows.select("t", "rep", "n", "bits", "comp", "failed"), percent, first_round), "set_candidates")
+            lost = failed.groupBy(F.col("b").alias("rep")).agg(F.collect_set("a").alias("failed"))
+            facts = facts.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+                "comp", F.coalesce("component", "rep")).drop("component").join(lost, "rep", "left")
+        found = written(_candidates(posts, facts, percent, first_round), "set_candidates")
         again = found.select("t").distinct()
         if first_round:
             again = again.unionByName(posts.where(F.col("m") > PAGE).select("t")).distinct()
         if again.isEmpty():
             break
         posts = written(posts.join(again, "t", "left_semi"), "set_posts")
+        released(spark=spark)
         if sets is None:
             wanted = posts.select(F.col("rep").alias("doc_id")).distinct()
             texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
             sets = written(_tokens(texts, words, 1.0), "set_tokens")
-        checked = written(_verified(found.select("a", "b").distinct(), sets, percent), "set_checked")
+            released(spark=spark)
+        # In the first round each set tries the smallest of its candidates only: most groups agree on it.
+        pairs = found.groupBy("b").agg(F.min("a").alias("a")) if first_round else found.select("a", "b").distinct()
+        checked = written(_verified(pairs, sets, percent), "set_checked")
         good, bad = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
         links = good if links is None else links.unionByName(good)
         failed = bad if failed is None else failed.unionByName(bad)
         label = written(components(links), "set_labels")
-        first_round = False
+        released(spark=spark)
     return label if label is not None else spark.createDataFrame([], "id long, component long")
