@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formproof.llm import bpe, editprint, html, lines, mix, pii, quality, setjoin, shards
+from formproof.llm import bpe, editprint, html, lines, mix, pii, quality, setjoin, shards, vectors
 from formproof.llm.common import table, text_of
 
 LLM_QUERIES, LLM_ORACLES = {}, {}
@@ -73,6 +73,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edited_prints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
 @query()
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
