@@ -153,18 +153,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
 
 def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """Cut the dropped positions out of each text: the slices between them, in one pass."""
-    base = docs.withColumns({"_t": text_of(), "_key1": F.xxhash64(text_of())})
-    joined = base.join(drops, base.doc_id.eqNullSafe(drops._id) & (base._key1 == drops._row), "left")
-    lines = joined.withColumns({
-        "_lines": F.split("_t", "\n"), "_cut": F.coalesce("_drops", F.array().cast("array<int>"))})
+    base = docs.select(
+        F.struct("*").alias("_all"), F.col("doc_id").alias("_own"), text_of().alias("_t"), F.xxhash64(text_of()).alias("_key"))
+    joined = base.join(drops, base._own.eqNullSafe(drops._id) & (base._key == drops._row), "left")
+    rows = joined.select(
+        "_all", "_t", F.split("_t", "\n").alias("_lines"), F.coalesce("_drops", F.array().cast("array<int>")).alias("_cut"))
     kept = F.expr(
         "flatten(transform(sequence(0, size(_cut)), i -> slice(_lines,"
         " if(i = 0, 1, _cut[greatest(i - 1, 0)] + 2),"
         " if(i = size(_cut), size(_lines), _cut[least(i, size(_cut) - 1)])"
         " - if(i = 0, 0, _cut[greatest(i - 1, 0)] + 1))))")
-    return lines.withColumns({
-        "text": F.when(F.size("_cut") == 0, F.col("_t")).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("_cut").cast("long"),
-        "n_kept_lines": (F.size("_lines") - F.size("_cut")).cast("long"),
-    }).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_kept_lines")],
-              "n_lines", "n_dropped", "n_kept_lines")
+    text = F.when(F.size("_cut") == 0, F.col("_t")).otherwise(F.array_join(kept, "\n"))
+    added = ("n_lines", "n_dropped", "n_kept_lines")
+    return rows.select(
+        *[text.alias(c) if c == "text" else F.col("_all")[c].alias(c) for c in docs.columns if c not in added],
+        F.size("_lines").cast("long").alias("n_lines"), F.size("_cut").cast("long").alias("n_dropped"),
+        (F.size("_lines") - F.size("_cut")).cast("long").alias("n_kept_lines"))

@@ -164,15 +164,17 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     per_row = taken.groupBy("_src", "_from", "doc_id", "_h").agg(F.sum(F.col("_words") * F.col("_times")).alias("_taken"))
     per_doc = per_row.groupBy(F.col("doc_id").alias("_id"), "_src", F.col("_h").alias("_hash")).agg(F.sum("_taken").alias("_taken"), F.count("*").alias("_rows"))
     added = ("size", "source_size", "target", "taken")
-    base = docs.select(*[c for c in docs.columns if c not in added]).withColumns({
-        "_hd": F.xxhash64("doc_id", text_of()), "size": F.regexp_count(text_of(), F.lit(WORD)).cast("long")})
-    named = F.broadcast(facts) if facts.count() <= 10_000 else facts
-    joined = base.join(named.withColumnRenamed("source", "_s"), base.source.eqNullSafe(F.col("_s")))
-    return (
-        joined.join(per_doc.withColumnRenamed("_src", "_src2"),
-                    joined.doc_id.eqNullSafe(F.col("_id")) & (F.col("_hd") == F.col("_hash")) & (F.col("_src") == F.col("_src2")), "left")
-        .withColumn("taken", F.coalesce(F.floor(F.col("_taken") / F.col("_rows")), F.lit(0)).cast("long"))
-        .select(*[c for c in docs.columns if c not in added], *added))
+    base = docs.select(
+        F.struct("*").alias("_all"), F.col("doc_id").alias("_own"), F.col("source").alias("_of"), F.xxhash64("doc_id", text_of()).alias("_hd"),
+        F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("_words"))
+    named = facts.select(F.col("source").alias("_s"), F.col("_src").alias("_at"), "source_size", "target")
+    named = F.broadcast(named) if named.count() <= 10_000 else named
+    joined = base.join(named, base._of.eqNullSafe(F.col("_s")))
+    rows = joined.join(
+        per_doc, joined._own.eqNullSafe(F.col("_id")) & (F.col("_hd") == F.col("_hash")) & (F.col("_at") == F.col("_src")), "left")
+    return rows.select(
+        *[F.col("_all")[c].alias(c) for c in docs.columns if c not in added], F.col("_words").alias("size"), "source_size", "target",
+        F.coalesce(F.floor(F.col("_taken") / F.col("_rows")), F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = 32, **settings) -> DataFrame:
@@ -181,18 +183,21 @@ def mixed_documents(docs: DataFrame, block_words: int = 32, **settings) -> DataF
     A document all of whose words are taken k times has its text as it is; else
     its words in taken blocks, in order, joined by one space. n_chars follows the text.
     """
-    taken, _ = mixed_blocks(docs, block_words=block_words, **settings)
+    taken, facts = mixed_blocks(docs, block_words=block_words, **settings)
     copies = taken.where("_times > 0").select(
         "*", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy"))
     begin = F.greatest(F.col("_block") * block_words, "_from") - F.col("_from")
-    pieces = copies.groupBy("doc_id", "_h", "_from", "_size", "_copy").agg(
+    pieces = copies.groupBy("doc_id", "_h", "_src", "_from", "_size", "_copy").agg(
         F.sort_array(F.collect_list(F.struct((begin + 1).cast("int").alias("at"), F.col("_words").cast("int").alias("n")))).alias("_pieces"))
-    base = docs.withColumn("_hd", F.xxhash64("doc_id", text_of())).dropDuplicates(["doc_id", "_hd"])
-    rows = base.withColumnRenamed("doc_id", "_id").join(pieces, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hd") == F.col("_h")))
-    words = F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))
+    base = docs.select(
+        F.struct("*").alias("_all"), F.col("doc_id").alias("_own"), F.col("source").alias("_of"), F.col("text").alias("_text"),
+        F.xxhash64("doc_id", text_of()).alias("_hd"))
+    order = facts.select(F.col("source").alias("_s"), F.col("_src").alias("_at"))
+    base = base.join(order, base._of.eqNullSafe(F.col("_s"))).dropDuplicates(["_own", "_hd", "_at"])  # one of the rows that are equal here
+    rows = base.join(pieces, F.col("_own").eqNullSafe(F.col("doc_id")) & (F.col("_hd") == F.col("_h")) & (F.col("_at") == F.col("_src")))
+    words = F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(WORD), F.lit(0))
     whole = F.aggregate("_pieces", F.lit(0), lambda a, p: a + p.n) == F.col("_size")
-    some = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice("_all", p.at, p.n))), " ")
-    made = rows.withColumn("_all", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(some))
-    if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.length("text").cast("long"))
-    return made.select(docs.columns)
+    some = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice("_every", p.at, p.n))), " ")
+    made = rows.withColumn("_every", F.when(~whole, words)).withColumn("_new", F.when(whole, F.col("_text")).otherwise(some))
+    put = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    return made.select(*[(put[c] if c in put else F.col("_all")[c]).alias(c) for c in docs.columns])

@@ -48,7 +48,7 @@ def _counts(docs: DataFrame) -> np.ndarray:
         side, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(bucket), pa.array(total[side, bucket])], names=["side", "bucket", "n"])
 
-    rows = docs.select(text_of(), "_good").mapInArrow(run, "side long, bucket long, n long")
+    rows = docs.select("text", "_good").mapInArrow(run, "side long, bucket long, n long")
     out = np.zeros((2, BUCKETS))
     for side, bucket, n in rows.groupBy("side", "bucket").agg(F.sum("n")).collect():
         out[side, bucket] = n
@@ -89,31 +89,33 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, lost: floa
         labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
         .orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(labelled)
         .withColumn("_held", F.pmod(F.xxhash64(F.lit(seed + 1), "_id"), F.lit(2)) == 1))
-    base = docs.select(*[c for c in docs.columns if c not in added])
-    marked = base.join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left").drop("_id")  # at most `labelled` rows
+    names = [c for c in docs.columns if c not in added]
+    base = docs.select(F.struct(*names).alias("_all"), F.col("doc_id").alias("_own"), text_of().alias("text"))
+    marked = base.join(F.broadcast(good), F.col("_own") == F.col("_id"), "left").drop("_id")  # at most `labelled` rows
     raw, target = _counts(marked.withColumn("_good", ~F.coalesce("_held", F.lit(True))))
     share = (raw + 1) / (raw + 1).sum()
     weights = docs.sparkSession.sparkContext.broadcast(np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share))
 
-    names = [c for c in base.columns]
-    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string("_held boolean, n_grams long, log_ratio double").fields])
-    at = names.index("text")
+    schema = T.StructType([*marked.schema.fields, *T._parse_datatype_string("n_grams long, log_ratio double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [hashed_ngrams(t or "") for t in batch.column(at).to_pylist()]
+            grams = [hashed_ngrams(t) for t in batch.column(2).to_pylist()]
             ratio = [float(weights.value[g].sum() / (len(g) + PAD)) for g in grams]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([len(g) for g in grams], pa.int64()), pa.array(ratio, pa.float64())],
-                names=[*names, "_held", "n_grams", "log_ratio"])
+                [*batch.columns, pa.array([len(g) for g in grams], pa.int64()), pa.array(ratio, pa.float64())], names=schema.names)
 
     scored = marked.mapInArrow(run, schema)
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", text_of()), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "_own", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = scored.withColumn("gumbel_key", F.col("log_ratio") - temperature * F.log(-F.log(uniform)))
     small = written(keyed.select("_held", "log_ratio", "gumbel_key"), "quality_keys")
     floor = small.where("_held").agg(F.percentile("log_ratio", lost)).head()[0]
     if floor is None:
-        return keyed.withColumn("kept", F.lit(True)).select(*names, *added)
+        return _result(keyed, F.lit(True), names)
     k = small.where(F.col("log_ratio") >= floor).count()
     least = kth_largest(small, "gumbel_key", k)
-    return keyed.withColumn("kept", F.col("gumbel_key") >= least).select(*names, *added)
+    return _result(keyed, F.col("gumbel_key") >= least, names)
+
+
+def _result(keyed: DataFrame, kept, names: list[str]) -> DataFrame:
+    return keyed.select(*[F.col("_all")[c].alias(c) for c in names], "n_grams", "log_ratio", "gumbel_key", kept.alias("kept"))
