@@ -145,14 +145,13 @@ class Tables:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        events = self.read("events").where(F.col("event_type").isin("click", "error"))
-        return events.select(
+        return self.read("events").select(
             F.col("event_id").alias("decision_id"),
             F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("record_id"),
             F.col("props").alias("pair_id"),
             F.lit("text").alias("field_id"),
             "ts",
-            F.when(F.col("event_type") == "click", "accept").otherwise("dismiss")
+            F.when(F.col("event_type").isin("click", "purchase", "signup"), "accept").otherwise("dismiss")
             .alias("decision"),
             F.when(F.col("value") >= 10, F.concat(F.lit("seen "), F.col("props"))).alias("reason"),
             F.col("value"),

@@ -121,7 +121,8 @@ def _(t: Tables):
         .when(kind == 3, anonymous).otherwise(whole)
     )
     parsed = io.parse_submissions(t.form.select(line.alias("value")), SPEC)
-    made = F.when(F.startswith("record_id", F.lit("UPLOAD-")), "made").otherwise(F.col("record_id"))
+    whole_digest = F.concat(F.lit("UPLOAD-"), F.sha2("raw", 256))
+    made = F.when(F.col("record_id") == whole_digest, "made").otherwise(F.col("record_id"))
     return parsed.select(
         F.when(~F.col("is_rejected"), made).alias("record_id"),
         F.when(~F.col("is_rejected"), F.col("q1_status")).alias("q1_status"),

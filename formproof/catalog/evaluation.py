@@ -405,11 +405,11 @@ def _(t: Tables):
 
 def _poisson_sql(u: str) -> str:
     p, cumulative, parts = 2.718281828459045 ** -1, 0.0, []
-    for k in range(9):
+    for k in range(13):
         cumulative += p
         parts.append(f"WHEN {u} < {cumulative!r}::DOUBLE THEN {k}")
         p /= k + 1
-    return f"CASE {' '.join(parts)} ELSE 9 END"
+    return f"CASE {' '.join(parts)} ELSE 13 END"
 
 
 def _boot_sql(n_boot: int, keys: str) -> str:
@@ -426,18 +426,18 @@ def _boot_sql(n_boot: int, keys: str) -> str:
 @op(
     "O4_bootstrap_recall",
     f"""WITH {SCORED}, per_record AS (SELECT record_id, count(*) FILTER (label = 1 AND score >= 0.35) AS tp,
-      sum(label) AS pos FROM scored GROUP BY record_id), {_boot_sql(400, '')}
+      sum(label) AS pos FROM scored GROUP BY record_id), {_boot_sql(2000, '')}
      SELECT (SELECT CAST(sum(pos) AS BIGINT) FROM per_record) AS n, (SELECT CAST(sum(tp) AS BIGINT) FROM per_record) AS caught,
       round(quantile_cont(recall::DOUBLE, 0.025), 6) AS low, round(quantile_cont(recall::DOUBLE, 0.975), 6) AS high FROM rep""",
 )
 def _(t: Tables):
-    df = calibration.bootstrap_recall(t.scored, 0.35, n_boot=400)
+    df = calibration.bootstrap_recall(t.scored, 0.35, n_boot=2000)
     return df.select("n", "caught", _r("low", "low"), _r("high", "high"))
 
 
 _O5 = f"""WITH {SCORED}, lv AS ({_LEVELS}), per_record AS (SELECT attribute, level, record_id,
    count(*) FILTER (score >= 0.35) AS tp, count(*) AS pos FROM lv WHERE level IS NOT NULL GROUP BY ALL),
-  {_boot_sql(200, 'attribute, level')},
+  {_boot_sql(2000, 'attribute, level')},
   ci AS (SELECT attribute, level, quantile_cont(recall::DOUBLE, 0.025) AS low, quantile_cont(recall::DOUBLE, 0.975) AS high
    FROM rep GROUP BY ALL),
   tot AS (SELECT attribute, level, CAST(sum(pos) AS BIGINT) AS n, CAST(sum(tp) AS BIGINT) AS caught FROM per_record GROUP BY ALL),
@@ -445,7 +445,7 @@ _O5 = f"""WITH {SCORED}, lv AS ({_LEVELS}), per_record AS (SELECT attribute, lev
 
 
 def _intervals(t: Tables) -> DataFrame:
-    return calibration.recall_with_intervals(t.scored, 0.35, n_boot=200)
+    return calibration.recall_with_intervals(t.scored, 0.35, n_boot=2000)
 
 
 @op(

@@ -181,10 +181,10 @@ def _(t: Tables):
     "Q10_display_order",
     f"""WITH {FORM_HITS}, o AS (SELECT record_id, pair_id, row_number() OVER (ORDER BY
       CASE test_id WHEN 'market' THEN 1 WHEN 'fulfilment' THEN 2 ELSE 3 END, score DESC, record_id, pair_id) AS place
-      FROM form_scored) SELECT record_id, pair_id FROM o WHERE place <= 50""",
+      FROM form_scored) SELECT record_id, pair_id FROM o""",
 )
 def _(t: Tables):
-    return review.display_order(_banded(t), CFG.test_order).select("record_id", "pair_id").limit(50)
+    return review.display_order(_banded(t), CFG.test_order).select("record_id", "pair_id")
 
 
 @op(
@@ -380,7 +380,7 @@ def _decision_stream(t: Tables, name: str) -> DataFrame:
 def _(t: Tables):
     state = scratch_dir(t.spark, "s2-state")
     query = streams.latest_decision_stream(
-        _decision_stream(t, "s2-in"), state, scratch_dir(t.spark, "s2-cp"), delay="60 days"
+        _decision_stream(t, "s2-in"), state, scratch_dir(t.spark, "s2-cp")
     )
     query.awaitTermination()
     return streams.read_latest(t.spark, state).select(

@@ -217,9 +217,9 @@ FORM_HITS = f"""{FORM}, {FORM_INST},
 DECISIONS = """decisions AS (
  SELECT event_id AS decision_id, concat('u', CAST(user_id AS VARCHAR)) AS record_id,
   props AS pair_id, 'text' AS field_id, ts,
-  CASE WHEN event_type = 'click' THEN 'accept' ELSE 'dismiss' END AS decision,
+  CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN 'accept' ELSE 'dismiss' END AS decision,
   CASE WHEN value >= 10 THEN concat('seen ', props) END AS reason, value
- FROM events WHERE event_type IN ('click', 'error'))"""
+ FROM events)"""
 
 TURNS = """turns AS (
  SELECT * FROM (SELECT conv_id, turn, role, text AS premise,

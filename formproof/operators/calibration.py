@@ -64,8 +64,11 @@ def calibration(bins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def poisson_one(u: Column, top: int = 9) -> Column:
-    """The Poisson(1) count whose cumulative probability first exceeds ``u``."""
+def poisson_one(u: Column, top: int = 13) -> Column:
+    """The Poisson(1) count whose cumulative probability first exceeds ``u``.
+
+    Counts above 12 are less likely than one step of a 32-bit draw.
+    """
     out: Column = F.lit(top)
     p, cumulative, steps = 2.718281828459045 ** -1, 0.0, []
     for k in range(top):

@@ -110,7 +110,7 @@ def parse_submissions(
     body = F.from_json(F.col(text), schema, {"mode": "PERMISSIVE"})
     shape = F.schema_of_variant(F.try_parse_json(text))
     good = F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False))
-    made_id = F.concat(F.lit(f"{origin}-"), F.substring(F.sha2(F.col(text), 256), 1, 8))
+    made_id = F.concat(F.lit(f"{origin}-"), F.sha2(F.col(text), 256))
     work = lines.withColumns({"_r": body, "is_rejected": ~good})
     return work.select(
         F.coalesce("_r.record_id", made_id).alias("record_id"),
