@@ -169,16 +169,16 @@ NEUTRAL_PHRASES = ("tion", "i believe", "una ")
 REGISTERS = {
     "plain": {"openers": [""], "closers": [""]},
     "wordy": {
-        "openers": ["For the avoidance of doubt,", "To explain the position fully,"],
+        "openers": ["Put in other words,", "Here is the whole of it:"],
         "closers": ["This reflects the agreed position.", "The papers are attached."],
         "elaborations": ["and no trash was left", "as set out in the terms"],
         "add_second_sentence_rate": 0.65,
     },
     "cautious": {
-        "openers": ["I believe", "So far as I know,"],
+        "openers": ["I believe", "To my knowledge,"],
         "closers": ["happy to be corrected.", "i can check this, idiot proof."],
         "add_second_sentence_rate": 0.45,
-        "softeners": {" is ": " would generally be ", " and ": " and, I think, no ",
+        "softeners": {" is ": " is usually ", " and ": " and, I think, no ",
                       " with ": " probably with "},
     },
 }
