@@ -196,6 +196,62 @@ def edited_prints(docs: DataFrame, part_rows: int = 256) -> DataFrame:
     return walked.where("part is null").select(*fields.names).unionByName(ends)
 
 
+def band_keys(print_: str, bands: int = 16, rows: int = 6) -> list[int]:
+    """Keys of a fingerprint: in each band a few samples, picked by hash from the three highest octaves it covers.
+
+    Keys are made for the highest octave covered and the one below, so that texts
+    on both sides of an octave's edge share some.
+    """
+    samples = np.frombuffer(print_.partition(".")[2].encode(), dtype=np.uint8)
+    top, out = len(samples) // OCTAVE, []
+    if not top:
+        return [int(mixed(np.frombuffer(samples.tobytes().ljust(OCTAVE), dtype=np.uint64)).sum().astype(np.int64))] if len(samples) else []
+    for level in {top, max(1, top - 1)}:
+        low = max(0, level - 3) * OCTAVE
+        for band in range(bands):
+            at = low + mixed(np.arange(rows, dtype=np.uint64) + np.uint64((level << 20) | (band << 8))) % np.uint64(level * OCTAVE - low)
+            key = np.uint64((level << 8) | band)
+            for value in samples[at.astype(np.int64)]:
+                key = mixed(np.array([key + np.uint64(value)]))[0]
+            out.append(int(key.astype(np.int64)))
+    return out
+
+
+def near_links(prints: DataFrame, least: float = 0.8, leaders: int = 4) -> DataFrame:
+    """(a, b, likeness) with a < b: documents whose fingerprints are alike.
+
+    prints has doc_id and fingerprint; equal fingerprints are one node, their
+    smallest doc_id. Nodes that share a band key meet the key's leaders, which are
+    the smallest of the key's nodes in a few hashed orders: a key of any size
+    costs a row a node and leader, combined on the map side, and near texts have
+    many keys in which to meet. Every pair is verified. Null fingerprints and
+    nulls in doc_id have no links.
+    """
+    nodes = written(prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id")).where("id is not null"), "prints")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [band_keys(p) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
+
+    keys = written(nodes.select("id", "fingerprint").mapInArrow(keyed, "id long, keys array<long>").select("id", F.explode("keys").alias("key")), "print_keys")
+    first = keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(leaders)]).alias("heads"))
+    pairs = (
+        keys.join(first.where("n > 1"), "key").select("id", F.explode(F.array_distinct("heads")).alias("head")).where("id <> head")
+        .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct())
+    both = (
+        pairs.join(nodes.select(F.col("id").alias("a"), F.col("fingerprint").alias("x")), "a")
+        .join(nodes.select(F.col("id").alias("b"), F.col("fingerprint").alias("y")), "b").select("a", "b", "x", "y"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [likeness(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.float64())], names=["a", "b", "likeness"])
+
+    return both.mapInArrow(verified, "a long, b long, likeness double").where(F.col("likeness") >= least)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

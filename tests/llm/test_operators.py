@@ -201,6 +201,25 @@ def test_likeness_follows_edits():
     assert editprint.likeness(editprint.fingerprint(""), editprint.fingerprint("")) == 1.0
 
 
+def test_near_links_find_edited_copies(spark):
+    rng = random.Random(11)
+    some = []
+    for i in range(40):
+        words = prose(rng, 300).split(" ")
+        some.append((2 * i, " ".join(words)))
+        words[150] = "edited"
+        some.append((2 * i + 1, " ".join(words)))
+    some += [(200, some[0][1]), (201, None), (202, "")]
+    prints = spark.createDataFrame([(i, editprint.fingerprint(t or "")) for i, t in some], "doc_id long, fingerprint string")
+    found = {(r.a, r.b): r.likeness for r in editprint.near_links(prints, least=0.7).collect()}
+    of = dict(some)
+    near = {i: editprint.likeness(*(editprint.fingerprint(of[2 * i + k]) for k in (0, 1))) for i in range(40)}
+    close = [(2 * i, 2 * i + 1) for i in near if 0.7 <= near[i] < 1]  # those with equal prints are one node
+    assert len(close) > 15 and sum(p in found for p in close) >= 0.9 * len(close)
+    assert all(a // 2 == b // 2 for a, b in found)
+    assert editprint.near_links(prints.where("false")).count() == 0
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(8)
     made = []
