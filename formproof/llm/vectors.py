@@ -1,17 +1,17 @@
-"""Embedding near-dedup on a robust-pruned flat graph.
-
-Vectors of a label that are equal form one class. Each class goes to the shards
-of its nearest pivots (a sample of the label's vectors, in proportion to their
-number), so shards overlap. In a shard every vector gets its nearest neighbours,
-robust-pruned: a neighbour that lies much nearer to one already taken is left
-out. Adjacency lists of a vector are united over its shards. A search runs for
-every vector in its first shard: greedily from the shard's medoid, and once it
-meets vectors within the similarity asked for, on through all their neighbours
-that are within it as well. Pairs found are verified in double precision.
-
-Shards beyond a block are cut into blocks, each with a graph of its own; the
-vectors of the shard then search every block, so no task holds more than a block
-of the index, and queries stream past it.
+"""Embedding near-dedup over pivot shards that a bound rules out.
+
+Vectors of a label that are equal form one class. Each class lies in the shard
+of its nearest pivot (a sample of the label's vectors, in proportion to their
+number). A vector within the similarity asked for lies at most its angle beyond
+the plane halfway between its own pivot and another's, so a class searches every
+shard whose plane is not farther than that: no pair that links is left out. Of
+two shards that search each other one direction is enough, as a link counts for
+both ends. Where pivots tell vectors apart few shards are searched; where they
+don't (vectors about equally far from one another) nearly all are.
+
+Shards beyond a block are cut into blocks; queries stream past a block and are
+compared with all of it in double precision, so no task holds more than a block
+of the index. Links are counted in the task; of the pairs only a forest leaves it.
 """
 
 from __future__ import annotations
@@ -29,9 +29,6 @@ from formproof.llm.common import written
 from formproof.llm.links import components
 
 BLOCK = 2048
-DEGREE = 24
-ALPHA = 1.2
-BEAM = 16
 
 
 def _unit(values) -> np.ndarray | None:
@@ -73,7 +70,7 @@ def units(vectors: DataFrame) -> DataFrame:
 
 
 def _pivots(classes: DataFrame, per_shard: int, most: int) -> dict:
-    """{(label, length): pivots}: one pivot for per_shard vectors, at most `most` in all; picked by hash."""
+    """{(label, bytes of a vector): pivots}: one pivot for per_shard vectors, at most `most` in all; picked by hash."""
     n = max(1, classes.count())
     share = min(1.0 / per_shard, most / n)
     rows = classes.where(F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 30)) < int(share * (1 << 30))).select("label", "unit", "rep").collect()
@@ -83,170 +80,134 @@ def _pivots(classes: DataFrame, per_shard: int, most: int) -> dict:
     return {k: np.stack(v) for k, v in out.items()}
 
 
-def _assigned(classes: DataFrame, pivots, overlap: int) -> DataFrame:
-    """rep, label, unit, size, shard (of the nearest pivots), first (is it the nearest)."""
+def _searches(x: np.ndarray, pivots: np.ndarray, least: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The nearest pivot of each row of x, and the shards it searches: those that may hold vectors similar to it.
+
+    A vector v of shard s has v.(p - s) <= 0 for every pivot p, so a row q within
+    the angle of v has q.(p - s) <= sin(angle) |p - s|; p is the pivot nearest to
+    q. Of two shards one searches the other: from each, those in the half circle after it.
+    """
+    n = len(pivots)
+    reach = np.sqrt(1 - least * least) if least > 0 else 2.0
+    own, shards = [], []
+    for begin in range(0, len(x), max(1, (1 << 21) // n)):
+        sim = x[begin:begin + max(1, (1 << 21) // n)] @ pivots.T
+        near = sim.argmax(1)
+        some, which = np.unique(near, return_inverse=True)
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots[some] @ pivots.T)))[which]
+        after = (np.arange(n) - near[:, None]) % n
+        ahead = (2 * after < n) | ((2 * after == n) & (near[:, None] < np.arange(n)))
+        go = ahead & (sim[np.arange(len(sim)), near][:, None] - sim <= reach * apart + 1e-6)  # spare for rounding
+        own.append(near)
+        shards += [np.flatnonzero(g) for g in go]
+    return np.concatenate(own), shards
+
+
+def _assigned(classes: DataFrame, pivots, least: float) -> DataFrame:
+    """rep, label, unit, size, dims, shard (of the nearest pivot), searches (shards to search, its own among them)."""
     schema = T.StructType([classes.schema["rep"], classes.schema["label"], *T._parse_datatype_string(
-        "unit binary, size long, shard int, dims int, first boolean").fields])
+        "unit binary, size long, dims int, shard int, searches array<int>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, shards, first = [], [], []
-            for i, (label, unit) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                known = pivots.value.get((label, len(unit)))
-                near = [0] if known is None else np.argsort(-(known @ np.frombuffer(unit)), kind="stable")[:overlap].tolist()
-                rows += [i] * len(near)
-                shards += near
-                first += [k == 0 for k in range(len(near))]
-            part = batch.take(pa.array(rows, pa.int64()))
-            dims = pa.array([len(u) // 8 for u in part.column(2).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shards, pa.int32()), dims, pa.array(first)], names=schema.names)
+            units_ = batch.column(2).to_pylist()
+            shard, searches, groups = [0] * len(units_), [[0]] * len(units_), {}
+            for i, (label, unit) in enumerate(zip(batch.column(1).to_pylist(), units_, strict=True)):
+                groups.setdefault((label, len(unit)), []).append(i)
+            for key, at in groups.items():
+                known = pivots.value.get(key)
+                if known is not None:
+                    near, others = _searches(np.stack([np.frombuffer(units_[i]) for i in at]), known, least)
+                    for i, s, o in zip(at, near.tolist(), others, strict=True):
+                        shard[i], searches[i] = s, o
+            dims = pa.array([len(u) // 8 for u in units_], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, dims, pa.array(shard, pa.int32()), pa.array(searches, pa.list_(pa.int32()))], names=schema.names)
 
     return classes.select("rep", "label", "unit", "size").mapInArrow(run, schema)
 
 
-def robust_pruned(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Neighbours of each row: from near to far, those not much nearer to one already taken."""
-    out = []
-    near_n = min(len(x) - 1, 3 * degree)
-    for begin in range(0, len(x), 256):
-        sim = x[begin:begin + 256] @ x.T
-        sim[np.arange(len(sim)), begin + np.arange(len(sim))] = -2
-        order = np.argpartition(-sim, max(0, near_n - 1), axis=1)[:, :near_n] if near_n else np.empty((len(sim), 0), int)
-        for row, near in zip(sim, order, strict=True):
-            near = near[np.argsort(-row[near], kind="stable")]
-            far = np.sqrt(np.maximum(0, 2 - 2 * row[near]))
-            between = np.sqrt(np.maximum(0, 2 - 2 * (x[near] @ x[near].T)))
-            alive, taken = np.ones(len(near), dtype=bool), []
-            for k in range(len(near)):
-                if alive[k]:
-                    taken.append(near[k])
-                    if len(taken) == degree:
-                        break
-                    alive &= alpha * between[k] > far
-                    alive[:k + 1] = False
-            out.append(np.array(taken, dtype=np.int64))
-    return out
-
-
-class Graph:
-    """A block of the index: unit vectors, their ids and class sizes, and neighbours as rows."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, sizes: np.ndarray, neighbours: list[np.ndarray]):
-        self.ids, self.x, self.sizes = ids, x, sizes
-        self.row = {int(v): i for i, v in enumerate(ids)}
-        back = [[] for _ in ids]
-        for i, near in enumerate(neighbours):
-            for j in near:
-                back[j].append(i)
-        self.near = [np.unique(np.concatenate([a, np.array(b, dtype=np.int64)])).astype(np.int64) for a, b in zip(neighbours, back, strict=True)]
-        self.medoid = int(np.argmax(x @ x.mean(0))) if len(x) else 0
-
-    def within(self, q: np.ndarray, least: float, own: int | None) -> np.ndarray:
-        """Rows at least so similar to q: greedy from the medoid (and q's own row if it is here), then range expansion."""
-        seen = np.zeros(len(self.ids), dtype=bool)
-        front = np.array([self.medoid] if own is None else [self.medoid, own])
-        seen[front] = True
-        pool, score = front, self.x[front] @ q
-        opened = np.zeros(len(front), dtype=bool)
-        while True:
-            best = np.argsort(-score, kind="stable")[:BEAM]
-            go = [k for k in best if not opened[k]]
-            inside = np.flatnonzero((score >= least) & ~opened)
-            take = np.unique(np.concatenate([np.array(go[:4], dtype=np.int64), inside]))
-            if not len(take):
-                return pool[score >= least]
-            opened[take] = True
-            near = np.unique(np.concatenate([self.near[pool[k]] for k in take]))
-            near = near[~seen[near]]
-            seen[near] = True
-            pool = np.concatenate([pool, near])
-            score = np.concatenate([score, self.x[near] @ q])
-            opened = np.concatenate([opened, np.zeros(len(near), dtype=bool)])
-
-
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys, from sorted batches; a run is cut where a batch ends after its index rows."""
+    """Runs of rows with equal keys, from sorted batches; a run is cut where a batch ends."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
+        if not len(table):
+            continue
         columns = [table[k].to_numpy(zero_copy_only=False) for k in keys]
         cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(table)], strict=False):
             yield table.slice(int(a), int(b - a))
 
 
-def _searched(rows: DataFrame, lists: DataFrame | None, least: float) -> DataFrame:
-    """Build (lists None) or search each block. rows: label, dims, shard, block, query (0 index, 1 query), rep, unit, size."""
+class Block:
+    """A block of the index: its ids in order, unit vectors, class sizes, links counted, and what the forest connects."""
+
+    def __init__(self, tables: list[pa.Table]):
+        self.ids = np.concatenate([t["rep"].to_numpy() for t in tables])
+        self.x = np.stack([np.frombuffer(u) for t in tables for u in t["unit"].to_pylist()])
+        self.sizes = np.concatenate([t["size"].to_numpy() for t in tables])
+        self.links = np.zeros(len(self.ids), dtype=np.int64)
+        self.tree = np.arange(len(self.ids))
+
+    def compared(self, rep: np.ndarray, q: np.ndarray, sizes: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Links of each query (and counts them for the block's rows), and pairs that connect all that these link.
+
+        Of two rows of this block the one with the larger id asks.
+        """
+        hit = q @ self.x.T >= least
+        hit &= ~own[:, None] | (rep[:, None] > self.ids)
+        links = hit @ self.sizes
+        self.links += sizes @ hit
+        pairs = []
+        for i in np.flatnonzero(links):
+            at = np.flatnonzero(hit[i])
+            trees, first = np.unique(self.tree[at], return_index=True)
+            mine = self.tree[np.searchsorted(self.ids, rep[i])] if own[i] else -1
+            pairs += [(int(rep[i]), int(self.ids[at[k]])) for k in first[trees != mine]]
+            if own[i] or len(trees) > 1:
+                trees = np.append(trees, mine) if own[i] else trees
+                self.tree[np.isin(self.tree, trees)] = trees.min()
+        return links, pairs
+
+
+def _found(rows: DataFrame, least: float) -> DataFrame:
+    """(a, a, n): n links of a; (a, b, 0): a forest of links. rows: label, dims, shard, block, query (0 index, 1 query), rep, unit, size, own."""
     keys = ["label", "dims", "shard", "block"]
-    build = lists is None
-    source = rows if build else rows.join(lists, "rep", "left")
     order = [*keys, "query", "rep"]
     tasks = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = source.select(*order, "unit", "size", *([] if build else ["near"])).repartition(tasks, *keys).sortWithinPartitions(*order)
+    source = rows.select(*order, "unit", "size", "own").repartition(tasks, *keys).sortWithinPartitions(*order)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, graph = None, [], None
-
-        def ready():
-            ids = np.concatenate([t["rep"].to_numpy() for t in held])
-            x = np.stack([np.frombuffer(u) for t in held for u in t["unit"].to_pylist()])
-            if build:
-                return ids, robust_pruned(x)
-            at = {int(v): i for i, v in enumerate(ids)}
-            near = [np.array([at[v] for v in (n or []) if v in at], dtype=np.int64) for t in held for n in t["near"].to_pylist()]
-            return Graph(ids, x, np.concatenate([t["size"].to_numpy() for t in held]), near)
-
-        def edges(ids, near):
-            a = np.repeat(ids, [len(n) for n in near])
-            b = ids[np.concatenate(near)] if len(a) else a
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def counted(ids, n):
+        some = n > 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[some]), pa.array(n[some])], names=["a", "b", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
         for table in _grouped(batches, [*keys, "query"]):
             now = tuple(table[k][0].as_py() for k in keys)
             if now != key:
-                if build and held:
-                    yield edges(*ready())
-                key, held, graph = now, [], None
+                if block:
+                    yield counted(block.ids, block.links)
+                key, held, block = now, [], None
             if table["query"][0].as_py() == 0:
                 held.append(table)
                 continue
-            if build or not held:
-                continue
-            graph = graph or ready()
-            out = []
-            for rep, unit in zip(table["rep"].to_pylist(), table["unit"].to_pylist(), strict=True):
-                q = np.frombuffer(unit)
-                found = graph.within(q, least, graph.row.get(rep))
-                found = found[graph.ids[found] != rep]
-                out.append((rep, int(graph.sizes[found].sum()), [int(v) for v in graph.ids[found]]))
-            # A row's links, and of its partners a forest that connects them: not all pairs leave the task.
-            root: dict[int, int] = {}
-
-            def find(v):
-                while root.setdefault(v, v) != v:
-                    root[v] = root[root[v]]
-                    v = root[v]
-                return v
-
-            a, b, n = [], [], []
-            for rep, links, partners in out:
-                a.append(rep)
-                b.append(rep)
-                n.append(links)
-                for other in partners:
-                    x, y = find(rep), find(other)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        a.append(rep)
-                        b.append(other)
-                        n.append(0)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-        if build and held:
-            yield edges(*ready())
-
-    return source.mapInArrow(run, "a long, b long" if build else "a long, b long, n long")
-
-
-def near_vectors(vectors: DataFrame, least: float = 0.93, per_shard: int = 1024, overlap: int = 2, most_pivots: int = 65_536) -> DataFrame:
+            block = block or Block(held)
+            for begin in range(0, len(table), 1024):
+                part = table.slice(begin, 1024)
+                rep, own = part["rep"].to_numpy(), part["own"].to_numpy(zero_copy_only=False)
+                q = np.stack([np.frombuffer(u) for u in part["unit"].to_pylist()])
+                links, pairs = block.compared(rep, q, part["size"].to_numpy(), own, least)
+                yield counted(rep, links)
+                a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), dtype=np.int64))], names=["a", "b", "n"])
+        if block:
+            yield counted(block.ids, block.links)
+
+    return source.mapInArrow(run, "a long, b long, n long")
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.93, per_shard: int = 1024, most_pivots: int = 65_536) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, label, embedding).
 
     Two vectors link when their labels are equal and not null and their cosine,
@@ -254,22 +215,23 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, per_shard: int = 1024,
     or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. n_links counts other rows, so equal vectors (at 12 digits
     of their unit form) count one another. Pivots are a sample of at most
-    most_pivots vectors; every vector is indexed and searched for. Other columns
-    are left out; rows are never dropped; an empty table gives an empty result.
+    most_pivots vectors; every pair that links is found. Other columns are left out; rows are never dropped; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = written(units(vectors), "vectors")
     classes = written(rows.where("unit is not null").groupBy("label", "h1", "h2").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.min_by("unit", "vec_id").alias("unit")), "vector_classes")
     pivots = spark.sparkContext.broadcast(_pivots(classes, per_shard, most_pivots))
-    placed = written(_assigned(classes, pivots, overlap), "vector_shards")
-    sizes = placed.groupBy("label", "dims", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(sizes, ["label", "dims", "shard"]).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    index = placed.withColumns({"block": F.col("_own"), "query": F.lit(0)})
-    edges = written(_searched(index, None, least), "vector_edges")
-    lists = edges.groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("near"))  # at most overlap * DEGREE each
-    queries = placed.where("first").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(1))
-    found = written(_searched(index.unionByName(queries), lists, least), "vector_found")
+    placed = written(_assigned(classes, pivots, least), "vector_shards")
+    at = ["label", "dims", "shard"]
+    sizes = placed.groupBy(*at).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(sizes, at).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+    index = placed.drop("searches").withColumns({"query": F.lit(0), "own": F.lit(True)})
+    queries = (
+        placed.withColumnsRenamed({"shard": "_shard", "block": "_block"}).withColumn("shard", F.explode("searches")).drop("searches").join(sizes, at)
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("shard <> _shard or block >= _block")
+        .withColumns({"query": F.lit(1), "own": F.expr("shard = _shard and block = _block")}).drop("_shard", "_block", "blocks"))
+    found = written(_found(index.unionByName(queries), least), "vector_found")
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_links"))
     names = components(found.where("a <> b").select("a", "b")).withColumnRenamed("id", "rep")
     known = (

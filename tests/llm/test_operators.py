@@ -246,6 +246,31 @@ def test_vectors_match_brute_force(spark):
     assert vectors.near_vectors(table.where("false")).count() == 0
 
 
+def test_vectors_link_across_many_shards(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(1300, 64))
+    other = rng.normal(size=(1300, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.choice([0.92, 0.935, 0.96], size=(1300, 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * other, base[:40]])
+    table = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    classes = vectors.units(table).withColumnRenamed("vec_id", "rep")
+    assert len(vectors._pivots(classes, 8, 65_536)[0, 8 * 64]) >= 256
+    result = vectors.near_vectors(table, per_shard=8)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r for r in result.collect()}
+    assert [got[i].n_links for i in range(len(x))] == linked.sum(1).tolist() and linked.sum() > 1600
+    name = np.arange(len(x))
+    for _ in range(4):
+        name = np.minimum(name, np.where(linked, name, len(x)).min(1))
+    assert [got[i].component_id for i in range(len(x))] == name.tolist()
+    assert vectors.recall(table, result) == 1.0
+
+
 def test_mix_targets(docs, rows, odd, empty):
     got = mix.mix(docs, block_words=4, shard_slots=64).collect()
     assert sorted((r.doc_id, r.size) for r in got) == sorted((i, len(re.findall(mix.WORD, t or ""))) for i, t, _ in rows)
