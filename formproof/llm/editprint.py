@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -217,39 +218,90 @@ def band_keys(print_: str, bands: int = 16, rows: int = 6) -> list[int]:
     return out
 
 
-def near_links(prints: DataFrame, least: float = 0.8, leaders: int = 4) -> DataFrame:
-    """(a, b, likeness) with a < b: documents whose fingerprints are alike.
+def _alike(samples: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each of samples, its likeness (as in likeness()) to each of others."""
+    wide = max(map(len, [*samples, *others]))
+    sizes = np.array([len(x) for x in others])
+    table = np.zeros((len(others), wide), dtype=np.uint8)  # no sample is 0
+    for row, x in zip(table, others, strict=True):
+        row[:len(x)] = x
+    total = np.concatenate([[0.0], np.cumsum(_WEIGHTS[:wide])])
+    for x in samples:
+        longest = np.maximum(sizes, len(x))
+        same = (table[:, :len(x)] == x) @ _WEIGHTS[:len(x)]
+        yield np.where(longest == 0, 1.0, same / np.maximum(1.0, total[longest]))
+
+
+def _pairs(key: int, ids: np.ndarray, prints: list[str], keys: list[np.ndarray], side: np.ndarray, least: float) -> Iterator[tuple]:
+    """Arrays a, b, likeness of the alike pairs of a group: of all its rows, or across if it has two sides.
+
+    A pair is given only in the smallest of the keys that it shares.
+    """
+    samples = [np.frombuffer(p.partition(".")[2].encode(), dtype=np.uint8) for p in prints]
+    across = len(np.unique(side)) > 1
+    left, right = (np.flatnonzero(side == k) for k in (0, 1)) if across else (np.arange(len(ids)),) * 2
+    before = [k[k < key] for k in keys]
+    sizes = np.array([len(k) for k in before])
+    starts, flat = np.cumsum(sizes) - sizes, np.concatenate(before)
+    for i, alike in zip(left, _alike([samples[i] for i in left], [samples[j] for j in right]), strict=True):
+        hit = alike >= least if across else (alike >= least) & (ids[right] > ids[i])
+        at, value = right[hit], alike[hit]
+        met = np.concatenate([[0], np.cumsum(np.isin(flat, before[i]))])
+        new = met[starts[at] + sizes[at]] == met[starts[at]]
+        yield np.minimum(ids[i], ids[at[new]]), np.maximum(ids[i], ids[at[new]]), value[new]
+
+
+def near_links(prints: DataFrame, least: float = 0.8, block: int = 512) -> DataFrame:
+    """(a, b, likeness) with a < b: all pairs that share a band key and whose fingerprints are alike.
 
     prints has doc_id and fingerprint; equal fingerprints are one node, their
-    smallest doc_id. Nodes that share a band key meet the key's leaders, which are
-    the smallest of the key's nodes in a few hashed orders: a key of any size
-    costs a row a node and leader, combined on the map side, and near texts have
-    many keys in which to meet. Every pair is verified. Null fingerprints and
-    nulls in doc_id have no links.
+    smallest doc_id. All nodes of a key are compared with one another: a key of
+    many nodes is cut into blocks, and each pair of blocks is a group of its own.
+    Null fingerprints and nulls in doc_id have no links.
     """
-    nodes = written(prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id")).where("id is not null"), "prints")
+    spark = prints.sparkSession
+    named = prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id")).where("id is not null")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(p) for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
-
-    keys = written(nodes.select("id", "fingerprint").mapInArrow(keyed, "id long, keys array<long>").select("id", F.explode("keys").alias("key")), "print_keys")
-    first = keys.groupBy("key").agg(
-        F.count("*").alias("n"), F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(leaders)]).alias("heads"))
-    pairs = (
-        keys.join(first.where("n > 1"), "key").select("id", F.explode(F.array_distinct("heads")).alias("head")).where("id <> head")
-        .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct())
-    both = (
-        pairs.join(nodes.select(F.col("id").alias("a"), F.col("fingerprint").alias("x")), "a")
-        .join(nodes.select(F.col("id").alias("b"), F.col("fingerprint").alias("y")), "b").select("a", "b", "x", "y"))
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = [likeness(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.float64())], names=["a", "b", "likeness"])
-
-    return both.mapInArrow(verified, "a long, b long, likeness double").where(F.col("likeness") >= least)
+            keys = [sorted(set(band_keys(p))) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["id", "fingerprint", "keys"])
+
+    nodes = written(named.select("id", "fingerprint").mapInArrow(keyed, "id long, fingerprint string, keys array<long>"), "prints")
+    keys = nodes.select("id", F.explode("keys").alias("key"))
+    blocks = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    groups = ["key", "low", "high"]
+    rows = (
+        keys.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("id", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+        .join(nodes, "id").select(*groups, "side", "id", "fingerprint", "keys"))
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = rows.repartition(tasks, *groups).sortWithinPartitions(*groups)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            held = [x for x in (rest, batch) if x is not None]
+            if not held:
+                return
+            table = pa.Table.from_batches(held).combine_chunks()
+            columns = [table[c].to_numpy() for c in groups]
+            cuts = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()
+            edges = [0, *cuts, *([len(table)] if batch is None else [])]
+            rest = None if batch is None else next(iter(table.slice(edges[-1]).combine_chunks().to_batches()), None)
+            for begin, end in zip(edges, edges[1:], strict=False):
+                part = table.slice(begin, end - begin)
+                low, high, side = int(columns[1][begin]), int(columns[2][begin]), part["side"].to_numpy()
+                if len(part) < 2 or (low != high and len(np.unique(side)) < 2):
+                    continue
+                of = [np.array(k, dtype=np.int64) for k in part["keys"].to_pylist()]
+                for a, b, alike in _pairs(int(columns[0][begin]), part["id"].to_numpy(), part["fingerprint"].to_pylist(), of, side, least):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(alike)], names=["a", "b", "likeness"])
+
+    return source.mapInArrow(compared, "a long, b long, likeness double")
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -220,6 +220,29 @@ def test_near_links_find_edited_copies(spark):
     assert editprint.near_links(prints.where("false")).count() == 0
 
 
+def test_near_links_compare_all_of_a_key(spark):
+    rng = random.Random(13)
+    words, some = prose(rng, 300).split(" "), []
+    for i in range(120):
+        copy = list(words)
+        copy[200 + rng.randrange(100)] = f"edit{i}"
+        some.append((i, editprint.fingerprint(" ".join(copy))))
+    some += [(200 + i, editprint.fingerprint("ab"[i % 2] * (1 + i % 5))) for i in range(12)]
+    first = {}
+    for i, p in some:
+        first.setdefault(p, i)
+    want = {}
+    for p, i in first.items():
+        for q, j in first.items():
+            if i < j and set(editprint.band_keys(p)) & set(editprint.band_keys(q)) and editprint.likeness(p, q) >= 0.6:
+                want[i, j] = editprint.likeness(p, q)
+    prints = spark.createDataFrame(some, "doc_id long, fingerprint string")
+    for block in (16, 512):
+        got = editprint.near_links(prints, least=0.6, block=block).collect()
+        assert {(r.a, r.b): r.likeness for r in got} == want and len(got) == len(want)
+    assert len(want) > 0.5 * len(first) * (len(first) - 1) / 2 and len(first) > 40
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(8)
     made = []
