@@ -40,6 +40,7 @@ _CLOSES = {
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-label|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _SPACE = re.compile(f"[{WHITE}]+")
 
 # Words in attributes that mark a part of a page.
@@ -59,7 +60,6 @@ class Page:
         self.texts: list[tuple[int, str]] = []
         self.breaks: list[int] = []
         stack, at = [0], 0
-        lowered = None
         for m in iter(lambda: _TAG.search(source, at), None):
             self._text(stack[-1], source[at:m.start()])
             at = m.end()
@@ -88,9 +88,8 @@ class Page:
             self.parent.append(stack[-1])
             self.attrs.append(m[3])
             if tag in RAW:
-                lowered = lowered if lowered is not None else source.lower()
-                end = lowered.find(f"</{tag}", at)
-                end = len(source) if end < 0 else end
+                closing = _RAW_END[tag].search(source, at)
+                end = closing.start() if closing else len(source)
                 self._text(len(self.tag) - 1, source[at:end])
                 at = end
                 stack.append(len(self.tag) - 1)

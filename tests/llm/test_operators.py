@@ -385,5 +385,10 @@ def test_html_structures():
     assert page.decode(np.ones(len(page.tag))) == "a b"
 
 
+def test_html_raw_ends_after_letters_that_grow():
+    page = html.Page("<body><p>İİİ one</p><SCRIPT>x < y</Script><p>two</p><style>z</STYLE>three</body>")
+    assert page.decode(np.ones(len(page.tag))) == "İİİ one two three"
+
+
 def test_crc_and_hash_helpers():
     assert len(quality.hashed_ngrams("a b c")) == 5 and math.isclose(zlib.crc32(b"a") % quality.BUCKETS, quality.hashed_ngrams("A")[0])
