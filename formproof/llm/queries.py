@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formproof.functions.text import let
-from formproof.llm import bpe, editprint, html, lines, mix, phrases, pii, quality, runs, setjoin, shards, vectors
+from formproof.llm import bpe, editprint, html, lines, mix, phrases, pii, quality, runs, setjoin, shards, toxic, vectors
 from formproof.llm.common import table, text_of
 
 LLM_QUERIES, LLM_ORACLES = {}, {}
@@ -104,6 +104,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxic.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxic.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """doc_id and text; in the tenth of the documents that their ids' CRC picks, words from a place on repeat a stretch."""
     h = F.crc32(F.col("doc_id").cast("string"))
