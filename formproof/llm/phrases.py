@@ -37,7 +37,7 @@ from formproof.llm.common import mixed, text_of, written
 DEPTH = 4
 #: Bytes of text of a slice, and distinct suffixes of a group, to bound memory.
 SLICE_BYTES = 6 << 20
-BUDGET = 2 << 20
+BUDGET = 1 << 20
 MOST_BITS = 22
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -57,17 +57,15 @@ class _Numbers(dict):
         return number
 
 
-def _distinct(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of codes, whose values are under width, and how often each occurs."""
-    if width <= 1 << 16:
-        key = np.zeros(len(codes), dtype=np.uint64)
-        for column in codes.T:
-            key = (key << np.uint64(16)) | column.astype(np.uint64)
-    else:
-        ranks = [np.unique(codes[:, k] * width + codes[:, k + 1], return_inverse=True)[1] for k in (0, 2)]
-        key = ranks[0] * (int(ranks[1].max(initial=0)) + 1) + ranks[1]
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    return codes[first], n
+def _distinct(codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct row of codes, and how often the row occurs; equal rows have equal hashes."""
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    if not (codes[order[1:][same]] == codes[order[:-1][same]]).all():  # different rows of one hash: by the rows themselves
+        order = np.lexsort(codes.T)
+        same = (codes[order[1:]] == codes[order[:-1]]).all(axis=1)
+    first = np.flatnonzero(np.concatenate([[True], ~same]))[:len(order)]
+    return order[first], np.diff(np.append(first, len(order)))
 
 
 def _slice(texts: list[bytes], numbers: _Numbers) -> np.ndarray:
@@ -94,12 +92,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], li
         hashes[0] = 0
         out = []
         for lang, codes in parts:
-            codes, n = _distinct(codes, len(words))
             state = np.full(len(codes), xxhash.xxh3_64_intdigest(lang.encode()), dtype=np.uint64)
             prefix = np.empty((DEPTH, len(codes)), dtype=np.uint64)
             for k in range(DEPTH):
                 prefix[k] = state = mixed(state * _STEP + hashes[codes[:, k]])
-            out.append((lang, codes, n, prefix))
+            at, n = _distinct(codes, state)
+            out.append((lang, codes[at], n, prefix[:, at]))
         return words, out
 
     waiting, size = {}, 0
@@ -179,9 +177,11 @@ def _sent(texts: DataFrame, bits: int, plan) -> DataFrame:
                 ends = [*np.flatnonzero(np.diff(group) != 0) + 1, len(group)] if len(group) else []
                 begin = 0
                 for end in ends:
-                    used, own = np.unique(codes[begin:end], return_inverse=True)
-                    own = own.reshape(-1, DEPTH) + (used[0] > 0)  # 0 stays the end of a piece
-                    listed = b"\n".join([words[w] for w in used.tolist() if w])
+                    held = np.zeros(len(words), dtype=bool)
+                    held[codes[begin:end]] = held[0] = True  # 0 stays the end of a piece
+                    used = np.flatnonzero(held)
+                    own = (np.cumsum(held) - 1)[codes[begin:end]]
+                    listed = b"\n".join([words[w] for w in used[1:].tolist()])
                     yield pa.RecordBatch.from_pylist([{
                         "group": int(group[begin]), "depth": int(depth[begin]), "lang": lang, "words": listed,
                         "codes": own.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes(),
