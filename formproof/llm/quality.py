@@ -40,8 +40,8 @@ def _counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = np.bincount(hashed_ngrams(text), minlength=BUCKETS)
+            for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                seen = np.bincount(hashed_ngrams(text.as_py()), minlength=BUCKETS)
                 total[0] += seen
                 if good:
                     total[1] += seen
@@ -96,16 +96,17 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, lost: floa
     share = (raw + 1) / (raw + 1).sum()
     weights = docs.sparkSession.sparkContext.broadcast(np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share))
 
-    schema = T.StructType([*marked.schema.fields, *T._parse_datatype_string("n_grams long, log_ratio double").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [hashed_ngrams(t) for t in batch.column(2).to_pylist()]
-            ratio = [float(weights.value[g].sum() / (len(g) + PAD)) for g in grams]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([len(g) for g in grams], pa.int64()), pa.array(ratio, pa.float64())], names=schema.names)
-
-    scored = marked.mapInArrow(run, schema)
+    @F.arrow_udf(T.StructType([T.StructField("n_grams", T.LongType()), T.StructField("log_ratio", T.DoubleType())]))
+    def scores(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in texts:  # one text and its grams at a time
+            grams = hashed_ngrams(text.as_py())
+            rows.append((len(grams), float(weights.value[grams].sum() / (len(grams) + PAD))))
+        return pa.StructArray.from_arrays(
+            [pa.array([n for n, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.float64())], ["n_grams", "log_ratio"])
+
+    # only the text goes to Python; a generator is not copied into each use
+    scored = marked.select("*", F.inline_outer(F.array(scores("text"))))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "_own", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = scored.withColumn("gumbel_key", F.col("log_ratio") - temperature * F.log(-F.log(uniform)))
     small = written(keyed.select("_held", "log_ratio", "gumbel_key"), "quality_keys")
