@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
 from ..operators import calibration, leakage, metrics, rules, splits, variants
 from ..plans.evaluate import score_table
 from . import demo
@@ -358,6 +359,55 @@ def _(t: Tables):
     return leakage.deleaked_cues(_cues(t), corpus, 2).select("pair_id", "term")
 
 
+_NEIGHBOURS = r"[^ \n]+"
+
+
+@op(
+    "N4_corpus_lexicon",
+    # three two-word terms a document: as written, swapped, and of its first and last words
+    r"""WITH w AS (SELECT lang AS pair_id, regexp_extract_all(lower(text), '[^ \n]+') AS ws FROM documents),
+     c AS (SELECT DISTINCT pair_id, unnest([ws[5] || ' ' || ws[6], ws[6] || ' ' || ws[5], ws[1] || ' ' || ws[-1]]) AS term FROM w),
+     t AS (SELECT DISTINCT term FROM c WHERE term IS NOT NULL),
+     g AS (SELECT t.term FROM t WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), t.term)))
+     SELECT pair_id, term FROM c WHERE term IS NOT NULL AND term NOT IN (SELECT term FROM g)""",
+)
+def _(t: Tables):
+    ws = F.regexp_extract_all(F.lower("text"), F.lit(_NEIGHBOURS), F.lit(0))
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.concat(a, F.lit(" "), b)  # null where the text is too short
+
+    terms = let(ws, lambda w: F.array(
+        pair(F.get(w, F.lit(4)), F.get(w, F.lit(5))), pair(F.get(w, F.lit(5)), F.get(w, F.lit(4))),
+        pair(F.get(w, F.lit(0)), F.try_element_at(w, F.lit(-1))),
+    ))
+    cues = (
+        t.documents.select(F.col("lang").alias("pair_id"), F.explode(terms).alias("term"))
+        .where(F.col("term").isNotNull()).distinct()
+    )
+    return leakage.deleaked_cues(cues, t.documents.select("text"), 2).select("pair_id", "term")
+
+
+@op(
+    "N1_short_passages",
+    r"""WITH p AS (SELECT doc_id AS item_id, array_to_string(list_slice(string_split(text, ' '), 2, 2 + doc_id % 7), ' ') AS passage
+      FROM documents)
+     SELECT p.item_id, count(d.doc_id) AS n_documents FROM p LEFT JOIN documents d ON p.passage <> '' AND contains(d.text, p.passage)
+     GROUP BY p.item_id""",
+)
+def _(t: Tables):
+    words = F.split("text", " ")
+    size = (F.col("doc_id") % 7 + 1).cast("int")
+    passages = t.documents.select(
+        F.col("doc_id").alias("item_id"), F.nullif(F.array_join(F.slice(words, F.lit(2), size), " "), F.lit("")).alias("text")
+    )
+    found = leakage.passage_matches(passages, t.documents)
+    counts = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return passages.select("item_id").join(counts, "item_id", "left").select(
+        "item_id", F.coalesce("n", F.lit(0)).alias("n_documents")
+    )
+
+
 # ----------------------------------------------------- O: calibration, bootstrap
 _EDGE = " ".join(
     f"WHEN score >= {i} * 0.1::DOUBLE THEN {i}" for i in range(9, 0, -1)
