@@ -2,7 +2,8 @@
 
 Learning, from a bounded sample of labelled documents (distinct texts):
 
-1. Units are words and prefixes of words that occur in enough toxic texts. Their counts in
+1. Units are words and prefixes of words that occur in enough toxic texts, and
+   at twice the clean texts' rate or more. Their counts in
    toxic and clean texts (texts that hold them, as words of one text don't occur
    independently) give log-odds with an informative Dirichlet prior, whose weights are the
    units' shares of all documents. A unit scores the lower bound of its log-odds, if positive; a
@@ -35,7 +36,9 @@ from pyspark.sql import types as T
 
 from formproof.llm.common import text_of, written
 
-_WORDS = re.compile(r"[^\W_]+")
+_LETTERS = re.compile(r"[^\W_]+")
+#: The words of str.split(), with their places.
+_SPACED = re.compile(r"\S+")
 #: Lengths of prefixes that are units, marked by a star.
 PREFIXES = range(3, 8)
 #: Words a task remembers, to bound memory.
@@ -47,18 +50,52 @@ def units(word: str) -> list[str]:
     return [low, *(low[:k] + "*" for k in PREFIXES if k < len(low))]
 
 
-class _Values(dict):
-    """Of a word as written, the best value among its units; forgets all when it has grown too large."""
-
-    def __init__(self, of_unit: dict[str, float]):
-        super().__init__()
-        self.of_unit = of_unit
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = max(self.of_unit.get(u, 0.0) for u in units(word))
-        return value
+class _Memory:
+    """What is found for each word as written, which may hold several runs of letters; forgets all when it has grown too large."""
+
+    def __init__(self, wanted):
+        self.wanted = wanted
+        self.heads = {u[:PREFIXES[0]] for u in wanted}
+        self.seen: set[str] = set()
+        self.found: dict[str, object] = {}
+
+    def learn(self, words: set[str]) -> bool:
+        """Whether anything is found for some of the words."""
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.found = set(), {}
+        heads, first = self.heads, PREFIXES[0]
+        new = words - self.seen
+        for word in new:
+            low = word.lower()
+            if not low.isalnum():
+                if low[:-1].isalnum():  # a full stop or comma, most often
+                    low = low[:-1]
+                else:
+                    if held := [u for part in _LETTERS.findall(low) if part[:first] in heads for u in units(part) if u in self.wanted]:
+                        self.found[word] = self.of(held)
+                    continue
+            if low[:first] in heads and (held := [u for u in units(low) if u in self.wanted]):
+                self.found[word] = self.of(held)
+        self.seen |= new
+        return not self.found.keys().isdisjoint(words)
+
+    def of(self, held: list[str]):
+        return held
+
+
+class _Values(_Memory):
+    """Of a word the best score among its units."""
+
+    def of(self, held: list[str]) -> float:
+        return max(self.wanted[u] for u in held)
+
+    def points(self, text: str) -> tuple[int, list[int], list[float]]:
+        """The number of words, and the places and scores of those that score."""
+        words = text.split()
+        if not self.learn(set(words)):
+            return len(words), [], []
+        at = [i for i, w in enumerate(words) if w in self.found]
+        return len(words), at, [self.found[words[i]] for i in at]
 
 
 @dataclass
@@ -112,11 +149,6 @@ def segments(at: list[int], scores: list[float], cost: float) -> list[tuple[int,
     return [(a, b, y - x) for a, b, x, y in zip(first, last, before, after, strict=True)]
 
 
-def _points(words: list[str], values: _Values) -> tuple[list[int], list[float]]:
-    found = [(i, v) for i, v in enumerate(map(values.__getitem__, words)) if v > 0]
-    return [i for i, _ in found], [v for _, v in found]
-
-
 def _counted(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
     """(unit, part, n): the number of texts of each value of the integer column `part` that hold a unit.
 
@@ -125,7 +157,7 @@ def _counted(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(wanted)  # at most `candidates` units
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = defaultdict(Counter), {}
+        own, memory = defaultdict(Counter), None if shared.value is None else _Memory(shared.value)
 
         def full() -> pa.RecordBatch:
             rows = [(u, part, n) for part, counts in own.items() for u, n in counts.items()]
@@ -135,14 +167,11 @@ def _counted(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
 
         for batch in batches:
             for text, part in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen = {""}
-                for word in set(_WORDS.findall(text.as_py())):
-                    mine = known.get(word)
-                    if mine is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        mine = known[word] = [u for u in units(word) if shared.value is None or u in shared.value]
-                    seen.update(mine)
+                words, seen = set(text.as_py().split()), {""}
+                if memory is None:
+                    seen.update(u for low in set(_LETTERS.findall(" ".join(words).lower())) for u in units(low))
+                elif memory.learn(words):
+                    seen.update(u for w in memory.found.keys() & words for u in memory.found[w])
                 own[part].update(seen)
                 if sum(map(len, own.values())) > 4 * REMEMBERED:
                     yield full()
@@ -191,7 +220,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, least_texts: int = 3, candidates: int = 50_000,
-        prior: float = 0.1, bound: float = 2.0, cost: float = 0.05, folds: int = 5, seed: int = 11) -> Model:
+        least_ratio: float = 2.0, prior: float = 0.1, bound: float = 2.0, cost: float = 0.05, folds: int = 5, seed: int = 11) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic).
 
     At most `labelled` labels, those of smallest hash, are learnt from (several
@@ -222,6 +251,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, least_texts:
     counts, everywhere = np.zeros((2, folds, len(place))), np.zeros(len(place))
     for r in _counted(sample, set(names)).collect():
         counts[(*divmod(r.part, folds), place[r.unit])] = r.n
+    # a unit not more frequent in toxic texts of the sample is no evidence
+    over = counts[1].sum(axis=0) * n_clean > counts[0].sum(axis=0) * n_toxic * least_ratio
+    over[0] = True
+    counts, names = counts[:, :, over], [u for u, kept in zip(names, over[1:], strict=True) if kept]
+    place, everywhere = {u: k for k, u in enumerate(["", *names])}, everywhere[over]
     for r in _counted(docs.select(text_of().alias("text"), F.lit(0).alias("part")), set(names)).collect():
         everywhere[place[r.unit]] = r.n
     share = everywhere[1:] / max(1.0, everywhere[0])
@@ -241,9 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, least_texts:
         for batch in batches:
             rows = []
             for text, part in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = _WORDS.findall(text.as_py())
-                at, s = _points(words, values[part % folds])
-                rows.append({"toxic": part >= folds, "n": len(words), "at": at, "s": s})
+                n, at, s = values[part % folds].points(text.as_py())
+                rows.append({"toxic": part >= folds, "n": n, "at": at, "s": s})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("toxic", pa.bool_()), ("n", pa.int64()), ("at", pa.list_(pa.int64())), ("s", pa.list_(pa.float64()))]))
 
     points = written(sample.mapInArrow(read, "toxic boolean, n long, at array<long>, s array<double>"), "toxic_points")
@@ -295,14 +328,13 @@ def score(docs: DataFrame, model: Model, e_value: float = 0.01) -> DataFrame:
             scores, passages = [], []
             for text in column:
                 text = text.as_py() or ""
-                words = _WORDS.findall(text)
-                at, s = _points(words, values)
+                n, at, s = values.points(text)
                 total, kept = 0.0, []
                 if at:
-                    found = [(a, b, t, model.evidence(t, len(words))) for a, b, t in segments(at, s, model.cost)]
+                    found = [(a, b, t, model.evidence(t, n)) for a, b, t in segments(at, s, model.cost)]
                     total = sum(max(0.0, x[3]) for x in found)
                     if kept := [x for x in found if math.exp(-min(700.0, x[3])) <= e_value]:
-                        places = [m.span() for m in _WORDS.finditer(text)]
+                        places = [m.span() for m in _SPACED.finditer(text)]
                         kept = [{"start": places[a][0], "end": places[b][1], "log_odds": t, "e_value": math.exp(-min(700.0, x))} for a, b, t, x in kept]
                 scores.append(model.probability(total) if total else none)
                 passages.append(kept)
