@@ -110,12 +110,12 @@ class Tables:
 
     @cached_property
     def inst(self) -> DataFrame:
-        """Labelled instances: one per labelled document, whole text."""
+        """Labelled instances: one per labelled document, whole text; eight documents make a record."""
         labels, documents = self.read("labels"), self.documents
         toxic = F.col("toxic") == 1
         return labels.join(documents, "doc_id").select(
-            F.concat(F.lit("rec-"), "source").alias("record_id"),
-            F.concat(F.lit("p-"), F.col("doc_id").cast("string")).alias("pair_id"),
+            F.concat(F.lit("rec-"), F.floor(F.col("doc_id") / 8).cast("string")).alias("record_id"),
+            F.concat(F.lit("p-"), (F.col("doc_id") % 8).cast("string")).alias("pair_id"),
             F.lit("q_quality").alias("structured_field"),
             F.lit("text").alias("free_text_field"),
             F.col("lang").alias("test_id"),

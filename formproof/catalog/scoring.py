@@ -191,11 +191,11 @@ def _(t: Tables):
 
 @op(
     "H3_word_document_frequency",
-    f"""WITH {INST}, w AS (SELECT pair_id, regexp_extract_all(
+    f"""WITH {INST}, w AS (SELECT record_id, pair_id, regexp_extract_all(
        lower(concat('ANSWER ', structured_value, ' [SEP] ', free_text)), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}') AS words FROM inst),
-     g AS (SELECT pair_id, list_concat(words, list_transform(range(1, len(words)),
+     g AS (SELECT record_id, pair_id, list_concat(words, list_transform(range(1, len(words)),
        lambda i: concat(words[i], ' ', words[i + 1]))) AS grams FROM w),
-     x AS (SELECT DISTINCT pair_id, unnest(grams) AS term FROM g)
+     x AS (SELECT DISTINCT record_id, pair_id, unnest(grams) AS term FROM g)
      SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) >= 2""",
 )
 def _(t: Tables):
@@ -206,12 +206,12 @@ def _(t: Tables):
 
 @op(
     "H4_char_document_frequency",
-    f"""WITH {INST}, w AS (SELECT pair_id, unnest(list_filter(
+    f"""WITH {INST}, w AS (SELECT record_id, pair_id, unnest(list_filter(
        regexp_split_to_array(lower(free_text), '[ \\t\\n\\r\\v\\f]+'), lambda w: w <> '')) AS w FROM inst),
-     p AS (SELECT pair_id, concat(' ', w, ' ') AS w FROM w),
-     g AS (SELECT pair_id, unnest([3, 4, 5]) AS n, w FROM p),
-     x AS (SELECT DISTINCT pair_id, substr(w, i, n) AS term FROM (
-       SELECT pair_id, n, w, unnest(range(1, length(w) - n + 2)) AS i FROM g WHERE length(w) >= n))
+     p AS (SELECT record_id, pair_id, concat(' ', w, ' ') AS w FROM w),
+     g AS (SELECT record_id, pair_id, unnest([3, 4, 5]) AS n, w FROM p),
+     x AS (SELECT DISTINCT record_id, pair_id, substr(w, i, n) AS term FROM (
+       SELECT record_id, pair_id, n, w, unnest(range(1, length(w) - n + 2)) AS i FROM g WHERE length(w) >= n))
      SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) >= 3""",
 )
 def _(t: Tables):
@@ -222,7 +222,7 @@ def _(t: Tables):
 
 @op(
     "H5_interaction_document_frequency",
-    f"""WITH {INST}, x AS (SELECT DISTINCT pair_id, unnest(list_transform(
+    f"""WITH {INST}, x AS (SELECT DISTINCT record_id, pair_id, unnest(list_transform(
        regexp_extract_all(lower(free_text), '[a-z][a-z''-]+'),
        lambda t: concat(CASE WHEN is_outside_leaning THEN 'OUT' ELSE 'IN' END, '~', test_id, '~', t))) AS term FROM inst)
      SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) >= 2""",
@@ -232,33 +232,152 @@ def _(t: Tables):
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 2)
 
 
+# the grams of each text block, a row per occurrence
+_GRAMS = {
+    "word": """SELECT record_id, pair_id, unnest(list_concat(words, list_transform(range(1, len(words)),
+       lambda i: concat(words[i], ' ', words[i + 1])))) AS term FROM (SELECT record_id, pair_id, regexp_extract_all(
+        lower(concat('ANSWER ', structured_value, ' [SEP] ', free_text)), '[\\p{L}\\p{N}\\p{M}_]{2,}') AS words FROM inst)""",
+    "char": """SELECT record_id, pair_id, substr(w, i, n) AS term FROM (SELECT record_id, pair_id, n, w, unnest(range(1, length(w) - n + 2)) AS i
+       FROM (SELECT record_id, pair_id, unnest([3, 4, 5]) AS n, concat(' ', w, ' ') AS w FROM (SELECT record_id, pair_id, unnest(list_filter(
+        regexp_split_to_array(lower(free_text), '[ \\t\\n\\r\\v\\f]+'), lambda w: w <> '')) AS w FROM inst)) WHERE length(w) >= n)""",
+    "cross": """SELECT record_id, pair_id, unnest(list_transform(regexp_extract_all(lower(free_text), '[a-z][a-z''-]+'),
+       lambda t: concat(CASE WHEN is_outside_leaning THEN 'OUT' ELSE 'IN' END, '~', test_id, '~', t))) AS term FROM inst""",
+}
+_LEAST = {"word": 2, "char": 3, "cross": 2}
+_SINGLE = """SELECT record_id, pair_id, 'x0' AS block, pair_id AS term, 1.0::DOUBLE AS v FROM inst
+ UNION ALL SELECT record_id, pair_id, 'x1', test_id, 1.0 FROM inst UNION ALL SELECT record_id, pair_id, 'x2', structured_value, 1.0 FROM inst
+ UNION ALL SELECT record_id, pair_id, 'dense', 'is_outside', 1.0 FROM inst WHERE is_outside_leaning
+ UNION ALL SELECT record_id, pair_id, 'dense', 'usable_text', 1.0 FROM inst WHERE length(trim(free_text)) >= 15
+ UNION ALL SELECT record_id, pair_id, 'dense', 'length', least(length(free_text), 400) / 400.0 FROM inst WHERE free_text <> ''"""
+
+
+def _entries_sql(blocks=("word", "char", "cross")) -> str:
+    """entry: what a row says of each feature; n_: the number of rows."""
+    text = " ".join(f"SELECT record_id, pair_id, '{b}' AS block, term, count(*)::DOUBLE AS v FROM ({_GRAMS[b]}) GROUP BY ALL UNION ALL" for b in blocks)
+    return f"n_ AS (SELECT count(*) AS n FROM inst), entry AS MATERIALIZED ({text} {_SINGLE})"
+
+
+def _vocabulary_sql() -> str:
+    """feature: of each block the terms that are kept, with df and idf."""
+    return """stat AS (SELECT block, term, count(*) AS df, sum(v) AS tf FROM entry GROUP BY ALL),
+ feature AS MATERIALIZED (SELECT block, term, df, CASE WHEN block IN ('word', 'char', 'cross') THEN ln((1.0 + n) / (1.0 + df)) + 1.0 ELSE 1.0 END AS idf
+  FROM stat, n_ WHERE df >= CASE block WHEN 'char' THEN 3 WHEN 'word' THEN 2 WHEN 'cross' THEN 2 ELSE 1 END
+  QUALIFY block NOT IN ('word', 'char') OR row_number() OVER (PARTITION BY block ORDER BY tf DESC, term) <= 30000)"""
+
+
+_VALUES = """raw_value AS (SELECT e.*, f.idf, CASE WHEN block IN ('word', 'char', 'cross') THEN (1.0 + ln(v)) * idf ELSE v END AS w
+  FROM entry e JOIN feature f USING (block, term)),
+ norm AS (SELECT record_id, pair_id, block, sqrt(sum(w * w)) AS norm FROM raw_value GROUP BY ALL),
+ value_ AS MATERIALIZED (SELECT r.record_id, r.pair_id, r.block, r.term, r.v, r.w, norm,
+   CASE WHEN r.block IN ('word', 'char', 'cross') THEN w / norm ELSE w END AS x
+  FROM raw_value r JOIN norm USING (record_id, pair_id, block))"""
+
+
+
+def _features(found, n):
+    """block, term, df, idf, i of all rows."""
+    features = textmodel.vocabulary(textmodel.count_features(found, n), textmodel.TextModelConfig())
+    return features.join(textmodel.numbered(features)[0], ["block", "term"])
+
+
+for _block, _id in (("word", "H3"), ("char", "H4"), ("cross", "H5")):
+    @op(
+        f"{_id}_{_block}_weights",
+        f"""WITH {INST}, {_entries_sql((_block,))}, {_vocabulary_sql()}, {_VALUES}
+         SELECT term, any_value(f.df) AS df, round(any_value(f.idf), 6) AS idf, round(sum(x), 4) AS weight, round(max(x), 6) AS strongest
+         FROM value_ JOIN feature f USING (block, term) WHERE block = '{_block}' GROUP BY term""",
+    )
+    def _(t: Tables, block=_block):
+        n = t.inst.count()
+        found = textmodel.entries(t.inst, blocks=(block,))
+        features = _features(found, n)
+        rows = textmodel.vectors(found, features, textmodel.KEYS).select(F.inline("features"))
+        return (
+            rows.join(features.where(F.col("block") == block), "i").groupBy("term", "df", "idf")
+            .agg(F.round(F.sum("w"), 4).alias("weight"), F.round(F.max("w"), 6).alias("strongest"))
+            .withColumn("idf", F.round("idf", 6))
+        )
+
+
 @op(
     "H6_one_hot_and_dense",
-    f"""WITH {INST} SELECT pair_id, CASE test_id WHEN 'de' THEN 0 WHEN 'fr' THEN 1 END AS hot,
-     is_outside_leaning::INT::DOUBLE AS is_outside, (length(trim(free_text)) >= 15)::INT::DOUBLE AS usable,
-     round(least(length(free_text), 400) / 400.0, 6) AS len, 0.0::DOUBLE AS anomaly FROM inst""",
+    f"""WITH {INST} SELECT record_id, pair_id, CASE test_id WHEN 'de' THEN 0 WHEN 'fr' THEN 1 END AS hot,
+     CASE WHEN is_outside_leaning THEN 1.0::DOUBLE END AS is_outside, CASE WHEN length(trim(free_text)) >= 15 THEN 1.0::DOUBLE END AS usable,
+     CASE WHEN free_text <> '' THEN round(least(length(free_text), 400) / 400.0, 6) END AS len, NULL::DOUBLE AS anomaly FROM inst""",
 )
 def _(t: Tables):
-    # no text blocks, one category with some values unknown: the rest of H6-H8
-    model = textmodel.TextModel([], {"test_id": ["de", "fr"]})
-    df = model.features(t.inst).select("pair_id", F.map_from_entries("features").alias("f"))
+    # a table of features that knows two of the categories' values: the others set nothing
+    known = t.spark.createDataFrame(
+        [("x1", "de", 0), ("x1", "fr", 1), *(("dense", d, 2 + k) for k, d in enumerate(("is_outside", "usable_text", "length", "anomaly")))],
+        "block string, term string, i int").withColumn("idf", F.lit(1.0))
+    rows = textmodel.vectors(textmodel.entries(t.inst, blocks=()), known, textmodel.KEYS)
+    df = t.inst.select(*textmodel.KEYS).join(rows, list(textmodel.KEYS), "left").withColumn("f", F.map_from_entries("features"))
     value = lambda i: F.try_element_at("f", F.lit(i))
     return df.select(
-        "pair_id",
+        "record_id", "pair_id",
         F.when(value(0).isNotNull(), 0).when(value(1).isNotNull(), 1).alias("hot"),
         value(2).alias("is_outside"), value(3).alias("usable"),
         F.round(value(4), 6).alias("len"), value(5).alias("anomaly"),
     )
 
 
-_MODEL = textmodel.TextModelConfig(
-    categories=("test_id", "structured_value"), max_iter=60,
-    max_word_features=5000, max_char_features=5000, max_interactions=20000,
+@op(
+    "H6_category_levels",
+    f"""WITH {INST}, {_entries_sql(())} SELECT block, term AS level, count(*) AS n FROM entry WHERE block LIKE 'x%' GROUP BY ALL""",
 )
+def _(t: Tables):
+    found = textmodel.entries(t.inst, blocks=())
+    features = textmodel.vocabulary(textmodel.count_features(found, t.inst.count()), textmodel.TextModelConfig())
+    return features.where(F.col("block").startswith("x")).select("block", F.col("term").alias("level"), F.col("df").alias("n"))
+
+
+@op(
+    "H8_assembled_features",
+    f"""WITH {INST}, {_entries_sql()}, {_vocabulary_sql()}, {_VALUES}
+     SELECT record_id, pair_id, count(*) AS n_features, round(sum(x), 4) AS total, round(sum(x * x), 4) AS squares FROM value_ GROUP BY ALL""",
+)
+def _(t: Tables):
+    found = textmodel.entries(t.inst)
+    features = _features(found, t.inst.count())
+    w = F.transform("features", lambda e: e["w"])
+
+    def total(values):
+        return F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 4)
+
+    return textmodel.vectors(found, features, textmodel.KEYS).select(
+        "record_id", "pair_id", F.size("features").cast("long").alias("n_features"),
+        total(w).alias("total"), total(F.transform(w, lambda x: x * x)).alias("squares"))
+
+
+def _folded(t: Tables, by_label: bool = False):
+    """Instances with the folds of both splits; by_label adds a split that leaves one class to train on."""
+    folds = [F.struct(F.lit(k).alias("split"), F.col(f"_{k}").alias("fold")) for k in splits.KINDS]
+    df = t.inst
+    for k in splits.KINDS:
+        df = splits.with_folds(df, k).withColumnRenamed("fold", f"_{k}")
+    if by_label:
+        folds.append(F.struct(F.lit("label").alias("split"), F.col("label").alias("fold")))
+    return df.withColumn("folds", F.array(*folds)).drop("_record", "_unit")
 
 
-def _model(t: Tables):
-    return textmodel.fit(t.inst, _MODEL)
+_FOLDS = """gr AS (SELECT record_id AS g, max(label) > 0 AS p FROM inst GROUP BY 1),
+ gu AS (SELECT coalesce(nullif(unit_key, ''), '__empty__' || pair_id) AS g, max(label) > 0 AS p FROM inst GROUP BY 1),
+ fr_ AS (SELECT g, (row_number() OVER (PARTITION BY p ORDER BY md5('20260907|' || g)) - 1) % 5 AS fold FROM gr),
+ fu_ AS (SELECT g, (row_number() OVER (PARTITION BY p ORDER BY md5('20260907|' || g)) - 1) % 5 AS fold FROM gu),
+ side AS (SELECT record_id, pair_id, label, 'record' AS split, CAST(fold AS INT) AS fold FROM inst JOIN fr_ ON g = record_id
+  UNION ALL SELECT record_id, pair_id, label, 'unit', CAST(fold AS INT) FROM inst JOIN fu_ ON g = coalesce(nullif(unit_key, ''), '__empty__' || pair_id))"""
+
+
+@op(
+    "H10_single_class_guard",
+    f"""WITH {INST}, {_FOLDS}, all_ AS (SELECT split, fold, label FROM side UNION ALL SELECT 'label', label, label FROM inst),
+     own AS (SELECT split, fold, count(*) AS n, sum(label) AS p FROM all_ GROUP BY ALL),
+     whole AS (SELECT split, sum(n) AS n, sum(p) AS p FROM own GROUP BY split)
+     SELECT o.split, o.fold, CAST(w.n - o.n AS BIGINT) AS n_train, CAST(w.p - o.p AS BIGINT) AS positives,
+      (w.p = o.p OR w.p - o.p = w.n - o.n) AS refused FROM own o JOIN whole w USING (split)""",
+)
+def _(t: Tables):
+    return textmodel.training_classes(_folded(t, by_label=True))
 
 
 @op(
@@ -286,31 +405,121 @@ def _(t: Tables):
     )
 
 
-@op("H11_fitted_scores")
+# a fit is unique: it is right where the optimality conditions hold, which SQL can name
+TOLERANCE = 2e-3
+
+
+@op(
+    "H9_optimality",
+    f"""WITH {INST}, {_entries_sql()}, {_vocabulary_sql()}
+     SELECT block, term, TRUE AS holds FROM feature UNION ALL SELECT 'intercept', '', TRUE""",
+)
+def _(t: Tables):
+    model = textmodel.fit(t.inst)
+    return textmodel.optimality(model, t.inst).select("block", "term", (F.col("violation") < TOLERANCE).alias("holds"))
+
+
+@op("H11_fitted_scores", f"WITH {INST} SELECT record_id, pair_id, label, TRUE AS consistent FROM inst")
+def _(t: Tables):
+    """Scores of the fit, beside those of the weights that the scores' own residuals imply."""
+    model = textmodel.fit(t.inst)
+    keys = list(textmodel.KEYS)
+    scored = model.score(t.inst)
+    pull = scored.select(*keys, "score", textmodel.residuals(textmodel.class_weights(t.inst)).alias("r"))
+    rows = textmodel.vectors(textmodel.entries(t.inst), model.features, keys).select(*keys, F.inline("features"))
+    implied = rows.join(pull, keys).groupBy("i").agg(F.sum(F.col("r") * F.col("w")).alias("coef"))
+    margins = rows.join(implied, "i").groupBy(*keys).agg(F.sum(F.col("w") * F.col("coef")).alias("m"))
+    again = 1.0 / (1.0 + F.exp(-(F.col("m") + F.col("intercept"))))
+    return scored.select(*keys, "label", "score").join(margins, keys).crossJoin(F.broadcast(model.fits)).select(
+        *keys, "label", (F.abs(again - F.col("score")) < TOLERANCE).alias("consistent"))
+
+
+def _given_model(t: Tables):
+    """A model with coefficients that SQL can make as well: by digest of block and term."""
+    found = textmodel.entries(t.inst)
+    features = textmodel.vocabulary(textmodel.count_features(found, t.inst.count()), textmodel.TextModelConfig())
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", "block", "term")), 1, 4), 16, 10).cast("double")
+    fits = t.spark.createDataFrame([(-0.5, 0.0)], "intercept double, violation double")
+    return textmodel.TextModel(features.withColumn("coef", (digest / 65535.0 - 0.5) * 4.0), fits)
+
+
+_COEF = "(('0x' || substr(md5(block || '|' || term), 1, 4))::BIGINT / 65535.0::DOUBLE - 0.5::DOUBLE) * 4.0::DOUBLE"
+_GIVEN = f"{INST}, {_entries_sql()}, {_vocabulary_sql()}, {_VALUES}"
+_PUSHES = f"""push AS (SELECT record_id, pair_id, CASE WHEN block LIKE 'x%' THEN block || '_' || term ELSE term END AS feature,
+  CASE WHEN block IN ('word', 'char', 'cross') THEN w * {_COEF} / norm ELSE w * {_COEF} END AS weight FROM value_),
+ top_ AS (SELECT * FROM push WHERE weight > 0 AND NOT starts_with(feature, ' ')
+  QUALIFY row_number() OVER (PARTITION BY record_id, pair_id ORDER BY weight DESC, feature) <= 4)"""
+
+
+@op(
+    "H11_scores",
+    f"""WITH {_GIVEN} SELECT record_id, pair_id, round(1.0 / (1.0 + exp(-(sum(x * {_COEF}) - 0.5))), 6) AS score
+     FROM value_ GROUP BY ALL""",
+)
 def _(t: Tables):
-    return _model(t).score(t.inst).select("record_id", "pair_id", "label", "score")
+    return _given_model(t).score(t.inst).select("record_id", "pair_id", F.round("score", 6).alias("score"))
 
 
-@op("H12_top_features")
+@op("H12_top_features", f"WITH {_GIVEN}, {_PUSHES} SELECT record_id, pair_id, feature, round(weight, 6) AS weight FROM top_")
 def _(t: Tables):
-    return _model(t).top_features(t.inst).select("pair_id", F.inline("top_features"))
+    df = _given_model(t).top_features(t.inst).select("record_id", "pair_id", F.inline("top_features"))
+    return df.withColumn("weight", F.round("weight", 6))
 
 
-@op("H13_model_explanation")
+@op(
+    "H13_model_explanation",
+    f"""WITH {_GIVEN}, {_PUSHES}, named AS (SELECT record_id, pair_id,
+       string_agg('“' || string_split(feature, '~')[-1] || '”', ', ' ORDER BY weight DESC, feature) AS names FROM top_ GROUP BY ALL)
+     SELECT i.record_id, i.pair_id, CASE WHEN names IS NULL THEN 'The text model found nothing against the answer.'
+      ELSE '1 has the answer “' || structured_value || '”; on the test “' || replace(test_id, '_', ' ') ||
+       '” the text model sees most against it in ' || names || '.' END AS explanation
+     FROM inst i LEFT JOIN named USING (record_id, pair_id)""",
+)
 def _(t: Tables):
     why = textmodel.explain(F.lit("1"))
-    return _model(t).top_features(t.inst).select("pair_id", why.alias("explanation"))
+    return _given_model(t).top_features(t.inst).select("record_id", "pair_id", why.alias("explanation"))
 
 
-@op("L8_out_of_fold_text_model")
+@op(
+    "L8_out_of_fold_text_model",
+    # what each model trains on, its vocabulary, that its fit is the optimum, and that each row is scored once a split
+    f"""WITH {INST}, {_FOLDS}, {_entries_sql()}, model AS (SELECT split, fold, count(*) AS n_test,
+       (SELECT count(*) FROM inst) - count(*) AS n_train FROM side GROUP BY ALL),
+     own AS (SELECT block, term, split, fold, count(*) AS df, sum(v) AS tf FROM entry JOIN side USING (record_id, pair_id) GROUP BY ALL),
+     whole AS (SELECT block, term, count(*) AS df, sum(v) AS tf FROM entry GROUP BY ALL),
+     rest AS (SELECT w.block, w.term, m.split, m.fold, w.df - coalesce(o.df, 0) AS df, w.tf - coalesce(o.tf, 0) AS tf
+      FROM whole w CROSS JOIN model m LEFT JOIN own o ON o.block = w.block AND o.term = w.term AND o.split = m.split AND o.fold = m.fold),
+     kept AS (SELECT * FROM rest WHERE df >= CASE block WHEN 'char' THEN 3 WHEN 'word' THEN 2 WHEN 'cross' THEN 2 ELSE 1 END
+      QUALIFY block NOT IN ('word', 'char') OR row_number() OVER (PARTITION BY split, fold, block ORDER BY tf DESC, term) <= 30000)
+     SELECT m.split, m.fold, m.n_train, m.n_test AS n_scored, count(*) FILTER (block = 'word') AS n_word, count(*) FILTER (block = 'char') AS n_char,
+      count(*) FILTER (block = 'cross') AS n_cross, count(*) FILTER (block LIKE 'x%') AS n_levels, TRUE AS optimal
+     FROM model m JOIN kept USING (split, fold) GROUP BY ALL""",
+)
 def _(t: Tables):
-    folded = splits.with_folds(t.inst, "record", 3)
-    scored = splits.cross_val_scores(
-        folded, lambda train: textmodel.fit(train, _MODEL).score, n_folds=3
-    )
-    return scored.withColumns({"method": F.lit("tfidf_logreg"), "split": F.lit("record")}).select(
-        *SCORE_COLUMNS
-    )
+    folded = _folded(t)
+    model = textmodel.fit_folds(folded)
+    scored = model.score(folded.select("*", F.inline("folds")))
+    n = t.inst.count()
+    rows = scored.where(F.col("score").between(0, 1)).groupBy("split", "fold").agg(F.count(F.lit(1)).alias("n_scored"))
+    block = F.col("block")
+    sizes = model.features.groupBy("split", "fold").agg(
+        F.count_if(block == "word").alias("n_word"), F.count_if(block == "char").alias("n_char"),
+        F.count_if(block == "cross").alias("n_cross"), F.count_if(block.startswith("x")).alias("n_levels"))
+    return rows.join(sizes, ["split", "fold"]).join(model.fits, ["split", "fold"]).select(
+        "split", "fold", (F.lit(n) - F.col("n_scored")).alias("n_train"), "n_scored", "n_word", "n_char", "n_cross", "n_levels",
+        (F.col("violation") < TOLERANCE).alias("optimal"))
+
+
+@op("L8_out_of_fold_scores")
+def _(t: Tables):
+    """The scores themselves, which no SQL can fit: L8_out_of_fold_text_model certifies the models."""
+    return _fold_scores(t).select(*SCORE_COLUMNS)
+
+
+def _fold_scores(t: Tables):
+    folded = _folded(t)
+    scored = textmodel.fit_folds(folded).score(folded.select("*", F.inline("folds")))
+    return scored.withColumn("method", F.lit("tfidf_logreg"))
 
 
 # ------------------------------------------------- I: premise/hypothesis pairs

@@ -110,7 +110,7 @@ LABELLED = """labelled AS (
  FROM form_inst i)"""
 
 INST = """inst AS (
- SELECT concat('rec-', d.source) AS record_id, concat('p-', CAST(d.doc_id AS VARCHAR)) AS pair_id,
+ SELECT concat('rec-', CAST(d.doc_id // 8 AS VARCHAR)) AS record_id, concat('p-', CAST(d.doc_id % 8 AS VARCHAR)) AS pair_id,
   d.doc_id, d.lang AS test_id,
   CASE WHEN l.quality = 1 THEN 'good' ELSE 'bad' END AS structured_value,
   l.quality = 1 AS is_outside_leaning, d.text AS free_text, l.toxic AS label,

@@ -1,23 +1,33 @@
-"""Sparse text classifier with answer interactions, on Spark ML."""
+"""Sparse text classifier with answer interactions, held as tables.
+
+Everything the model knows is a table: a row per feature with its block, term,
+idf and coefficient.  A row of instances becomes long entries (block, term,
+count); scores are a join with that table and a sum, explanations a join and a
+short list.  No list of terms or category values is collected or put into a plan, so
+neither vocabulary nor categories have a limit beyond the configured ones.
+
+``fit_folds`` fits one model per fold of several splits.  Texts are cut into
+entries once; document frequencies are counted per fold, and a fold's training
+frequencies are the totals less its own.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Generator, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF
-from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.plan import once
+from ..functions.ranking import hashed_rank
 from ..functions.text import WHITESPACE, is_blank, let, usable
+from ..session import scratch_dir
 
-ENTRIES = "array<struct<i:int,w:double>>"
+KEYS = ("record_id", "pair_id")
 CATEGORIES = ("pair_id", "test_id", "structured_value")
-DENSE = ("is_outside", "usable_text", "length", "anomaly")
+TEXT_BLOCKS = ("word", "char", "cross")
 
 
 @dataclass(frozen=True)
@@ -25,13 +35,11 @@ class TextModelConfig:
     c: float = 1.0
     max_word_features: int = 30_000
     max_char_features: int = 30_000
-    max_interactions: int = 1 << 20
-    word_min_df: float = 2.0
-    char_min_df: float = 3.0
+    word_min_df: int = 2
+    char_min_df: int = 3
     categories: Sequence[str] = CATEGORIES
-    max_levels: int = 10_000
-    max_iter: int = 200
-    tol: float = 1e-6
+    max_iter: int = 500
+    tol: float = 1e-3  # of the gradient
 
 
 def answer_and_text() -> Column:
@@ -86,186 +94,186 @@ def interaction_tokens() -> Column:
     )
 
 
-def literal_array(values: Sequence, element: str) -> Column:
-    """A long constant array; constant folding leaves one literal of it."""
-    texts = [v if isinstance(v, str) else repr(v) for v in values]
-    if not texts:
-        return F.array().cast(f"array<{element}>")
-    return F.split(F.lit("\x01".join(texts)), "\x01", -1).cast(f"array<{element}>")
-
-
-@F.udf(returnType=VectorUDT(), useArrow=True)
-def to_vector(size: int, indices: list, values: list):
-    """Index and value arrays as the vector type the optimiser takes."""
-    return SparseVector(size, indices, values)
-
-
-@dataclass
-class _Block:
-    """A fitted vocabulary with its smoothed idf weights."""
+def _written(df: DataFrame, purpose: str, partition: Sequence[str] = ()) -> DataFrame:
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.partitionBy(*partition).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    name: str
-    vocabulary: CountVectorizerModel
-    scale: ElementwiseProduct
 
-    @property
-    def size(self) -> int:
-        return len(self.vocabulary.vocabulary)
+def _dense() -> Mapping[str, Column]:
+    """H7: polarity, usability, length, anomaly."""
+    return {
+        "is_outside": F.col("is_outside_leaning").cast("double"),
+        "usable_text": usable(F.col("free_text")).cast("double"),
+        "length": F.least(F.length("free_text"), F.lit(400)) / 400.0,
+        "anomaly": (~is_blank(F.col("anomaly"))).cast("double"),
+    }
+
+
+def entries(
+    df: DataFrame, cfg: TextModelConfig = TextModelConfig(), keys: Sequence[str] = KEYS,
+    blocks: Sequence[str] = TEXT_BLOCKS,
+) -> DataFrame:
+    """H1-H7: keys, block, term, v: a term's count in a text block, or a feature's value.
+
+    ``keys`` identify a row of ``df``.  One exchange, of the texts: counting
+    stays within a row's partition.  A null category value and zero values have no entry.
+    """
+    grams = {"word": word_grams(answer_and_text()), "char": char_grams(F.col("free_text")), "cross": interaction_tokens()}
+
+    def entry(block: str, term: Column, v: Column) -> Column:
+        return F.struct(F.lit(block).alias("block"), term.alias("term"), v.cast("double").alias("v"))
+
+    def each(block: str) -> Column:
+        return F.transform(grams[block], lambda t: entry(block, t, F.lit(1.0)))
+
+    found = [each(b) for b in blocks]
+    single = [entry(f"x{k}", F.col(c).cast("string"), F.lit(1.0)) for k, c in enumerate(cfg.categories)]
+    single += [entry("dense", F.lit(name), v) for name, v in _dense().items()]
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(partitions, *keys).select(*keys, F.inline(F.concat(*found, F.array(*single))))
+    return (
+        rows.where(F.col("term").isNotNull() & (F.col("v") != 0))
+        .groupBy(*keys, "block", "term").agg(F.sum("v").alias("v"))
+    )
 
-    def entries(self, df: DataFrame) -> DataFrame:
-        """Add ``_<name>_e``: (index, unit-length sublinear tf-idf) entries.
 
-        The stored values of counts and of idf-scaled counts line up, so
-        (1 + ln c) * idf is the scaled value over the count times its damping.
-        """
-        counted = self.scale.transform(self.vocabulary.transform(df))
-        c, s = F.unwrap_udt(f"_{self.name}_c"), F.unwrap_udt(f"_{self.name}_s")
-        weights = F.zip_with(
-            c["values"], s["values"], lambda n, w: w / n * (F.lit(1.0) + F.log(n))
-        )
+def _is_text() -> Column:
+    return F.col("block").isin(*TEXT_BLOCKS)
 
-        def scaled(ws: Column, norm: Column) -> Column:
-            return F.zip_with(
-                c["indices"], ws, lambda i, w: F.struct(i.alias("i"), (w / norm).alias("w"))
-            )
 
-        def unit(ws: Column) -> Column:
-            # the norm is bound outside the element loop
-            squares = F.aggregate(ws, F.lit(0.0), lambda a, w: a + w * w)
-            return let(F.sqrt(squares), lambda norm: scaled(ws, norm))
+def feature_name() -> Column:
+    """The term, a category as x<number>_<value>, or a dense feature's name."""
+    return F.when(F.col("block").startswith("x"), F.concat_ws("_", "block", "term")).otherwise(F.col("term"))
 
-        return counted.withColumn(f"_{self.name}_e", let(weights, unit)).drop(
-            f"_{self.name}_c", f"_{self.name}_s", f"_{self.name}_t"
-        )
 
+def vocabulary(counts: DataFrame, cfg: TextModelConfig, by: Sequence[str] = ()) -> DataFrame:
+    """H3-H6: by, block, term, df, idf of the features of each model.
 
-def _fit_block(df: DataFrame, name: str, min_df: float, size: int) -> _Block:
-    """H3-H5: the most frequent terms above a document frequency, and their idf."""
-    cv = CountVectorizer(
-        inputCol=f"_{name}_t", outputCol=f"_{name}_c", minDF=min_df, vocabSize=size
-    ).fit(df)
-    idf = IDF(inputCol=f"_{name}_c", outputCol="_unused").fit(cv.transform(df))
-    frequency = np.asarray(idf.docFreq, dtype=float)
-    weights = np.log((1.0 + idf.numDocs) / (1.0 + frequency)) + 1.0
-    scale = ElementwiseProduct(
-        scalingVec=DenseVector(weights), inputCol=f"_{name}_c", outputCol=f"_{name}_s"
+    ``counts``: by, block, term, df (rows that hold it), tf (its count), n (rows of the model).
+    Words and characters are cut to the most frequent terms (ties by term), as configured.
+    """
+    least = F.when(F.col("block") == "char", cfg.char_min_df).when(_is_text(), cfg.word_min_df).otherwise(1)
+    kept = counts.where(F.col("df") >= least)
+    limit = F.when(F.col("block") == "word", cfg.max_word_features).otherwise(cfg.max_char_features)
+    order = [F.desc("tf"), F.asc("term")]
+    # the most frequent of each part first, so that no task sorts a whole vocabulary
+    part = W.partitionBy(*by, "block", F.pmod(F.xxhash64("term"), F.lit(32))).orderBy(*order)
+    whole = W.partitionBy(*by, "block").orderBy(*order)
+    capped = kept.where(F.col("block").isin("word", "char"))
+    for window in (part, whole):
+        capped = capped.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= limit).drop("_r")
+    both = capped.unionByName(kept.where(~F.col("block").isin("word", "char")))
+    idf = F.when(_is_text(), F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).otherwise(1.0)
+    return both.select(*by, "block", "term", "df", idf.alias("idf"))
+
+
+def numbered(features: DataFrame) -> tuple[DataFrame, list[str], list[int]]:
+    """block, term, i of the distinct features, numbered from 0 block by block; the blocks, and where each ends."""
+    terms = features.select("block", "term").distinct()
+    sizes = sorted(terms.groupBy("block").count().collect())
+    ends, starts = [], {}
+    for block, n in sizes:
+        starts[block] = ends[-1] if ends else 0
+        ends.append(starts[block] + n)
+    ranked = hashed_rank(terms.withColumn("_h", F.md5("term")), ["block"], "_h", out="_i", total="_n")
+    start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]) if starts else F.create_map().cast("map<string,int>")
+    return ranked.select("block", "term", (F.col("_i") - 1 + start[F.col("block")]).cast("int").alias("i")), [b for b, _ in sizes], ends
+
+
+def count_features(found: DataFrame, n: int) -> DataFrame:
+    """block, term, df, tf over all rows of ``entries``, with the number of rows."""
+    return found.groupBy("block", "term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("v").alias("tf")
+    ).withColumn("n", F.lit(n))
+
+
+def _raw() -> Column:
+    """A text term's damped count by idf; any other entry's value."""
+    return F.when(_is_text(), (1.0 + F.log("v")) * F.col("idf")).otherwise(F.col("v"))
+
+
+def vectors(found: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """H8: keys, features: array of (i, w) by i; each text block has unit length.
+
+    ``features``: block, term, idf, i.
+    """
+    rows = found.join(features.select("block", "term", "idf", "i"), ["block", "term"])
+    one = rows.withColumn("w", _raw()).groupBy(*keys, "block").agg(
+        F.collect_list(F.struct("i", "w")).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
-    return _Block(name, cv, scale)
-
-
-def _tokens(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            "_word_t": word_grams(answer_and_text()),
-            "_char_t": char_grams(F.col("free_text")),
-            "_cross_t": interaction_tokens(),
-        }
+    unit = F.transform(
+        "e", lambda x: F.struct(x["i"].alias("i"), F.when(_is_text(), x["w"] / F.col("norm")).otherwise(x["w"]).alias("w"))
     )
-
-
-def _dense() -> list[Column]:
-    """H7: polarity, usability, length, anomaly."""
-    return [
-        F.col("is_outside_leaning").cast("double"),
-        usable(F.col("free_text")).cast("double"),
-        F.least(F.length("free_text"), F.lit(400)) / 400.0,
-        (~is_blank(F.col("anomaly"))).cast("double"),
-    ]
-
-
-def _shift(entries: Column, offset: int) -> Column:
-    return F.transform(
-        entries, lambda e: F.struct((e["i"] + offset).alias("i"), e["w"].alias("w"))
+    return (
+        one.withColumn("e", unit).groupBy(*keys)
+        .agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("features"))
     )
 
 
 @dataclass
 class TextModel:
-    """H8: everything needed to turn instances into scores.
+    """A fitted model, or one per value of the columns ``by``.
 
-    Features are plain (index, value) arrays; scoring and explaining are
-    arithmetic on them, without Python.
+    ``features``: by, block, term, idf, i, coef; ``fits``: by, intercept and
+    the largest violation of the optimality conditions.
     """
 
-    blocks: list[_Block]
-    categories: dict[str, list[str]]
-    coefficients: list[float] | None = None
-    intercept: float = 0.0
+    features: DataFrame | None = None
+    fits: DataFrame | None = None
+    cfg: TextModelConfig = TextModelConfig()
+    by: tuple[str, ...] = ()
+    blocks: tuple[str, ...] = TEXT_BLOCKS
     name: str = "tfidf_logreg"
 
-    @property
-    def names(self) -> list[str]:
-        terms = [t for b in self.blocks for t in b.vocabulary.vocabulary]
-        onehot = [f"x{i}_{v}" for i, vs in enumerate(self.categories.values()) for v in vs]
-        return terms + onehot + list(DENSE)
-
-    def features(self, df: DataFrame) -> DataFrame:
-        """H6-H8: add ``features``: array of (index, value), ascending by index."""
-        work = _tokens(df)
-        parts, offset = [], 0
-        for block in self.blocks:
-            work = block.entries(work)
-            parts.append(_shift(F.col(f"_{block.name}_e"), offset))
-            offset += block.size
-        for name, values in self.categories.items():
-            place = F.array_position(literal_array(values, "string"), F.col(name))
-            hot = F.struct(
-                (place - 1 + offset).cast("int").alias("i"), F.lit(1.0).alias("w")
-            )
-            # an unknown value sets nothing
-            parts.append(
-                F.when(place > 0, F.array(hot)).otherwise(F.array().cast(ENTRIES))
-            )
-            offset += len(values)
-        dense = [
-            F.struct(F.lit(offset + k).alias("i"), v.alias("w")) for k, v in enumerate(_dense())
-        ]
-        parts.append(F.array(*dense))
-        entries = F.concat(*[p.cast(ENTRIES) for p in parts])
-        return once(work, {"features": entries}).select(*df.columns, "features")
-
-    def _coefficients(self) -> list[float]:
-        if self.coefficients is None:
+    def _known(self) -> DataFrame:
+        if self.features is None:
             raise RuntimeError("the text model must be fitted before it can be used")
-        return self.coefficients
+        return self.features
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Probability of the positive class."""
-        weights = literal_array(self._coefficients(), "double")
-        margin = F.aggregate(
-            "features", F.lit(self.intercept), lambda a, e: a + e["w"] * F.get(weights, e["i"])
-        )
-        return self.features(df).withColumn(
-            "score", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-        ).drop("features")
+    def _met(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        found = entries(df, self.cfg, [*keys, *self.by], self.blocks)
+        return found.join(self._known().select(*self.by, "block", "term", "idf", "coef"), [*self.by, "block", "term"])
 
-    def top_features(self, df: DataFrame, k: int = 4) -> DataFrame:
-        """Add ``top_features``: the k strongest readable pushes to a flag.
+    def score(self, df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+        """Add ``score``, the probability of the positive class.
 
-        Names starting with a blank are unreadable fragments and weigh nothing.
+        ``df`` carries the columns ``by``, which pick the model of each row.
         """
-        names = self.names
-        shown = [
-            0.0 if n.startswith(" ") else c
-            for n, c in zip(names, self._coefficients())
-        ]
-        weights, labels = literal_array(shown, "double"), literal_array(names, "string")
-        pushes = F.transform(
-            "features",
-            lambda e: F.struct(
-                (-e["w"] * F.get(weights, e["i"])).alias("m"), e["i"].alias("i")
-            ),
+        keys = list(keys)
+        per_block = self._met(df, keys).withColumn("_w", _raw()).groupBy(*keys, *self.by, "block").agg(
+            F.sum(F.col("_w") * F.col("coef")).alias("_dot"), F.sum(F.col("_w") * F.col("_w")).alias("_sq")
         )
-        best = F.slice(F.array_sort(F.filter(pushes, lambda r: r["m"] < 0)), 1, k)
-        return self.features(df).withColumn(
-            "top_features",
-            F.transform(
-                best,
-                lambda r: F.struct(
-                    F.get(labels, r["i"]).alias("feature"), (-r["m"]).alias("weight")
-                ),
-            ),
-        ).drop("features")
+        part = F.when(_is_text(), F.col("_dot") / F.sqrt("_sq")).otherwise(F.col("_dot"))
+        margins = per_block.groupBy(*keys, *self.by).agg(F.sum(part).alias("_margin"))
+        scored = df.join(margins, [*keys, *self.by], "left")
+        start = self.fits.select(*self.by, "intercept")
+        scored = scored.join(start, list(self.by)) if self.by else scored.crossJoin(F.broadcast(start))  # a row per model
+        total = F.coalesce("_margin", F.lit(0.0)) + F.col("intercept")
+        return scored.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).drop("_margin", "intercept")
+
+    def top_features(self, df: DataFrame, k: int = 4, keys: Sequence[str] = KEYS) -> DataFrame:
+        """Add ``top_features``: the k strongest readable pushes to a flag, at most.
+
+        Only positive ones; names starting with a blank are unreadable
+        fragments and are left out; ties go by name.
+        """
+        keys = list(keys)
+        push = F.col("_w") * F.col("coef")
+        name = feature_name()
+        shown = F.when((push > 0) & ~F.startswith(name, F.lit(" ")), F.struct((-push).alias("m"), name.alias("f")))
+        per_block = self._met(df, keys).withColumn("_w", _raw()).groupBy(*keys, *self.by, "block").agg(
+            F.slice(F.array_sort(F.collect_list(shown)), 1, k).alias("_best"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm")
+        )
+        scaled = F.transform(
+            "_best", lambda b: F.struct(F.when(_is_text(), b["m"] / F.col("_norm")).otherwise(b["m"]).alias("m"), b["f"].alias("f"))
+        )
+        best = per_block.withColumn("_best", scaled).groupBy(*keys, *self.by).agg(
+            F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k).alias("_best")
+        )
+        pushes = F.transform("_best", lambda b: F.struct(b["f"].alias("feature"), (-b["m"]).alias("weight")))
+        none = F.array().cast("array<struct<feature:string,weight:double>>")
+        return df.join(best, [*keys, *self.by], "left").withColumn("top_features", F.coalesce(pushes, none)).drop("_best")
 
 
 def class_weights(train: DataFrame) -> tuple[float, float, int]:
@@ -278,55 +286,256 @@ def class_weights(train: DataFrame) -> tuple[float, float, int]:
     return row.n / (2.0 * (row.n - row.p)), row.n / (2.0 * row.p), row.n
 
 
-def fit(train: DataFrame, cfg: TextModelConfig = TextModelConfig()) -> TextModel:
-    """H8, H9: fit vocabularies, then a class-balanced L2 logistic regression.
+#: Entries of a block of rows, and numbers of a piece of a gradient.
+BLOCK_ENTRIES, PIECE = 1 << 18, 1 << 16
+_BLOCK = "y binary, held binary, ends binary, at binary, value binary"
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """label, held, e (array of i, u) as blocks of rows in plain number arrays."""
+    names = ["y", "held", "ends", "at", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, held, e = batch.columns
+            offsets, entry = e.offsets.to_numpy(), e.values
+            at, value = entry.field("i").to_numpy(), entry.field("u").to_numpy()
+            width = len(held.values) // max(1, len(held))  # a model of each split
+            marks = held.flatten().to_numpy().astype(np.int32)
+            begin = 0
+            while begin < len(label):
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BLOCK_ENTRIES)) - 1)
+                end = min(end, len(label))
+                part = slice(offsets[begin], offsets[end])
+                arrays = (
+                    label.to_numpy()[begin:end].astype(np.float64), marks[begin * width:end * width],
+                    (offsets[begin + 1:end + 1] - offsets[begin]).astype(np.int64), at[part].astype(np.int32), value[part])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=names)
+                begin = end
+
+    return rows.select(F.col("label").cast("double"), "held", "e").mapInArrow(run, _BLOCK)
+
 
-    The objective is 0.5*|w|^2 + C * sum(weight * loss); the optimiser averages
-    the loss over the weights, whose sum is n, and ``regParam`` undoes that.
-    The intercept is not penalised.
+def _evaluate(
+    blocks: DataFrame, points: dict[int, np.ndarray], idf: Broadcast, weights: np.ndarray, text_ends: list[int], splits: int, c: float,
+) -> dict[int, tuple[float, np.ndarray]]:
+    """Loss and gradient of the objective of each model at its point (coefficients, then the intercept).
+
+    Tasks add up what their rows say and send it in pieces, which are added by piece.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given, known = shared.value, idf.value
+        size = len(next(iter(given.values()))) - 1
+        sums = {m: np.zeros(size + 2) for m in given}  # gradient, the intercept's, loss
+        n_text = len(text_ends)
+        for batch in batches:
+            for row in zip(*(column for column in batch.columns), strict=True):
+                y, held, ends, at, value = (
+                    np.frombuffer(x.as_py(), dtype=kind) for x, kind in zip(row, ("f8", "i4", "i8", "i4", "f8"), strict=True))
+                owner = np.repeat(np.arange(len(y)), np.diff(ends, prepend=0))
+                segment = owner * (n_text + 1) + np.searchsorted(text_ends, at, side="right")
+                held = held.reshape(len(y), splits)
+                for m, point in given.items():
+                    raw = value * known[m][at]
+                    norm = np.sqrt(np.bincount(segment, raw * raw, len(y) * (n_text + 1))).reshape(len(y), -1)
+                    norm[:, n_text] = 1.0
+                    norm[norm == 0] = 1.0
+                    dot = np.bincount(segment, raw * point[at], len(y) * (n_text + 1)).reshape(len(y), -1)
+                    margin = (dot / norm).sum(axis=1) + point[-1]
+                    trains = ~(held == m).any(axis=1)
+                    weight = np.where(y > 0, weights[m, 1], weights[m, 0]) * trains
+                    r = weight * (1 / (1 + np.exp(-np.clip(margin, -700, 700))) - y)
+                    sums[m][:size] += np.bincount(at, raw * (r[:, None] / norm).reshape(-1)[segment], size)
+                    sums[m][size] += r.sum()
+                    sums[m][size + 1] += (weight * (np.logaddexp(0, margin) - y * margin)).sum()
+        for m, total in sums.items():
+            for k in range(0, len(total), PIECE):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([m], pa.int32()), pa.array([k], pa.int64()), pa.array([total[k:k + PIECE].tobytes()], pa.binary())], names=["m", "k", "s"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), dtype=np.float64) for x in table["s"])
+        return pa.table({"m": table["m"][:1], "k": table["k"][:1], "s": pa.array([total.tobytes()], pa.binary())})
+
+    pieces = blocks.mapInArrow(run, "m int, k long, s binary").groupBy("m", "k").applyInArrow(add, "m int, k long, s binary").toArrow()
+    out = {}
+    for m, point in points.items():
+        own = sorted((k, s) for n, k, s in zip(*(pieces[x].to_pylist() for x in ("m", "k", "s")), strict=True) if n == m)
+        total = np.concatenate([np.frombuffer(s, dtype=np.float64) for _, s in own])
+        gradient = c * total[:-1]
+        gradient[:-1] += point[:-1]
+        out[m] = c * total[-1] + 0.5 * point[:-1] @ point[:-1], gradient
+    shared.unpersist()
+    return out
+
+
+def _minimise(size: int, tol: float, max_iter: int, memory: int = 10) -> Generator[np.ndarray, tuple[float, np.ndarray], tuple[np.ndarray, float]]:
+    """L-BFGS: yields points, is sent (loss, gradient), returns the last point and its largest gradient entry."""
+    x, past = np.zeros(size), []
+    f, g = yield x
+    for _ in range(max_iter):
+        if np.abs(g).max(initial=0.0) <= tol:
+            break
+        d, used = g.copy(), []
+        for s, y, rho in reversed(past):
+            used.append(rho * (s @ d))
+            d -= used[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            d *= (s @ y) / (y @ y)
+        for (s, y, rho), a in zip(past, reversed(used), strict=True):
+            d += s * (a - rho * (y @ d))
+        slope, step = -(g @ d), 1.0 if past else 1.0 / max(1.0, float(np.linalg.norm(g)))
+        for _ in range(40):
+            after, h = yield x - step * d
+            if after <= f + 1e-4 * step * slope:
+                break
+            step /= 2
+        s, y = -step * d, h - g
+        if s @ y > 1e-14 * (y @ y):
+            past = [*past[1 - memory:], (s, y, 1.0 / (s @ y))]
+        x, f, g = x + s, after, h
+    return x, float(np.abs(g).max(initial=0.0))
+
+
+def _fit_models(
+    found: DataFrame, rows: DataFrame, features: DataFrame, models: Sequence[tuple], balances: Sequence[tuple[float, float]],
+    cfg: TextModelConfig, keys: Sequence[str], by: Sequence[str], splits: int,
+) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """H9: (by, block, term, df, idf, coef) and (intercept, violation) of models fitted together.
+
+    ``rows``: keys, label, held: the numbers of the models that don't train on a row; ``features``: by, block, term, df, idf.
+    The objective of each model is 0.5*|w|^2 + C * sum(weight * loss); the intercept is not penalised.
+    All models share one matrix of damped counts, written once; idf and unit
+    length are applied per model while it is read. Only arrays of numbers, a number a feature, reach the driver.
     """
+    spark = found.sparkSession
+    terms, blocks_, ends = numbered(features)
+    terms = _written(terms, "terms")
+    order = {b: k for k, b in enumerate(sorted(blocks_, key=lambda b: (b not in TEXT_BLOCKS, b)))}
+    # text blocks come first, so that a place tells its block
+    shift, at = {}, 0
+    for b in order:
+        k = blocks_.index(b)
+        begin = ends[k - 1] if k else 0
+        shift[b], at = at - begin, at + ends[k] - begin
+    text_ends, at = [], 0
+    for b in order:
+        k = blocks_.index(b)
+        at += ends[k] - (ends[k - 1] if k else 0)
+        if b in TEXT_BLOCKS:
+            text_ends.append(at)
+    size = ends[-1] if ends else 0
+    moved = F.col("i") + F.create_map(*[F.lit(x) for kv in shift.items() for x in kv])[F.col("block")]
+    terms = terms.withColumn("i", moved.cast("int"))
+    damped = F.when(_is_text(), 1.0 + F.log("v")).otherwise(F.col("v"))
+    matrix = found.join(terms, ["block", "term"]).groupBy(*keys).agg(F.collect_list(F.struct("i", damped.alias("u"))).alias("e"))
+    blocks = _written(_packed(matrix.join(rows, list(keys))), "matrix")
+    idf = np.zeros((len(models), size))
+    number = {m: k for k, m in enumerate(models)}
+    listed = features.join(terms, ["block", "term"]).select(*by, "i", "idf").toArrow()
+    columns = [listed[c].to_pylist() for c in by]
+    which = np.array([number[m] for m in zip(*columns, strict=True)] if by else [0] * len(listed), dtype=np.int64)
+    idf[which, listed["i"].to_numpy()] = listed["idf"].to_numpy()
+    shared = spark.sparkContext.broadcast(idf)
+    runs = {m: _minimise(size + 1, cfg.tol, cfg.max_iter) for m in range(len(models))}
+    points, done = {m: next(r) for m, r in runs.items()}, {}
+    while points:
+        values = _evaluate(blocks, points, shared, np.array(balances), text_ends, splits, cfg.c)
+        for m, value in values.items():
+            try:
+                points[m] = runs[m].send(value)
+            except StopIteration as end:
+                done[m] = end.value
+                del points[m]
+    coefficients = pa.table({
+        **{c: pa.array([models[m][k] for m in range(len(models)) for _ in range(size)]) for k, c in enumerate(by)},
+        "i": pa.array(np.tile(np.arange(size, dtype=np.int32), len(models))),
+        "coef": pa.array(np.concatenate([done[m][0][:-1] for m in range(len(models))])),
+    })
+    table = features.join(terms, ["block", "term"]).join(spark.createDataFrame(coefficients), [*by, "i"])
+    return _written(table, "model"), [(float(done[m][0][-1]), done[m][1]) for m in range(len(models))]
+
+
+def fit(train: DataFrame, cfg: TextModelConfig = TextModelConfig(), keys: Sequence[str] = KEYS) -> TextModel:
+    """H8, H9: fit vocabularies, then a class-balanced L2 logistic regression."""
     negative, positive, n = class_weights(train)
-    # every vocabulary takes several passes over the same tokens; the copy may
-    # spill to disk and is rebuilt from the training data if it is lost
-    tokens = _tokens(train).select("_word_t", "_char_t", "_cross_t").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    try:
-        blocks = [
-            _fit_block(tokens, "word", cfg.word_min_df, cfg.max_word_features),
-            _fit_block(tokens, "char", cfg.char_min_df, cfg.max_char_features),
-            _fit_block(tokens, "cross", cfg.word_min_df, cfg.max_interactions),
-        ]
-    finally:
-        tokens.unpersist()
-    model = TextModel(blocks, {c: _levels(train, c, cfg.max_levels) for c in cfg.categories})
-    size = len(model.names)
-    rows = model.features(train).select(
-        F.col("label").cast("double").alias("label"),
-        F.when(F.col("label") == 1, positive).otherwise(negative).alias("weight"),
-        to_vector(
-            F.lit(size), F.transform("features", lambda e: e["i"]),
-            F.transform("features", lambda e: e["w"]),
-        ).alias("features"),
-    )
-    classifier = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="weight",
-        regParam=1.0 / (cfg.c * n), elasticNetParam=0.0, standardization=False,
-        fitIntercept=True, maxIter=cfg.max_iter, tol=cfg.tol,
-    )
-    fitted = classifier.fit(rows)
-    model.coefficients = [float(c) for c in fitted.coefficients.toArray()]
-    model.intercept = float(fitted.intercept)
-    return model
+    found = _written(entries(train, cfg, keys), "entries")
+    features = _written(vocabulary(count_features(found, n), cfg), "features")
+    rows = train.select(*keys, "label", F.array().cast("array<int>").alias("held"))
+    table, fits = _fit_models(found, rows, features, [()], [(negative, positive)], cfg, keys, (), 0)
+    return TextModel(table, train.sparkSession.createDataFrame(fits, "intercept double, violation double"), cfg)
+
 
+def training_classes(folded: DataFrame) -> DataFrame:
+    """Split, fold, n_train, positives, refused: what each fold's model would train on.
 
-def _levels(train: DataFrame, name: str, limit: int) -> list[str]:
-    """H6: the values of a categorical column, whose number must stay small."""
-    found = train.select(name).where(F.col(name).isNotNull()).distinct().limit(limit + 1)
-    levels = sorted(r[0] for r in found.collect())
-    if len(levels) > limit:
-        raise ValueError(f"{name} has more than {limit} values; it is not categorical")
-    return levels
+    ``folded``: label and ``folds``: array of (split, fold).  A model is refused
+    if its training rows have a single class.
+    """
+    own = folded.select("label", F.inline("folds")).groupBy("split", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("p"))
+    whole = own.groupBy("split").agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"))
+    n_train, positives = F.col("_n") - F.col("n"), F.col("_p") - F.col("p")
+    return own.join(whole, "split").select(
+        "split", "fold", n_train.alias("n_train"), positives.alias("positives"),
+        ((positives == 0) | (positives == n_train)).alias("refused"))
+
+
+def fit_folds(folded: DataFrame, cfg: TextModelConfig = TextModelConfig(), keys: Sequence[str] = KEYS) -> TextModel:
+    """A model for every (split, fold), fitted on the rows of the split's other folds.
+
+    ``folded``: instances with ``folds``: array of (split, fold), one of each split.  Frequencies are
+    counted once per fold; what a model trains on is the total less its own fold.
+    A fold whose training rows have a single class is an error (H10).
+    """
+    keys, by = list(keys), ["split", "fold"]
+    spark = folded.sparkSession
+    classes = training_classes(folded).collect()  # splits x folds
+    if refused := [(r.split, r.fold) for r in classes if r.refused]:
+        raise ValueError(f"the training data of {refused} holds a single class")
+    models = sorted((r.split, r.fold) for r in classes)
+    train = {(r.split, r.fold): (r.n_train, r.positives) for r in classes}
+    found = _written(entries(folded, cfg, keys), "entries")
+    own = found.join(folded.select(*keys, F.inline("folds")), keys).groupBy("block", "term", *by).agg(
+        F.count(F.lit(1)).alias("_df"), F.sum("v").alias("_tf"))
+    own = _written(own, "fold_counts")
+    total = own.where(F.col("split") == models[0][0]).groupBy("block", "term").agg(F.sum("_df").alias("df"), F.sum("_tf").alias("tf"))
+    # every term with every model: the models are few, whatever the data
+    listed = spark.createDataFrame([(s, f, n) for (s, f), (n, _) in train.items()], "split string, fold int, n long")
+    rest = total.crossJoin(F.broadcast(listed)).join(own, ["block", "term", *by], "left").select(
+        *by, "block", "term", (F.col("df") - F.coalesce("_df", F.lit(0))).alias("df"), (F.col("tf") - F.coalesce("_tf", F.lit(0.0))).alias("tf"), "n")
+    features = _written(vocabulary(rest.where("df > 0"), cfg, by), "fold_features")
+    number = F.create_map(*[F.lit(x) for k, m in enumerate(models) for x in (f"{m[0]}|{m[1]}", k)])
+    held = F.transform("folds", lambda f: number[F.concat_ws("|", f["split"], f["fold"].cast("string"))])
+    balances = [(n / (2.0 * (n - p)), n / (2.0 * p)) for n, p in (train[m] for m in models)]
+    rows = folded.select(*keys, "label", held.alias("held"))
+    table, fits = _fit_models(found, rows, features, models, balances, cfg, keys, by, len({s for s, _ in models}))
+    fitted = spark.createDataFrame([(*m, *f) for m, f in zip(models, fits, strict=True)], "split string, fold int, intercept double, violation double")
+    return TextModel(table, fitted, cfg, tuple(by))
+
+
+def residuals(balance: tuple[float, float, int]) -> Column:
+    """A row's weighted residual: what it pulls the margin by."""
+    return F.when(F.col("label") == 1, balance[1]).otherwise(balance[0]) * (F.col("label") - F.col("score"))
+
+
+def optimality(model: TextModel, train: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """H9: block, term, violation of each feature's optimality condition, and the intercept's.
+
+    The objective is strictly convex, so these conditions single out the fit: C times a feature's sum of
+    weighted residuals is its coefficient, and all residuals sum to 0.
+    """
+    keys = list(keys)
+    pull = model.score(train, keys).select(*keys, residuals(class_weights(train)).alias("r"))
+    rows = vectors(entries(train, model.cfg, keys, model.blocks), model._known(), keys)  # the model's table has i
+    sums = rows.select(*keys, F.inline("features")).join(pull, keys).groupBy("i").agg(F.sum(F.col("r") * F.col("w")).alias("s"))
+    own = model._known().join(sums, "i", "left").select(
+        "block", "term", F.abs(model.cfg.c * F.coalesce("s", F.lit(0.0)) - F.col("coef")).alias("violation"))
+    return own.unionByName(pull.agg(F.abs(F.sum("r")).alias("violation")).select(
+        F.lit("intercept").alias("block"), F.lit("").alias("term"), "violation"))
 
 
 def explain(form_ref: Column) -> Column:
@@ -341,12 +550,11 @@ def explain(form_ref: Column) -> Column:
         ", ",
     )
     return F.when(
-        F.size("top_features") == 0, F.lit("No learned evidence of inconsistency.")
+        F.size("top_features") == 0, F.lit("The text model found nothing against the answer.")
     ).otherwise(
         F.concat(
-            F.lit("Question "), form_ref, F.lit(" was answered “"), F.col("structured_value"),
-            F.lit("”. The strongest signals in the justification for a mismatch on the "),
-            F.replace(F.col("test_id"), F.lit("_"), F.lit(" ")), F.lit(" test were "), readable,
-            F.lit(". Worth a reviewer's eye."),
+            form_ref, F.lit(" has the answer “"), F.col("structured_value"), F.lit("”; on the test “"),
+            F.replace(F.col("test_id"), F.lit("_"), F.lit(" ")),
+            F.lit("” the text model sees most against it in "), readable, F.lit("."),
         )
     )
