@@ -4,7 +4,7 @@ The text is cut by the tokenizer's pattern. The distinct words of a batch become
 token-position rows (one a byte); a recursive query joins neighbouring tokens
 with the merge table, contracts each word's leftmost pair of minimum rank, and
 goes on until no word has a pair left. An ordered aggregation of token bytes
-decodes. Encoded pieces are kept in a cache of bounded size per worker. A word of
+decodes. Encoded words, and chunks of text made of them, are kept in caches of bounded size per worker. A word of
 more than LONG_WORD bytes, for which a contraction a step would be quadratic,
 merges over a heap instead, in the same order.
 """
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG_WORD = 256
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS, CACHED_WORDS = 200_000, 200_000
+#: Words merge together up to this sum of squared lengths, as the recursion keeps each step's rows.
+MERGED = 1 << 22
 #: The pattern whose matches lie inside the matches of CHUNK: texts are cut into chunks first, and only unknown chunks into words.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK = r" ?\S+|\s+(?!\S)|\s+"
@@ -75,6 +77,7 @@ class Codec:
         self.chunks = regex.compile(CHUNK).findall if pattern == SPACED else self.find
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.before: dict[str, tuple[bytes, bytes]] = {}  # the cache's last generation
+        self.words: dict[str, tuple[bytes, bytes]] = {}
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, whole = [], [], []
@@ -118,12 +121,26 @@ class Codec:
         return out
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that the cache lacks, and decode their ids."""
+        """Encode chunks that the cache lacks; words that it lacks merge, and their ids are decoded."""
         cut = [self.find(c) for c in chunks]
-        words = list({w for ws in cut for w in ws})
-        ids = dict(zip(words, self._merge(words), strict=True))
-        joined = [b"".join(map(ids.__getitem__, ws)) for ws in cut]
-        self.known.update(zip(chunks, zip(joined, self.decode(joined), strict=True), strict=True))
+        if len(self.words) > CACHED_WORDS:
+            self.words = {}
+        new = list({w for ws in cut for w in ws}.difference(self.words))
+        begin = size = 0
+        for i, word in enumerate(new):
+            size += min(4 * len(word), LONG_WORD) ** 2
+            if size >= MERGED or i + 1 == len(new):
+                part = new[begin:i + 1]
+                ids = self._merge(part)
+                self.words.update(zip(part, zip(ids, self.decode(ids), strict=True), strict=True))
+                begin, size = i + 1, 0
+        words = self.words
+        for chunk, ws in zip(chunks, cut, strict=True):
+            if len(ws) == 1:
+                self.known[chunk] = words[ws[0]]
+            else:
+                parts = [words[w] for w in ws]
+                self.known[chunk] = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
     def _merge_long(self, word: bytes) -> list[int]:
         n = len(word)
