@@ -41,18 +41,53 @@ FREQUENT = 1 << 19
 _SCALE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams; the whole sequence if it is shorter."""
-    cut = (text or "").encode().lower().split()  # bytes: lower-cases A-Z, splits at [\x20\x09-\x0D]
-    if not cut:
-        return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, cut), dtype=np.uint64, count=len(cut))
-    span = min(words, len(cut))
+#: Words of a slice of texts, and words whose hashes a task remembers.
+SLICE_WORDS, REMEMBERED = 1 << 18, 1 << 17
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def _rolled(hashed: np.ndarray, span: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        out = np.full(len(cut) - span + 1, span, dtype=np.uint64)
+        out = np.full(len(hashed) - span + 1, span, dtype=np.uint64)
         for i in range(span):
-            out = mixed(out * _SCALE[i % 4] + hashed[i:len(cut) - span + 1 + i])
-    return np.unique(out)
+            out = mixed(out * _SCALE[i % 4] + hashed[i:len(hashed) - span + 1 + i])
+    return out
+
+
+def shingles(texts: Iterator[str | None], words: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its word n-grams; of a shorter text the whole sequence.
+
+    Texts are cut and hashed in slices; n-grams across two texts are left out.
+    """
+    known = _Hashes()
+
+    def worked(cuts: list[list[bytes]]) -> Iterator[np.ndarray]:
+        if len(known) > REMEMBERED:
+            known.clear()
+        hashed = np.fromiter((known[w] for cut in cuts for w in cut), dtype=np.uint64, count=sum(map(len, cuts)))
+        rolled = _rolled(hashed, words) if len(hashed) >= words else hashed[:0]
+        begin = 0
+        for cut in cuts:
+            end = begin + len(cut)
+            if len(cut) >= words:
+                yield np.unique(rolled[begin:end - words + 1])
+            else:
+                yield _rolled(hashed[begin:end], len(cut)) if cut else np.empty(0, np.uint64)
+            begin = end
+
+    waiting, size = [], 0
+    for text in texts:
+        waiting.append((text or "").encode().lower().split())  # bytes: lower-cases A-Z, splits at [\x20\x09-\x0D]
+        size += len(waiting[-1])
+        if size >= SLICE_WORDS:
+            yield from worked(waiting)
+            waiting, size = [], 0
+    yield from worked(waiting)
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -93,7 +128,7 @@ def _sets(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            sets = list(shingles((t.as_py() for t in batch.column(1)), words))
             hashed = [_digest(s) for s in sets]
             first = [_signed(_prefix(s, often, rank, percent)) if len(s) else _signed(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
@@ -111,7 +146,7 @@ def _tokens(docs: DataFrame, words: int, share: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            sets = list(shingles((t.as_py() for t in batch.column(1)), words))
             lists = [_signed(s[:int(np.ceil(share * len(s)))]) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["key", "toks"])
 
