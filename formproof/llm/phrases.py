@@ -38,7 +38,7 @@ DEPTH = 4
 #: Bytes of text of a slice, and distinct suffixes of a group, to bound memory.
 SLICE_BYTES = 6 << 20
 BUDGET = 1 << 20
-MOST_BITS = 22
+MOST_BITS = 18
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 #: Ends of pieces become line feeds, tabs become spaces, A-Z becomes a-z.
@@ -227,7 +227,7 @@ def frequencies(docs: DataFrame, least: int = 30, budget: int = BUDGET) -> DataF
     """(lang, phrase, k, f): the exact count f >= least of each phrase of k = 1 to 4 words; k = 0: of all words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    bits = min(MOST_BITS, max(12, math.ceil(math.log2(size / budget + 1)) + 4))
+    bits = min(MOST_BITS, max(12, math.ceil(math.log2(size / budget + 1)) + 2))
     sent = _sent(texts, bits, partition(_loads(texts, bits), budget))
 
     def build(group: pa.Table) -> pa.Table:
