@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,19 +20,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where `written` notes its tables, while `noted` is in force.
+_NOTES: list[list[str]] = []
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Note in paths the tables that `written` makes meanwhile."""
+    _NOTES.append(paths)
+    try:
+        yield
+    finally:
+        _NOTES.pop()
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The rows of df from a Parquet table in shared storage: evaluated once, without lineage."""
     path = scratch_dir(df.sparkSession, purpose)
+    if _NOTES:
+        _NOTES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(paths: Iterable[str], spark: SparkSession) -> None:
+    """Delete folders in shared storage; those gone already are passed over."""
+    for place in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def released(*tables: DataFrame, spark: SparkSession) -> None:
     """Delete tables that `written` made and nothing reads any more, and let Spark drop shuffle files of finished steps."""
     for df in tables:
-        for place in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        deleted({f.rpartition("/")[0] for f in df.inputFiles()[:1]}, spark)
     gc.collect()
     spark._jvm.System.gc()
 

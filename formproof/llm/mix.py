@@ -190,14 +190,16 @@ def mixed_documents(docs: DataFrame, block_words: int = 32, **settings) -> DataF
     pieces = copies.groupBy("doc_id", "_h", "_src", "_from", "_size", "_copy").agg(
         F.sort_array(F.collect_list(F.struct((begin + 1).cast("int").alias("at"), F.col("_words").cast("int").alias("n")))).alias("_pieces"))
     base = docs.select(
-        F.struct("*").alias("_all"), F.col("doc_id").alias("_own"), F.col("source").alias("_of"), F.col("text").alias("_text"),
-        F.xxhash64("doc_id", text_of()).alias("_hd"))
+        F.struct("*").alias("_all"), F.col("doc_id").alias("_own"), F.col("source").alias("_of"), F.xxhash64("doc_id", text_of()).alias("_hd"))
     order = facts.select(F.col("source").alias("_s"), F.col("_src").alias("_at"))
-    base = base.join(order, base._of.eqNullSafe(F.col("_s"))).dropDuplicates(["_own", "_hd", "_at"])  # one of the rows that are equal here
-    rows = base.join(pieces, F.col("_own").eqNullSafe(F.col("doc_id")) & (F.col("_hd") == F.col("_h")) & (F.col("_at") == F.col("_src")))
-    words = F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(WORD), F.lit(0))
+    order = F.broadcast(order) if order.count() <= 10_000 else order
+    # texts move once: the rows that are equal here, of which one stays, and the join share this partitioning
+    base = base.join(order, base._of.eqNullSafe(F.col("_s"))).drop("_of", "_s").repartition("_hd", "_at").dropDuplicates(["_own", "_hd", "_at"])
+    rows = base.join(pieces, (F.col("_hd") == F.col("_h")) & (F.col("_at") == F.col("_src")) & F.col("_own").eqNullSafe(F.col("doc_id")))
+    text = F.col("_all")["text"]
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
     whole = F.aggregate("_pieces", F.lit(0), lambda a, p: a + p.n) == F.col("_size")
     some = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice("_every", p.at, p.n))), " ")
-    made = rows.withColumn("_every", F.when(~whole, words)).withColumn("_new", F.when(whole, F.col("_text")).otherwise(some))
+    made = rows.withColumn("_every", F.when(~whole, words)).withColumn("_new", F.when(whole, text).otherwise(some))
     put = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
     return made.select(*[(put[c] if c in put else F.col("_all")[c]).alias(c) for c in docs.columns])
