@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import let
-from ..operators import calibration, leakage, metrics, rules, splits, variants
-from ..plans.evaluate import score_table
+from ..operators import calibration, leakage, metrics, rules, splits, textmodel, variants
+from ..plans.evaluate import SCORE_COLUMNS, score_table
 from . import demo
 from .base import Tables, op
+from .scoring import _fold_scores
 from .sql import FORM, FORM_INST, INST, SCORED, INSULT_HITS, q, squash, weigh
 
 SEED = 20260907
@@ -240,53 +243,74 @@ def _(t: Tables):
     return metrics.group_recall(t.scored, 0.35)
 
 
-def _two_methods(t: Tables) -> DataFrame:
-    """Two rule methods: all terms, and without the two most frequent ones."""
-    few = demo.INSULT_RULES.without({"trash", "idiot"}, "rules_fewer")
+FEW = demo.INSULT_RULES.without({"trash", "idiot"}, "rules_fewer")
+NEGATION_BLIND = replace(demo.INSULT_RULES, neg_markers=(), name="rules_blind")
+_METHODS = {"rules": demo.INSULT_RULES, "rules_fewer": FEW, "rules_blind": NEGATION_BLIND}
+
+
+def _all_methods(t: Tables) -> DataFrame:
+    """Three rule methods on both splits: all terms, two terms fewer, and blind to negation."""
     return score_table(
-        t.inst,
-        {
-            "rules": (None, lambda df: rules.score_rules(df, demo.INSULT_RULES)),
-            "rules_fewer": (None, lambda df: rules.score_rules(df, few)),
-        },
-        kinds=("record",),
-    )
+        t.inst, {name: (None, lambda df, r=r: rules.score_rules(df, r)) for name, r in _METHODS.items()})
+
+
+def _method_sql(name: str) -> str:
+    kept = "hits" if name != "rules_fewer" else "list_filter(hits, lambda h: h.term NOT IN ('trash', 'idiot'))"
+    if name == "rules_blind":
+        kept = "list_transform(hits, lambda h: {'source': h.source, 'term': h.term, 'negated': false, 'detail': h.detail})"
+    return f"""SELECT '{name}' AS method, record_id, pair_id, label, contradiction_type, {squash('raw', 'hits')} AS score FROM (
+      SELECT *, {weigh('hits')} AS raw FROM (SELECT * REPLACE ({kept} AS hits) FROM hit_))"""
+
+
+_ALL = f"""{SCORED}, many AS (SELECT * FROM ({' UNION ALL '.join(_method_sql(n) for n in _METHODS)})
+   CROSS JOIN (VALUES ('record'), ('unit')) v(split))"""
 
 
 @op(
     "M10_evaluation",
-    f"""WITH {SCORED}, {_STEPS},
-     a AS (SELECT sum(pos / total_pos * cum_pos / cum_n) AS pr_auc, sum(pos * ((total_n - total_pos) - (cum_n - cum_pos)
-      + 0.5 * (n - pos))) / max(total_pos * (total_n - total_pos)) AS roc_auc FROM cum),
-     b AS (SELECT count(*) AS n_instances, CAST(sum(label) AS BIGINT) AS n_positive, count(DISTINCT record_id) AS n_records,
-       avg(pow(score - label, 2)) AS brier FROM scored),
-     pt AS (SELECT score, cum_pos / total_pos AS recall FROM cum WHERE score > 0),
-     th AS (SELECT coalesce(max(score) FILTER (recall >= 0.8), arg_max(score, (recall, score)), 1.0) AS threshold FROM pt),
-     c AS ({_COUNTS}),
-     u AS (SELECT recall AS r FROM (SELECT tp / pos AS recall FROM c))
-     SELECT 'rules' AS method, n_instances, n_positive, n_records, round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc,
+    f"""WITH {_ALL}, st AS (SELECT method, split, score, count(*) AS n, sum(label) AS pos FROM many GROUP BY ALL),
+     cum AS (SELECT *, sum(n) OVER w AS cum_n, sum(pos) OVER w AS cum_pos, sum(n) OVER m AS total_n, sum(pos) OVER m AS total_pos
+      FROM st WINDOW w AS (PARTITION BY method, split ORDER BY score DESC), m AS (PARTITION BY method, split)),
+     a AS (SELECT method, split, sum(pos / total_pos * cum_pos / cum_n) AS pr_auc, sum(pos * ((total_n - total_pos) - (cum_n - cum_pos)
+      + 0.5 * (n - pos))) / max(total_pos * (total_n - total_pos)) AS roc_auc FROM cum GROUP BY ALL),
+     b AS (SELECT method, split, count(*) AS n_instances, CAST(sum(label) AS BIGINT) AS n_positive, count(DISTINCT record_id) AS n_records,
+       avg(pow(score - label, 2)) AS brier FROM many GROUP BY ALL),
+     pt AS (SELECT method, split, score, cum_pos / total_pos AS recall FROM cum WHERE score > 0),
+     th AS (SELECT method, split, coalesce(max(score) FILTER (recall >= 0.8), arg_max(score, (recall, score)), 1.0) AS threshold
+      FROM b LEFT JOIN pt USING (method, split) GROUP BY ALL),
+     u AS (SELECT method, split, coalesce(count(*) FILTER (label = 1 AND score >= threshold) / nullif(sum(label), 0), 0) AS r
+      FROM many JOIN th USING (method, split) GROUP BY ALL)
+     SELECT method, split, n_instances, n_positive, n_records, round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc,
       round(brier, 6) AS brier, round(threshold, 6) AS threshold,
-      (CASE WHEN r < 0.8 THEN 1 ELSE 0 END + CASE WHEN n_positive < 30 THEN 1 ELSE 0 END) AS n_notes FROM a, b, th, u""",
+      (CASE WHEN r < 0.8 THEN 1 ELSE 0 END + CASE WHEN n_positive < 30 THEN 1 ELSE 0 END) AS n_notes
+     FROM a JOIN b USING (method, split) JOIN th USING (method, split) JOIN u USING (method, split)""",
 )
 def _(t: Tables):
-    df = metrics.evaluate(_two_methods(t), ["method", "split"])
-    return df.where("method = 'rules'").select(
-        "method", "n_instances", "n_positive", "n_records", _r("pr_auc", "pr_auc"),
+    df = metrics.evaluate(_all_methods(t), ["method", "split"])
+    return df.select(
+        "method", "split", "n_instances", "n_positive", "n_records", _r("pr_auc", "pr_auc"),
         _r("roc_auc", "roc_auc"), _r("brier", "brier"), _r("threshold", "threshold"),
         F.size("notes").alias("n_notes"),
     )
 
 
+@op("M10_text_model")
+def _(t: Tables):
+    """The same table for the fitted model, out of fold on both splits; SQL can't fit (L8 certifies the fits)."""
+    df = metrics.evaluate(_fold_scores(t).select(*SCORE_COLUMNS), ["method", "split"])
+    return df.select("method", "split", "n_instances", "n_positive", "pr_auc", "roc_auc", "brier", "threshold")
+
+
 @op(
     "M11_method_matrix",
-    f"""WITH {SCORED}, x AS (SELECT contradiction_type AS level, count(*) FILTER (score >= 0.35) / count(*) AS r
-      FROM scored WHERE label = 1 GROUP BY 1)
-     SELECT 'rules' AS method, round(max(r) FILTER (level = 'type0'), 4) AS type0,
-      round(max(r) FILTER (level = 'type1'), 4) AS type1, round(max(r) FILTER (level = 'type2'), 4) AS type2 FROM x""",
+    f"""WITH {_ALL}, x AS (SELECT method, split, contradiction_type AS level, count(*) FILTER (score >= 0.35) / count(*) AS r
+      FROM many WHERE label = 1 GROUP BY ALL)
+     SELECT method, split, round(max(r) FILTER (level = 'type0'), 4) AS type0,
+      round(max(r) FILTER (level = 'type1'), 4) AS type1, round(max(r) FILTER (level = 'type2'), 4) AS type2 FROM x GROUP BY ALL""",
 )
 def _(t: Tables):
-    recalls = metrics.group_recall(_two_methods(t), 0.35, ["method"], ["contradiction_type"])
-    return metrics.recall_matrix(recalls, ["type0", "type1", "type2"]).where("method = 'rules'")
+    recalls = metrics.group_recall(_all_methods(t), 0.35, ["method", "split"], ["contradiction_type"])
+    return metrics.recall_matrix(recalls, ["type0", "type1", "type2"], ["method", "split"])
 
 
 # --------------------------------------------------------------- N: leakage
@@ -526,12 +550,25 @@ def _(t: Tables):
 VARIANTS = ("a", "b", "c")
 T = 0.35
 
-# Variant scores with known movement: b damps every score, c drops some flags.
-_VS = f"""{SCORED}, vs AS (
-  SELECT record_id, pair_id, label, archetype, 'a' AS variant, score FROM scored
-  UNION ALL SELECT record_id, pair_id, label, archetype, 'b', score * 0.9::DOUBLE FROM scored
-  UNION ALL SELECT record_id, pair_id, label, archetype, 'c',
-   CASE WHEN substr(md5(pair_id), 1, 1) < '8' THEN score ELSE 0.4::DOUBLE END FROM scored),
+# Every variant is scored by the model of the fold that did not see its record. The models have the vocabularies
+# of their training folds, and coefficients that SQL can make as well: by digest of fold and term.
+_NAMES = dict(zip(VARIANTS, demo.REGISTERS, strict=True))
+_VS = f"""{INST}, {{rendered}}, rk AS (SELECT record_id, (row_number() OVER (PARTITION BY p ORDER BY md5('{SEED}|' || record_id)) - 1) % 5 AS fold
+   FROM (SELECT record_id, max(label) > 0 AS p FROM inst GROUP BY 1)),
+ model_ AS (SELECT fold, (SELECT count(*) FROM inst) - count(*) AS n FROM inst JOIN rk USING (record_id) GROUP BY fold),
+ seen AS (SELECT DISTINCT record_id, pair_id, unnest({{tokens}}) AS term FROM inst),
+ own_ AS (SELECT fold, term, count(*) AS df FROM seen JOIN rk USING (record_id) GROUP BY ALL),
+ kept_ AS (SELECT m.fold, w.term, w.df - coalesce(o.df, 0) AS df, m.n FROM (SELECT term, count(*) AS df FROM seen GROUP BY 1) w
+   CROSS JOIN model_ m LEFT JOIN own_ o ON o.fold = m.fold AND o.term = w.term WHERE w.df - coalesce(o.df, 0) >= 2),
+ said AS (SELECT record_id, pair_id, variant, term, count(*) AS v FROM (SELECT r.record_id, r.pair_id, variant, unnest({{tokens}}) AS term
+   FROM (SELECT i.record_id, i.pair_id, variant, i.is_outside_leaning, i.test_id, r.free_text FROM rendered r JOIN inst i USING (record_id, pair_id)) r) GROUP BY ALL),
+ weight_ AS (SELECT record_id, pair_id, variant, (1.0 + ln(v)) * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w,
+   (('0x' || substr(md5(fold || '|' || term), 1, 4))::BIGINT / 65535.0::DOUBLE - 0.5::DOUBLE) * 4.0::DOUBLE AS coef
+   FROM said JOIN rk USING (record_id) JOIN kept_ USING (fold, term)),
+ margin AS (SELECT record_id, pair_id, variant, sum(w * coef) / sqrt(sum(w * w)) AS m FROM weight_ GROUP BY ALL),
+ vs AS (SELECT record_id, pair_id, label, archetype, CASE variant {" ".join(f"WHEN '{n}' THEN '{v}'" for v, n in _NAMES.items())} END AS variant,
+   1.0 / (1.0 + exp(-(coalesce(m, 0.0) - 0.5))) AS score
+   FROM (SELECT DISTINCT variant FROM rendered) CROSS JOIN inst LEFT JOIN margin USING (record_id, pair_id, variant)),
  wide AS (SELECT record_id, pair_id, any_value(label) AS label, any_value(archetype) AS archetype,
   max(score) FILTER (variant = 'a') AS a, max(score) FILTER (variant = 'b') AS b,
   max(score) FILTER (variant = 'c') AS c FROM vs GROUP BY record_id, pair_id),
@@ -539,17 +576,18 @@ _VS = f"""{SCORED}, vs AS (
 
 
 def _variant_scores(t: Tables) -> DataFrame:
-    base = t.scored.select("record_id", "pair_id", "label", "archetype", "score")
-    low = F.substring(F.md5("pair_id"), 1, 1) < "8"
-    versions = F.array(
-        F.struct(F.lit("a").alias("variant"), F.col("score").alias("s")),
-        F.struct(F.lit("b").alias("variant"), (F.col("score") * 0.9).alias("s")),
-        F.struct(F.lit("c").alias("variant"), F.when(low, F.col("score")).otherwise(0.4).alias("s")),
-    )
-    return base.withColumn("_v", F.explode(versions)).select(
-        "record_id", "pair_id", "label", "archetype", F.col("_v.variant").alias("variant"),
-        F.col("_v.s").alias("score"),
-    )
+    cfg = textmodel.TextModelConfig(categories=())
+    folds = F.array(F.struct(F.lit("record").alias("split"), F.col("fold").alias("fold")))
+    folded = splits.with_folds(t.inst, "record").withColumn("folds", folds)
+    features = textmodel.fold_features(textmodel.entries(t.inst, cfg, blocks=("cross",)), folded, cfg).where("block = 'cross'")
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", "fold", "term")), 1, 4), 16, 10).cast("double")
+    fits = features.select("split", "fold").distinct().withColumn("intercept", F.lit(-0.5))
+    model = textmodel.TextModel(
+        features.withColumn("coef", (digest / 65535.0 - 0.5) * 4.0), fits, cfg, ("split", "fold"), ("cross",))
+    texts = variants.make_variants(folded.withColumn("split", F.lit("record")).drop("folds"), demo.REGISTERS)
+    scored = model.score(texts, [*textmodel.KEYS, "variant"])
+    name = F.create_map(*[F.lit(x) for v, n in _NAMES.items() for x in (n, v)])
+    return scored.select("record_id", "pair_id", "label", "archetype", name[F.col("variant")].alias("variant"), "score")
 
 
 def _wide(t: Tables) -> DataFrame:
@@ -609,6 +647,11 @@ _RENDERED = "rendered AS (" + " UNION ALL ".join(
 ) + ")"
 
 
+_TOKENS = """list_transform(regexp_extract_all(lower(free_text), '[a-z][a-z''-]+'),
+   lambda t: concat(CASE WHEN is_outside_leaning THEN 'OUT' ELSE 'IN' END, '~', test_id, '~', t))"""
+_VS = _VS.replace("{rendered}", _RENDERED).replace("{tokens}", _TOKENS)
+
+
 @op("P1_text_variants", f"WITH {INST}, {_RENDERED} SELECT record_id, pair_id, variant, free_text FROM rendered")
 def _(t: Tables):
     return variants.make_variants(t.inst, demo.REGISTERS).select(
@@ -630,6 +673,11 @@ def _(t: Tables):
     )
 
 
+@op("P2_fold_routed_scores", f"WITH {_VS} SELECT record_id, pair_id, variant, round(score, 6) AS score FROM vs")
+def _(t: Tables):
+    return _variant_scores(t).select("record_id", "pair_id", "variant", _r("score", "score"))
+
+
 @op(
     "P3_flag_sets",
     f"""WITH {_VS} SELECT record_id, count(*) FILTER (fa) AS n_flags_a, count(*) FILTER (fb) AS n_flags_b,

@@ -510,12 +510,6 @@ def _(t: Tables):
         (F.col("violation") < TOLERANCE).alias("optimal"))
 
 
-@op("L8_out_of_fold_scores")
-def _(t: Tables):
-    """The scores themselves, which no SQL can fit: L8_out_of_fold_text_model certifies the models."""
-    return _fold_scores(t).select(*SCORE_COLUMNS)
-
-
 def _fold_scores(t: Tables):
     folded = _folded(t)
     scored = textmodel.fit_folds(folded).score(folded.select("*", F.inline("folds")))

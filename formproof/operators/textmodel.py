@@ -484,11 +484,30 @@ def training_classes(folded: DataFrame) -> DataFrame:
         ((positives == 0) | (positives == n_train)).alias("refused"))
 
 
+def fold_features(
+    found: DataFrame, folded: DataFrame, cfg: TextModelConfig = TextModelConfig(), keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """split, fold, block, term, df, idf: the features of the model of every (split, fold).
+
+    ``found``: entries of ``folded``, whose ``folds`` are an array of (split, fold), one of each split.
+    Frequencies are counted once per fold; what a model trains on is the total less its own fold.
+    """
+    keys, by = list(keys), ["split", "fold"]
+    own = found.join(folded.select(*keys, F.inline("folds")), keys).groupBy("block", "term", *by).agg(
+        F.count(F.lit(1)).alias("_df"), F.sum("v").alias("_tf"))
+    own = _written(own, "fold_counts")
+    total = own.groupBy("split", "block", "term").agg(F.sum("_df").alias("df"), F.sum("_tf").alias("tf"))
+    # every term with every fold of its split: the folds are few, whatever the data
+    models = F.broadcast(training_classes(folded).select(*by, F.col("n_train").alias("n")))
+    rest = total.join(models, "split").join(own, ["block", "term", *by], "left").select(
+        *by, "block", "term", (F.col("df") - F.coalesce("_df", F.lit(0))).alias("df"), (F.col("tf") - F.coalesce("_tf", F.lit(0.0))).alias("tf"), "n")
+    return vocabulary(rest.where("df > 0"), cfg, by)
+
+
 def fit_folds(folded: DataFrame, cfg: TextModelConfig = TextModelConfig(), keys: Sequence[str] = KEYS) -> TextModel:
     """A model for every (split, fold), fitted on the rows of the split's other folds.
 
-    ``folded``: instances with ``folds``: array of (split, fold), one of each split.  Frequencies are
-    counted once per fold; what a model trains on is the total less its own fold.
+    ``folded``: instances with ``folds``: array of (split, fold), one of each split.
     A fold whose training rows have a single class is an error (H10).
     """
     keys, by = list(keys), ["split", "fold"]
@@ -499,15 +518,7 @@ def fit_folds(folded: DataFrame, cfg: TextModelConfig = TextModelConfig(), keys:
     models = sorted((r.split, r.fold) for r in classes)
     train = {(r.split, r.fold): (r.n_train, r.positives) for r in classes}
     found = _written(entries(folded, cfg, keys), "entries")
-    own = found.join(folded.select(*keys, F.inline("folds")), keys).groupBy("block", "term", *by).agg(
-        F.count(F.lit(1)).alias("_df"), F.sum("v").alias("_tf"))
-    own = _written(own, "fold_counts")
-    total = own.where(F.col("split") == models[0][0]).groupBy("block", "term").agg(F.sum("_df").alias("df"), F.sum("_tf").alias("tf"))
-    # every term with every model: the models are few, whatever the data
-    listed = spark.createDataFrame([(s, f, n) for (s, f), (n, _) in train.items()], "split string, fold int, n long")
-    rest = total.crossJoin(F.broadcast(listed)).join(own, ["block", "term", *by], "left").select(
-        *by, "block", "term", (F.col("df") - F.coalesce("_df", F.lit(0))).alias("df"), (F.col("tf") - F.coalesce("_tf", F.lit(0.0))).alias("tf"), "n")
-    features = _written(vocabulary(rest.where("df > 0"), cfg, by), "fold_features")
+    features = _written(fold_features(found, folded, cfg, keys), "fold_features")
     number = F.create_map(*[F.lit(x) for k, m in enumerate(models) for x in (f"{m[0]}|{m[1]}", k)])
     held = F.transform("folds", lambda f: number[F.concat_ws("|", f["split"], f["fold"].cast("string"))])
     balances = [(n / (2.0 * (n - p)), n / (2.0 * p)) for n, p in (train[m] for m in models)]
