@@ -4,7 +4,7 @@ The text is cut by the tokenizer's pattern. The distinct words of a batch become
 token-position rows (one a byte); a recursive query joins neighbouring tokens
 with the merge table, contracts each word's leftmost pair of minimum rank, and
 goes on until no word has a pair left. An ordered aggregation of token bytes
-decodes. Encoded words, and chunks of text made of them, are kept in caches of bounded size per worker. A word of
+decodes. Encoded chunks of text, and the words they are made of, are kept in a cache of bounded size per worker. A word of
 more than LONG_WORD bytes, for which a contraction a step would be quadratic,
 merges over a heap instead, in the same order.
 """
@@ -25,41 +25,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG_WORD = 256
-CACHED_CHUNKS, CACHED_WORDS = 200_000, 200_000
+CACHED_CHUNKS = 250_000
 #: Words merge together up to this sum of squared lengths, as the recursion keeps each step's rows.
 MERGED = 1 << 22
 #: The pattern whose matches lie inside the matches of CHUNK: texts are cut into chunks first, and only unknown chunks into words.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK = r" ?\S+|\s+(?!\S)|\s+"
+MARKS = tuple(".,;:!?")
 #: Texts are worked on in slices of about so many characters, to bound memory.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
 
-# A row is a token: its word, place (pos), the place and id of the token after it (1023 and -1 at the end),
-# the rank of that pair, and the number of contractions so far. Each step takes a word's minimum of
-# (rank, pos), puts the merged token in the left one's row and leaves the right one's row out.
+# Token-position rows join the merge table and gather by word: ids, and of each token the rank of its pair with the next
+# (NONE at the end). Each step contracts a word's leftmost pair of minimum rank; only the two pairs beside it join again.
 _ENCODE = """
 with recursive step as (
-    select s.word, s.pos, s.npos, s.id, s.nid, m.id as rank, 0 as n
-    from seed s left join merges m on m.l = s.id and m.r = s.nid
+    select word, ids, ranks, list_min(ranks) as best
+    from (select s.word, list(s.id order by s.pos) as ids, list(coalesce(m.id, $none) order by s.pos) as ranks
+          from seed s left join merges m on m.l = s.id and m.r = s.nid group by s.word)
     union all
-    select x.word, x.pos, x.npos, x.id, x.nid, m.id, x.n + 1
-    from (select s.word, s.pos, s.n,
-              case when s.pos = b.p then b.after_npos else s.npos end as npos,
-              case when s.pos = b.p then b.rank else s.id end as id,
-              case when s.pos = b.p then b.after_nid when s.npos = b.p then b.rank else s.nid end as nid
-          from step s join (
-              select b.*, t.npos as after_npos, t.nid as after_nid
-              from (select word, (best >> 20)::integer as rank, ((best >> 10) & 1023)::integer as p, (best & 1023)::integer as q
-                    from (select word, min((rank::bigint << 20) | (pos << 10) | npos) as best
-                          from step where rank is not null group by word)) b
-              join step t on t.word = b.word and t.pos = b.q) b on b.word = s.word
-          where s.pos <> b.q) x
-    left join merges m on m.l = x.id and m.r = x.nid
+    select word, ids, ranks, list_min(ranks)
+    from (select x.word, x.ids[:x.p - 1] || [x.best] || x.ids[x.p + 2:] as ids,
+              case when x.p > 1 then x.ranks[:x.p - 2] || [coalesce(a.id, $none)] else [] end
+                  || [coalesce(b.id, $none)] || x.ranks[x.p + 2:] as ranks
+          from (select word, ids, ranks, best, list_position(ranks, best) as p from step where best < $none) x
+          left join merges a on a.l = x.ids[x.p - 1] and a.r = x.best
+          left join merges b on b.l = x.best and b.r = x.ids[x.p + 2])
 )
-select s.word, s.id
-from step s join (select word, max(n) as n from step group by word) e on e.word = s.word and e.n = s.n
-order by s.word, s.pos
-"""
+select word, unnest(ids) as id, generate_subscripts(ids, 1) as pos from step where best = $none order by word, pos
+""".replace("$none", "2147483647")
 _DECODE = """
 select doc, string_agg(hex, '' order by pos) as hex
 from tokens join vocab using (id) group by doc
@@ -75,9 +68,8 @@ class Codec:
         self.ranks = parse_ranks(content)
         self.find = regex.compile(pattern).findall
         self.chunks = regex.compile(CHUNK).findall if pattern == SPACED else self.find
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.before: dict[str, tuple[bytes, bytes]] = {}  # the cache's last generation
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # ids and decoded bytes of chunks
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # the cache's last generation
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, whole = [], [], []
@@ -105,10 +97,10 @@ class Codec:
             ends = np.cumsum(sizes)
             pos = (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32)
             ids = self.byte_id[np.frombuffer(b"".join(raw[i] for i in short), dtype=np.uint8)]
-            npos, nid = pos + 1, np.append(ids[1:], np.int32(-1))
-            npos[ends - 1], nid[ends - 1] = 1023, -1
+            nid = np.append(ids[1:], np.int32(-1))
+            nid[ends - 1] = -1
             self.db.register("seed", pa.table({
-                "word": np.repeat(np.arange(len(short), dtype=np.int32), sizes), "pos": pos, "npos": npos, "id": ids, "nid": nid}))
+                "word": np.repeat(np.arange(len(short), dtype=np.int32), sizes), "pos": pos, "id": ids, "nid": nid}))
             got = self.db.execute(_ENCODE).fetchnumpy()
             self.db.unregister("seed")
             word, ids = np.asarray(got["word"]), np.asarray(got["id"]).astype("<u4")
@@ -120,27 +112,30 @@ class Codec:
                 out[i] = np.array(self._merge_long(w), dtype="<u4").tobytes()
         return out
 
+    def _cut(self, chunk: str) -> list[str]:
+        """The pattern's matches in a chunk; of a word of letters, with a mark after it or not, they are plain."""
+        if self.chunks is not self.find:
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha():
+                return [chunk]
+            if word[-1:] in MARKS and word[:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return self.find(chunk)
+
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that the cache lacks; words that it lacks merge, and their ids are decoded."""
-        cut = [self.find(c) for c in chunks]
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        new = list({w for ws in cut for w in ws}.difference(self.words))
-        begin = size = 0
-        for i, word in enumerate(new):
-            size += min(4 * len(word), LONG_WORD) ** 2
-            if size >= MERGED or i + 1 == len(new):
-                part = new[begin:i + 1]
-                ids = self._merge(part)
-                self.words.update(zip(part, zip(ids, self.decode(ids), strict=True), strict=True))
+        """Encode and decode the words of chunks that the cache lacks; a word is a chunk as well."""
+        several = {c: ws for c in chunks if len(ws := self._cut(c)) > 1}
+        words = list({*(c for c in chunks if c not in several), *(w for ws in several.values() for w in ws)})
+        ids, begin, size = [], 0, 0
+        for i, word in enumerate(words):
+            size += min(len(word), LONG_WORD) ** 2
+            if size >= MERGED or i + 1 == len(words):
+                ids += self._merge(words[begin:i + 1])
                 begin, size = i + 1, 0
-        words = self.words
-        for chunk, ws in zip(chunks, cut, strict=True):
-            if len(ws) == 1:
-                self.known[chunk] = words[ws[0]]
-            else:
-                parts = [words[w] for w in ws]
-                self.known[chunk] = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        for known, values in zip(self.known, (ids, self.decode(ids)), strict=True):
+            known.update(zip(words, values, strict=True))
+            of = known.__getitem__
+            known.update([(c, b"".join(map(of, ws))) for c, ws in several.items()])
 
     def _merge_long(self, word: bytes) -> list[int]:
         n = len(word)
@@ -165,16 +160,16 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Of each text the token ids, as little-endian unsigned 32-bit integers, and the bytes they stand for."""
         cut = [self.chunks(t) for t in texts]
-        lacking = {c for cs in cut for c in cs}.difference(self.known)
-        if len(self.known) + len(lacking) > CACHED_CHUNKS:
-            self.before, self.known = self.known, {}
-            lacking = {c for cs in cut for c in cs}
-        again = lacking.intersection(self.before)
-        self.known.update((c, self.before[c]) for c in again)
+        every = set().union(*cut)
+        if len(self.known[0]) + len(every) > CACHED_CHUNKS:
+            self.before, self.known = self.known, ({}, {})
+        lacking = every.difference(self.known[0])
+        again = lacking.intersection(self.before[0])
+        for known, before in zip(self.known, self.before, strict=True):
+            known.update((c, before[c]) for c in again)
         if new := list(lacking - again):
             self._learn(new)
-        pairs = [[self.known[c] for c in cs] for cs in cut]
-        return [b"".join([p[0] for p in ps]) for ps in pairs], [b"".join([p[1] for p in ps]) for ps in pairs]
+        return tuple([b"".join(map(known.__getitem__, cs)) for cs in cut] for known in self.known)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids."""
