@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import crossfield, deid, instances, profile, review, rules, validate
@@ -11,7 +13,7 @@ from ..streaming import streams
 from . import demo
 from .base import Tables, op
 from .deidentify import _CLEAN
-from .scoring import _EXPLAIN
+from .scoring import _EXPLAIN, _TERMS
 from .sql import (
     CROSS, DECISIONS, FINDINGS, FORM, FORM_HITS, FORM_INST, INST, LABELLED, ROLLUP, ROUTE, SCORED,
 )
@@ -44,13 +46,13 @@ def _(t: Tables):
 @op(
     "Q2_banded_flags",
     f"""WITH {FORM_HITS}, {_EXPLAIN}, b AS (SELECT *, {_BAND} AS band_label FROM explained)
-     SELECT record_id, pair_id, form_ref, test_id, round(score, 6) AS score, band_label, explanation
-     FROM b WHERE band_label IS NOT NULL""",
+     SELECT record_id, pair_id, row_number() OVER (PARTITION BY record_id ORDER BY b.score DESC, pair_id) AS place, form_ref, test_id,
+      round(score, 6) AS score, band_label, explanation FROM b WHERE band_label IS NOT NULL""",
 )
 def _(t: Tables):
     refs = rules.form_refs(SPEC)
     return review.banded_flags(_banded(t)).select(
-        "record_id", "pair_id", refs.alias("form_ref"), "test_id",
+        "record_id", "pair_id", "place", refs.alias("form_ref"), "test_id",
         F.round("score", 6).alias("score"), "band_label", rules.explain(refs).alias("explanation"),
     )
 
@@ -161,30 +163,38 @@ def _(t: Tables):
 
 @op(
     "Q9_method_registry",
-    f"""WITH {FORM_HITS} SELECT 'rules_as_authored' AS method, count(*) FILTER (score > 0) AS n_scored FROM form_scored
-     UNION ALL SELECT 'rules_phrase_deleaked', count(*) FILTER (score > 0) FROM form_scored""",
+    f"""WITH {FORM_HITS}, lk AS (SELECT term, len(string_split(term, ' ')) AS words FROM (VALUES {_TERMS}) v(term)
+       WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), term))),
+     least_ AS (SELECT * FROM (VALUES ('rules_as_authored', 99), ('rules_phrase_deleaked', 2), ('rules_vocab_stripped', 1)) v(method, least_words)),
+     gone_ AS (SELECT method, coalesce(list(term) FILTER (term IS NOT NULL), []) AS gone
+       FROM least_ LEFT JOIN lk ON words >= least_words GROUP BY method),
+     kept AS (SELECT method, list_filter(hits, lambda h: h.source = 'regex' OR NOT list_contains(gone, lower(h.term))) AS hits
+       FROM fh CROSS JOIN gone_)
+     SELECT method, count(*) FILTER (len(list_filter(hits, lambda h: NOT h.negated)) > 0) AS n_scored FROM kept GROUP BY method
+     UNION ALL SELECT 'tfidf_logreg', count(*) FROM form_inst""",
 )
 def _(t: Tables):
     corpus = t.documents.select("text")
     parts = []
-    for name in ("rules_as_authored", "rules_phrase_deleaked"):
-        m = build_method(name, SPEC, ruleset=demo.FORM_RULES, corpus=corpus)
+    rows = t.form_inst.withColumn("anomaly", F.lit(None).cast("string"))
+    for name in ("rules_as_authored", "rules_phrase_deleaked", "rules_vocab_stripped", "tfidf_logreg"):
+        m = build_method(name, SPEC, ruleset=demo.FORM_RULES, corpus=corpus, training=t.inst)
         parts.append(
-            m.score(t.form_inst).agg(
+            m.score(rows).agg(
                 F.lit(m.name).alias("method"), F.count_if(F.col("score") > 0).alias("n_scored")
             )
         )
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @op(
     "Q10_display_order",
-    f"""WITH {FORM_HITS}, o AS (SELECT record_id, pair_id, row_number() OVER (ORDER BY
-      CASE test_id WHEN 'market' THEN 1 WHEN 'fulfilment' THEN 2 ELSE 3 END, score DESC, record_id, pair_id) AS place
-      FROM form_scored) SELECT record_id, pair_id FROM o""",
+    f"""WITH {FORM_HITS}, o AS (SELECT record_id, pair_id, row_number() OVER (PARTITION BY record_id ORDER BY
+      CASE test_id WHEN 'market' THEN 1 WHEN 'fulfilment' THEN 2 ELSE 3 END, score DESC, pair_id) AS place
+      FROM form_scored) SELECT record_id, pair_id, place FROM o""",
 )
 def _(t: Tables):
-    return review.display_order(_banded(t), CFG.test_order).select("record_id", "pair_id")
+    return review.display_order(_banded(t), CFG.test_order).select("record_id", "pair_id", "place")
 
 
 @op(
@@ -231,13 +241,14 @@ def _(t: Tables):
 
 _RATES = """SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, pair_id, count(*) AS n,
   count(*) FILTER (decision = 'accept') AS accepted, count(*) FILTER (decision = 'dismiss') AS dismissed,
-  round(count(*) FILTER (decision = 'dismiss') / count(*), 6) AS dismiss_rate FROM decisions GROUP BY 1, 2"""
+  round(count(*) FILTER (decision = 'dismiss') / count(*), 6) AS dismiss_rate,
+  count(*) FILTER (decision = 'dismiss') / count(*) > 0.8 AS alert FROM decisions GROUP BY 1, 2"""
 
 
 def _day(df: DataFrame) -> DataFrame:
     return df.select(
         F.date_format("period_start", "yyyy-MM-dd").alias("day"), "pair_id", "n", "accepted",
-        "dismissed", F.round("dismiss_rate", 6).alias("dismiss_rate"),
+        "dismissed", F.round("dismiss_rate", 6).alias("dismiss_rate"), "alert",
     )
 
 
@@ -396,8 +407,13 @@ def _(t: Tables):
 def _(t: Tables):
     src, out = scratch_dir(t.spark, "s3-in"), scratch_dir(t.spark, "s3-out")
     rows = t.decisions.select("decision_id", "pair_id", F.col("ts").cast("timestamp"), "decision")
-    rows.coalesce(1).write.parquet(src)
-    stream = t.spark.readStream.schema(rows.schema).parquet(src)
+    # decisions arrive as files of one period after another, and the watermark moves on with them
+    first, last = rows.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+    at, periods = F.unix_timestamp("ts"), 8
+    edges = [first + (last + 1 - first) * k // periods for k in range(periods + 1)]
+    for low, high in zip(edges, edges[1:]):
+        rows.where((at >= low) & (at < high)).coalesce(1).write.mode("append").parquet(src)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
     query = (
         streams.rate_stream(stream, delay="1 hour").writeStream.format("parquet")
         .outputMode("append").option("checkpointLocation", scratch_dir(t.spark, "s3-cp"))

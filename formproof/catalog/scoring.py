@@ -113,12 +113,11 @@ def _(t: Tables):
 
 _REF = "CASE pair_id WHEN 'p_status' THEN '4.1' WHEN 'p_priority' THEN '4.2' ELSE '4.3' END"
 _EXPLAIN = f"""explained AS (SELECT *, {_REF} AS form_ref,
-  CASE WHEN len(live) = 0 THEN 'No lexical evidence of inconsistency.' ELSE
-   concat('Question ', {_REF}, ' was answered “', structured_value, '”, but the justification ',
-    CASE WHEN phrases <> '' THEN concat('uses ', phrases, coalesce(', and ' || structural, ''))
+  CASE WHEN len(live) = 0 THEN 'No wording was found that speaks against the answer.' ELSE
+   concat({_REF}, ' has the answer “', structured_value, '”; its explanation ',
+    CASE WHEN phrases <> '' THEN concat('says ', phrases, coalesce('; also, ' || structural, ''))
      ELSE coalesce(structural, '') END,
-    '. For the ', replace(test_id, '_', ' '),
-    ' test these point in opposite directions. Worth a reviewer''s eye.') END AS explanation
+    ', which speaks against that on the test “', replace(test_id, '_', ' '), '”.') END AS explanation
  FROM (SELECT *, array_to_string(list_transform(list_filter(live[1:3], lambda h: h.source <> 'regex'),
    lambda h: concat('“', h.term, '”')), ', ') AS phrases,
    list_filter(live, lambda h: h.source = 'regex' AND h.detail <> '')[1].detail AS structural
@@ -711,13 +710,13 @@ def _(t: Tables):
 @op(
     "I10_pair_explanation",
     f"""WITH {TURNS}, {_CHUNKS}, {_DISTS}, {_NLI} SELECT conv_id, turn,
-     CASE WHEN n_chunks = 0 THEN 'Question 4.1 has no justification to check.'
-      WHEN contradiction >= 0.5 THEN concat('Question 4.1 was answered “x”, but the justification reads as a conflicting statement rather than a supporting one (contradiction ',
-        printf('%.2f', contradiction::DOUBLE), ' against entailment ', printf('%.2f', fe::DOUBLE),
-        '). For the personal service test these point in opposite directions. Worth a reviewer''s eye.')
-      WHEN non_support >= 0.55 THEN concat('Question 4.1 was answered “x”, a definite option, but the justification neither supports nor conflicts with it (neutral ',
-        printf('%.2f', non_support::DOUBLE), '). It may not evidence the answer given, which matters for the personal service test. Worth a reviewer''s eye.')
-      ELSE 'The justification for question 4.1 is consistent with the answer “x”.' END AS explanation
+     CASE WHEN n_chunks = 0 THEN '4.1 has no explanation to compare.'
+      WHEN contradiction >= 0.5 THEN concat('4.1 has the answer “x”; its explanation reads as a denial of it (contradiction ',
+        printf('%.2f', contradiction::DOUBLE), ', entailment ', printf('%.2f', fe::DOUBLE),
+        '), which counts on the test “personal service”.')
+      WHEN non_support >= 0.55 THEN concat('4.1 has the answer “x”; its explanation neither backs nor denies it (neutral ',
+        printf('%.2f', non_support::DOUBLE), '), so the test “personal service” lacks evidence.')
+      ELSE 'The explanation of 4.1 fits the answer “x”.' END AS explanation
      FROM nli""",
 )
 def _(t: Tables):
@@ -885,13 +884,12 @@ def _(t: Tables):
 @op(
     "J8_verdict_explanation",
     f"""{_J} SELECT record_id, pair_id, CASE WHEN parse_failed THEN
-      'Question 4.1 could not be assessed automatically — the model''s response could not be read. Please review this field manually.'
-      WHEN verdict = 'consistent' THEN concat('The justification for question 4.1 is consistent with the answer “', structured_value, '”.')
-      ELSE concat('Question 4.1 was answered “', structured_value, '”, and the justification ',
-       CASE verdict WHEN 'contradicts' THEN 'reads as inconsistent with' ELSE 'does not clearly support' END, ' it: ',
-       CASE WHEN kind = 4 THEN 'no reason given' WHEN v = 'contradicts' THEN 'The justification states the opposite of the selected option.'
-        ELSE 'The justification is hedged and does not support the option chosen.' END,
-       ' Worth a reviewer''s eye.') END AS explanation FROM verdicts_""",
+      '4.1: the reply could not be parsed, so a person has to read this one.'
+      WHEN verdict = 'consistent' THEN concat('The explanation of 4.1 fits the answer “', structured_value, '”.')
+      ELSE concat('4.1 has the answer “', structured_value, '”; its explanation is judged ',
+       CASE verdict WHEN 'contradicts' THEN 'to deny it' ELSE 'not to back it' END, ': ',
+       CASE WHEN kind = 4 THEN 'without a reason' WHEN v = 'contradicts' THEN 'The justification states the opposite of the selected option.'
+        ELSE 'The justification is hedged and does not support the option chosen.' END) END AS explanation FROM verdicts_""",
 )
 def _(t: Tables):
     return _parsed(t).select(
@@ -999,7 +997,7 @@ def _(t: Tables):
     f"""{_K}, o AS (SELECT record_id, bool_or(normalised > 0.3) AS a, bool_or(normalised < -0.3) AS b FROM c GROUP BY record_id)
      SELECT record_id, CASE WHEN gate = 'partial_household' THEN 'a partial order for a household'
       WHEN gate IS NOT NULL THEN 'urgent furniture' WHEN n_answered = 0 THEN 'none'
-      WHEN by_score <> 'undetermined' THEN concat('points ', by_score)
+      WHEN by_score <> 'undetermined' THEN concat('means ', by_score)
       WHEN a AND b THEN 'opposite' ELSE 'band' END AS kind FROM lab LEFT JOIN o USING (record_id)""",
 )
 def _(t: Tables):
@@ -1007,8 +1005,8 @@ def _(t: Tables):
     kind = (
         F.when(F.col("gate").isNotNull(), r)
         .when(F.contains(r, F.lit("No scoreable")), "none")
-        .when(F.contains(r, F.lit(" points ")), F.regexp_extract(r, "points (inside|outside)", 0))
-        .when(F.contains(r, F.lit("opposite directions")), "opposite").otherwise("band")
+        .when(F.contains(r, F.lit(" means ")), F.regexp_extract(r, "means (inside|outside)", 0))
+        .when(F.contains(r, F.lit("lean outside")), "opposite").otherwise("band")
     )
     return _weighted(t).select("record_id", kind.alias("kind"))
 

@@ -50,26 +50,26 @@ WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 
 FINDINGS = f"""findings AS (
  SELECT record_id, 'value_not_in_domain' AS code, 'q1_status' AS field_id, 'error' AS severity,
-  '4.1: ''' || q1_status || ''' is not one of the 3 options declared for this question.' AS message
+  '4.1: ''' || q1_status || ''' is not among the 3 values allowed here.' AS message
  FROM routed WHERE q1_status NOT IN ('O','F','P')
  UNION ALL SELECT record_id, 'answered_off_route', 'q2_priority', 'warning',
-  '4.2 was answered but the routing from earlier answers skips it. One of the two is wrong.'
+  '4.2 holds an answer although earlier ones lead past it.'
  FROM routed WHERE q2_priority IS NOT NULL AND NOT list_contains(route, 'q2_priority')
  UNION ALL SELECT record_id, 'missing_on_route', 'q2_priority', 'warning',
-  '4.2 is on the active route but has no answer.'
+  '4.2 is due on this route and is empty.'
  FROM routed WHERE q2_priority IS NULL AND list_contains(route, 'q2_priority')
  UNION ALL SELECT record_id, 'missing_on_route', 'q3_segment', 'warning',
-  '4.3 is on the active route but has no answer.'
+  '4.3 is due on this route and is empty.'
  FROM routed WHERE q3_segment = ''
  UNION ALL SELECT record_id, 'missing_justification', 'text', 'warning',
-  '4.1 is answered but its rationale box is empty.'
+  '4.1 has an answer and no explanation.'
  FROM routed WHERE text = ''
  UNION ALL SELECT record_id, 'justification_too_short', 'text', 'warning',
-  '4.1: rationale is ' || length(trim(text, {WS})) ||
-  ' characters, below the 15-character threshold for a usable justification.'
+  '4.1: an explanation of ' || length(trim(text, {WS})) ||
+  ' characters; 15 are needed.'
  FROM routed WHERE text <> '' AND length(trim(text, {WS})) < 15
  UNION ALL SELECT record_id, 'outcome_leakage', 'x_outcome', 'error',
-  'x_outcome carries the determination and must be stripped before a record reaches any model.'
+  'x_outcome gives the outcome away; drop it before scoring.'
  FROM routed WHERE x_outcome IS NOT NULL)"""
 
 ROLLUP = """rollup_ AS (
