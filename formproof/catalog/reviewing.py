@@ -15,7 +15,7 @@ from .base import Tables, op
 from .deidentify import _CLEAN
 from .scoring import _EXPLAIN, _TERMS
 from .sql import (
-    CROSS, DECISIONS, FINDINGS, FORM, FORM_HITS, FORM_INST, INST, LABELLED, ROLLUP, ROUTE, SCORED,
+    CROSS, DECISIONS, FINDINGS, FORM, FORM_HITS, FORM_INST, LABELLED, ROLLUP, ROUTE, SCORED,
 )
 
 SPEC, CFG = demo.FORM, demo.REVIEW

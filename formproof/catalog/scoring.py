@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import pairscore, rules, splits, textmodel, verdicts, weighted
 from ..plans.assess import de_leak
-from ..plans.evaluate import SCORE_COLUMNS
 from . import demo
 from .base import Tables, op
 from .sql import (

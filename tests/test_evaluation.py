@@ -151,7 +151,8 @@ def test_hashed_rank_is_a_rank(spark):
 
 
 # ---------------------------------------------------------------- text model
-def test_text_model_reaches_the_optimum(spark):
+@pytest.fixture(scope="module")
+def texts(spark):
     rng = np.random.default_rng(4)
     rows = []
     for i in range(120):
@@ -161,34 +162,83 @@ def test_text_model_reaches_the_optimum(spark):
             words.append("trouble")
         rows.append((f"r{i}", f"p{i % 3}", "t", "yes" if i % 2 else "no", " ".join(words), bool(i % 2), int(bad), None))
     cols = "record_id string, pair_id string, test_id string, structured_value string, free_text string, is_outside_leaning boolean, label int, anomaly string"
-    df = spark.createDataFrame(rows, cols)
-    model = textmodel.fit(df, textmodel.TextModelConfig(tol=1e-10, max_iter=500))
-    feats = {r.record_id: r for r in model.features(df).collect()}
-    n, size = len(rows), len(model.names)
-    x = np.zeros((n, size))
-    y = np.zeros(n)
-    for k, r in enumerate(feats.values()):
+    return spark.createDataFrame(rows, cols).repartition(3).cache()
+
+
+def dense(model, df, names):
+    """The rows of df as a numpy matrix over the model's features."""
+    known = {(r.block, r.term): (r.i, r.coef) for r in model.features.select("block", "term", "i", "coef").collect()}
+    rows = textmodel.vectors(textmodel.entries(df), model.features.select("block", "term", "idf", "i"), textmodel.KEYS).collect()
+    x = np.zeros((len(names), len(known)))
+    at = {k: j for j, k in enumerate(names)}
+    for r in rows:
         for e in r.features:
-            x[k, e.i] += e.w
-        y[k] = r.label
-    w_pos, w_neg = n / (2 * y.sum()), n / (2 * (n - y.sum()))
-    weight = np.where(y == 1, w_pos, w_neg)
-    coef = np.array(model.coefficients)
-    prob = 1 / (1 + np.exp(-(x @ coef + model.intercept)))
+            x[at[r.record_id], e.i] += e.w
+    coef = np.zeros(len(known))
+    for i, c in known.values():
+        coef[i] = c
+    return x, coef, {k: i for k, (i, _) in known.items()}
+
+
+def test_text_model_reaches_the_optimum(texts):
+    model = textmodel.fit(texts, textmodel.TextModelConfig(tol=1e-5))
+    scored = {r.record_id: r for r in model.score(texts).collect()}
+    names = sorted(scored)
+    x, coef, place = dense(model, texts, names)
+    y = np.array([scored[k].label for k in names], dtype=float)
+    n = len(names)
+    weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    fit = model.fits.first()
+    prob = 1 / (1 + np.exp(-(x @ coef + fit.intercept)))
     gradient = coef + x.T @ (weight * (prob - y))
-    # a constant column is the intercept's work and gets no weight
-    varies = x.std(axis=0) > 0
-    assert np.abs(gradient[varies]).max() < 1e-3 and np.all(coef[~varies] == 0)
-    assert abs((weight * (prob - y)).sum()) < 1e-3
-    for block, lo in zip(model.blocks, np.cumsum([0, *[b.size for b in model.blocks]])):
-        norms = np.linalg.norm(x[:, lo: lo + block.size], axis=1)
-        assert np.all((np.abs(norms - 1) < 1e-9) | (norms == 0))
-    scores = {r.record_id: r.score for r in model.score(df).collect()}
-    assert np.allclose([scores[i] for i in feats], prob)
-    top = model.top_features(df.where("record_id = 'r0'")).first().top_features
+    assert np.abs(gradient).max() < 1e-4 and abs((weight * (prob - y)).sum()) < 1e-4 and fit.violation < 1e-4
+    assert np.allclose([scored[k].score for k in names], prob, atol=1e-9)
+    for block in textmodel.TEXT_BLOCKS:
+        part = x[:, [i for (b, _), i in place.items() if b == block]]
+        norms = np.linalg.norm(part, axis=1)
+        assert part.shape[1] and np.all((np.abs(norms - 1) < 1e-9) | (norms == 0))
+    worst = textmodel.optimality(model, texts).agg(F.max("violation")).first()[0]
+    assert worst < 1e-4
+    top = model.top_features(texts.where("record_id = 'r0'")).first().top_features
     assert any("trouble" in t.feature for t in top) and all(not t.feature.startswith(" ") for t in top)
+    assert len(top) <= 4 and [t.weight for t in top] == sorted((t.weight for t in top), reverse=True) and top[-1].weight > 0
+    with pytest.raises(ValueError):
+        textmodel.fit(texts.withColumn("label", F.lit(0)))
+    with pytest.raises(RuntimeError):
+        textmodel.TextModel().score(texts)
+
+
+def test_fold_models_equal_fits_on_their_training_rows(texts):
+    fold = (F.substring("record_id", 2, 9).cast("int") / 4).cast("int") % 2
+    folded = texts.withColumn("folds", F.array(
+        F.struct(F.lit("a").alias("split"), fold.alias("fold")), F.struct(F.lit("b").alias("split"), (F.floor(fold / 2) + F.when(F.col("pair_id") == "p0", 1).otherwise(0)).cast("int").alias("fold"))))
+    cfg = textmodel.TextModelConfig(tol=1e-5)
+    both = textmodel.fit_folds(folded, cfg)
+    assert {tuple(r) for r in both.fits.select("split", "fold").collect()} == {("a", 0), ("a", 1), ("b", 0), ("b", 1)}
+    assert both.fits.agg(F.max("violation")).first()[0] < 1e-4
+    held = folded.select("*", F.inline("folds"))
+    got = {(r.split, r.record_id): r.score for r in both.score(held).collect()}
+    for split, k in (("a", 1), ("b", 0)):
+        side = held.where(F.col("split") == split).drop("folds")
+        alone = textmodel.fit(side.where(F.col("fold") != k), cfg)
+        for r in alone.score(side.where(F.col("fold") == k)).collect():
+            assert abs(r.score - got[split, r.record_id]) < 1e-3
     with pytest.raises(ValueError):
-        textmodel.fit(df.withColumn("label", F.lit(0)))
+        textmodel.fit_folds(texts.withColumn("folds", F.array(F.struct(F.lit("l").alias("split"), F.col("label").alias("fold")))), cfg)
+
+
+def test_minimise_finds_the_least_point():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(30, 12))
+    h, c = a.T @ a + np.eye(12), rng.normal(size=12)
+    run = textmodel._minimise(12, 1e-8, 500)
+    x = next(run)
+    try:
+        while True:
+            x = run.send((0.5 * x @ h @ x - c @ x, h @ x - c))
+    except StopIteration as end:
+        x, worst = end.value
+    assert worst <= 1e-8 and np.allclose(x, np.linalg.solve(h, c), atol=1e-7)
 
 
 def test_tokens(spark):
