@@ -12,6 +12,8 @@ merges over a heap instead, in the same order.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import heapq
 from collections.abc import Iterator
 from functools import cache
@@ -33,7 +35,7 @@ SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 CHUNK = r" ?\S+|\s+(?!\S)|\s+"
 MARKS = tuple(".,;:!?")
 #: Texts are worked on in slices of about so many characters, to bound memory.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 
 # Token-position rows join the merge table and gather by word: ids, and of each token the rank of its pair with the next
 # (NONE at the end). Each step contracts a word's leftmost pair of minimum rank; only the two pairs beside it join again.
@@ -112,6 +114,13 @@ class Codec:
                 out[i] = np.array(self._merge_long(w), dtype="<u4").tobytes()
         return out
 
+    def forget(self) -> None:
+        """Empty the cache, so that a worker does not carry it into its next task, whatever that is."""
+        self.known, self.before = ({}, {}), ({}, {})
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)  # freed memory goes back to the system
+
     def _cut(self, chunk: str) -> list[str]:
         """The pattern's matches in a chunk; of a word of letters, with a mark after it or not, they are plain."""
         if self.chunks is not self.find:
@@ -210,15 +219,18 @@ def _mapped(df: DataFrame, source: str, targets: list[str], vocabulary: str, pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(content.value, pattern)
-        for batch in batches:
-            values = batch.column(len(kept)).to_pylist()
-            for begin, end in _slices(values, SLICE_CHARS):
-                now = values[begin:end]
-                made = [codec.decode(now)] if source == "ids" else codec.encode(now)
-                part = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in range(len(kept))), *(pa.array(m, pa.binary()) for m in made[:len(targets)])],
-                    names=[*kept, *targets])
+        try:
+            for batch in batches:
+                values = batch.column(len(kept)).to_pylist()
+                for begin, end in _slices(values, SLICE_CHARS):
+                    now = values[begin:end]
+                    made = [codec.decode(now)] if source == "ids" else codec.encode(now)
+                    part = batch.slice(begin, end - begin)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c) for c in range(len(kept))), *(pa.array(m, pa.binary()) for m in made[:len(targets)])],
+                        names=[*kept, *targets])
+        finally:
+            codec.forget()
 
     given = F.coalesce(source, F.lit("" if source == "text" else b""))
     return df.select(*kept, given.alias("_in")).mapInArrow(run, schema)
