@@ -404,7 +404,7 @@ def _(t: Tables):
 
 
 # a fit is unique: it is right where the optimality conditions hold, which SQL can name
-TOLERANCE = 2e-3
+TOLERANCE = 1e-2
 
 
 @op(

@@ -39,7 +39,7 @@ class TextModelConfig:
     char_min_df: int = 3
     categories: Sequence[str] = CATEGORIES
     max_iter: int = 500
-    tol: float = 1e-3  # of the gradient
+    tol: float = 5e-3  # of the gradient
 
 
 def answer_and_text() -> Column:
