@@ -241,6 +241,20 @@ def test_minimise_finds_the_least_point():
     assert worst <= 1e-8 and np.allclose(x, np.linalg.solve(h, c), atol=1e-7)
 
 
+def test_entries_are_counted_in_their_row(spark):
+    from collections import Counter
+
+    rows = [(f"r{i}", "p", "t", "yes", text, True, None) for i, text in enumerate(["Aa bb aa bb\tccc ünï  x", "", None, "aa " * 400, "y" * 3000])]
+    df = spark.createDataFrame(rows, "record_id string, pair_id string, test_id string, structured_value string, free_text string, is_outside_leaning boolean, anomaly string")
+    found = textmodel.entries(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+    got = {(r.record_id, r.block, r.term): r.v for r in found.where(F.col("block").isin(*textmodel.TEXT_BLOCKS)).collect()}
+    grams = df.select("record_id", textmodel.word_grams(textmodel.answer_and_text()).alias("word"), textmodel.char_grams(F.col("free_text")).alias("char"), textmodel.interaction_tokens().alias("cross"))
+    want = {(r.record_id, b, t): n for r in grams.collect() for b in textmodel.TEXT_BLOCKS for t, n in Counter(r[b] or ()).items()}
+    assert got == want and len(got) == found.where(F.col("block").isin(*textmodel.TEXT_BLOCKS)).count()
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("A bc  déf a-b x_1",)], "t string")
     words, chars = df.select(textmodel.word_grams(F.col("t")), textmodel.char_grams(F.col("t"))).first()
