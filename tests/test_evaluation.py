@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -306,3 +307,24 @@ def test_identical_variants_agree(spark):
     row = variants.agreement_summary(variants.record_agreement(wide, ["x", "y"], 0.4), ["x", "y"]).first()
     assert row.mean_jaccard == 1.0 and row.records_fully_agreeing == 1
     assert variants.worst_flips(wide, ["x", "y"], 0.4).count() == 0
+
+
+def test_replicates_of_several_keys_are_the_draws_of_each_record(spark):
+    rows = [(f"r{i}", k, (i + j) % 3, 1 + i % 4) for i in range(40) for j, k in enumerate("abc") if (i + j) % 5]
+    per = spark.createDataFrame(rows, "record_id string, level string, tp long, pos long").repartition(3, "record_id")
+    got = calibration.bootstrap_replicates(per, ["level"], 30, 7)
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+
+    def draw(record, r):
+        digest = hashlib.md5(f"7|{record}|{r // 4}".encode()).hexdigest()
+        return int((edges <= int(digest[8 * (r % 4):][:8], 16) / (16 ** 8 - 1)).sum())
+
+    want = {}
+    for level in "abc":
+        for r in range(30):
+            own = [(draw(i, r), tp, pos) for i, k, tp, pos in rows if k == level]
+            if total := sum(m * pos for m, _, pos in own):
+                want[level, r] = sum(m * tp for m, tp, _ in own) / total
+    assert {(x.level, x.replicate): x.recall for x in got.collect()} == want
+    # no row for each record and replicate is made on the way
+    assert "sequence(" not in got._jdf.queryExecution().toString()
