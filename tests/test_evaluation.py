@@ -346,3 +346,18 @@ def test_versions_score_as_rows_of_their_own(spark):
             want[r.record_id, name] = r.score
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
     assert len(set(got.values())) > 4
+
+
+def test_a_fit_takes_few_passes_over_the_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    common, rare = [f"com{k}" for k in range(40)], [f"rare{k}" for k in range(400)]
+    rows = []
+    for k in range(2000):
+        words = [*rng.choice(common, 30), *rng.choice(rare, 10), *(["gift"] if k % 9 == 0 and rng.random() < 0.5 else [])]
+        rows.append((f"r{k}", "p", "t", ("yes", "no")[k % 2], " ".join(words), k % 2 == 0, None, int(k % 9 == 0)))
+    train = spark.createDataFrame(
+        rows, "record_id string, pair_id string, test_id string, structured_value string, free_text string, is_outside_leaning boolean, anomaly string, label int")
+    passes, once = [], textmodel._evaluate
+    monkeypatch.setattr(textmodel, "_evaluate", lambda *args: passes.append(1) or once(*args))
+    model = textmodel.fit(train, textmodel.TextModelConfig(tol=1e-4))
+    assert model.fits.first().violation <= 1e-4 and len(passes) <= 80, len(passes)
