@@ -361,3 +361,30 @@ def test_a_fit_takes_few_passes_over_the_rows(spark, monkeypatch):
     monkeypatch.setattr(textmodel, "_evaluate", lambda *args: passes.append(1) or once(*args))
     model = textmodel.fit(train, textmodel.TextModelConfig(tol=1e-4))
     assert model.fits.first().violation <= 1e-4 and len(passes) <= 80, len(passes)
+
+
+def test_terms_counted_by_number_equal_those_counted_as_text(spark):
+    many = " ".join(chr(0x4E00 + k) * 3 for k in range(4200))  # more characters than the numbers hold
+    texts = ["Aa bb aa bb\tccc ünï  x", "", None, "aa " * 400, "y" * 3000, "a\0b a\0b", "🙂 🙂🙂 a", many, many, "\x1fé é é é x x"] * 3
+    rows = [(f"r{k}", "p", "t", "yes", text, True, None) for k, text in enumerate(texts)]
+    df = spark.createDataFrame(
+        rows, "record_id string, pair_id string, test_id string, structured_value string, free_text string, is_outside_leaning boolean, anomaly string")
+
+    def told(counts):
+        return {(r.block, r.term): (r.df, r.tf, r.n) for r in counts.collect()}
+
+    want = told(textmodel.count_features(textmodel.entries(df), len(texts)))
+    totals = textmodel._text_totals(df.coalesce(1), textmodel.TEXT_BLOCKS)
+    assert totals.count() < textmodel.entries(df).count() / 2  # added up before they leave a task
+    assert told(textmodel.count_terms(df, len(texts))) == want
+    features = textmodel.vocabulary(textmodel.count_terms(df, len(texts)), textmodel.TextModelConfig())
+    features = textmodel.written(features.join(textmodel.numbered(features)[0], ["block", "term"]), "numbered")
+    one, other = (
+        {r.record_id: [(e.i, round(e.w, 9)) for e in r.features] for r in textmodel.vectors(found, features, textmodel.KEYS).collect()}
+        for found in (textmodel.entries(df), textmodel.entry_parts(df)))
+    assert one == other and len(one) == len(texts)
+    few = features.where("length(term) < 5 or block != 'char'").where("ascii(term) < 128")
+    one, other = (
+        {r.record_id: [(e.i, round(e.w, 9)) for e in r.features] for r in textmodel.vectors(found, few, textmodel.KEYS).collect()}
+        for found in (textmodel.entries(df), textmodel.entry_parts(df)))
+    assert one == other
